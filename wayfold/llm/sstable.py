@@ -213,18 +213,20 @@ def open_shard(uri: str) -> Shard:
     return Shard(fs.open_input_file(path))
 
 
-#: Pieces of text whose ids a worker remembers (some 200 bytes each).
-REMEMBERED = 700_000
+#: Pieces of text whose ids a worker remembers (some 200 bytes each), and code points that are encoded at once.
+REMEMBERED, TOGETHER = 400_000, 1 << 20
 #: All white space: beside it, a space does not start a piece. BORDER drops the space before a piece.
 SPACES = "".join(filter(str.isspace, map(chr, range(0x3001))))
 BORDER = re.compile(r"(?<=\S)\x20(?=\S)")
 
 
 class Encoder:
-    """Encodes whole texts with the tokenizers library, each distinct piece once.
+    """Encodes whole texts with the tokenizers library, each distinct piece of some texts once.
 
     A byte-level BPE tokenizer never joins a word with the space that follows it, so a text may be cut before a single
-    space between two non-spaces without changing its ids. Texts that hold a special token's string are encoded whole.
+    space between two non-spaces without changing its ids. Unknown pieces are encoded as one text and cut again before
+    the ids that start with a space; if that does not give one part a piece, they are encoded one by one. Texts that
+    hold a special token's string are encoded whole.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -233,8 +235,11 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        wide = self.tokenizer.get_vocab_size() > 65536
-        self.dtype, self.mark = ("<u4", b"\x04") if wide else ("<u2", b"\x02")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        top = max(vocabulary.values(), default=0)
+        self.dtype, self.mark = ("<u4", b"\x04") if top > 65535 else ("<u2", b"\x02")
+        self.leads = np.zeros(top + 1, np.bool_)
+        self.leads[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # how byte-level BPE writes a space
         whole = json.loads(self.tokenizer.to_str())
         pre = whole.get("pre_tokenizer") or {}
         self.cut = not whole.get("normalizer") and pre.get("type") == "ByteLevel" and bool(pre.get("use_regex", True)) and not pre.get("add_prefix_space")
@@ -244,27 +249,54 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, text: str) -> bytes:
-        if not self.cut or any(s in text for s in self.special):
-            return self._encode([text])[0]
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece with a space before it."""
+        if not pieces:
+            return []
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0].ids, self.dtype)
+        starts = np.flatnonzero(self.leads[ids])
+        if len(starts) != len(pieces) or starts[0] != 0:
+            return self._encode([" " + p for p in pieces])
+        raw, width = ids.tobytes(), ids.itemsize
+        at = (starts * width).tolist()
+        return [raw[i:j] for i, j in zip(at, [*at[1:], len(raw)], strict=True)]
+
+    def _cut(self, text: str) -> list[str]:
         if any(c in text and (" " + c in text or c + " " in text) for c in SPACES):
-            first, *rest = BORDER.split(text)
-        else:
-            first, *rest = text.split(" ")
-        try:
-            tail = b"".join(map(self.memory.__getitem__, rest))
-        except KeyError:
-            new = list({p for p in rest if p not in self.memory})
-            made = dict(zip(new, self._encode([" " + p for p in new]), strict=True))
-            if len(self.memory) < REMEMBERED:
-                self.memory.update(made)
-                tail = b"".join(map(self.memory.__getitem__, rest))
-            else:
-                tail = b"".join([made[p] if p in made else self.memory[p] for p in rest])
-                self.missed += len(made)
-                if self.missed > 8 * REMEMBERED:  # the texts have changed: learn anew
-                    self.memory, self.missed = {}, 0
-        return self._encode([first])[0] + tail if first else tail
+            return BORDER.split(text)
+        return text.split(" ")
+
+    def _some(self, texts: list[str]) -> list[bytes]:
+        parts = [self._cut(t) if self.cut and not any(s in t for s in self.special) else None for t in texts]
+        first = dict.fromkeys(p[0] for p in parts if p)
+        whole = [t for t, p in zip(texts, parts, strict=True) if p is None]
+        done = iter(self._encode([*first, *whole]))
+        first = {k: next(done) for k in first}
+        memory = self.memory
+        new = {x for p in parts if p for x in p[1:] if x not in memory}
+        # white space at a piece's end would change the cut of its neighbour
+        plain = [x for x in new if x and not x[0].isspace() and not x[-1].isspace()]
+        memory.update(zip(plain, self._pieces(plain), strict=True))
+        odd = [x for x in new if x not in memory]
+        memory.update(zip(odd, self._encode([" " + x for x in odd]), strict=True))
+        out = [first[p[0]] + b"".join(map(memory.__getitem__, p[1:])) if p else next(done) for p in parts]
+        if len(memory) > REMEMBERED:
+            self.missed += len(new)
+            for x in new if self.missed < 20 * REMEMBERED else list(memory):  # forget all where the texts have changed
+                del memory[x]
+            self.missed %= 20 * REMEMBERED
+        return out
+
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text, as little-endian integers of ``dtype``."""
+        some, size = [], 0
+        for text in texts:
+            some.append(text)
+            size += len(text)
+            if size >= TOGETHER:
+                yield from self._some(some)
+                some, size = [], 0
+        yield from self._some(some)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -313,14 +345,15 @@ def write_shards(
         writer = sink = first = None
         name = f"{folder}/shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.sst"
         for batch in batches:
-            for i, t in zip(batch.column(0), batch.column(1), strict=True):
+            texts = (t.as_py() for t in batch.column(1))
+            for i, ids in zip(batch.column(0), encode(texts), strict=True):
                 if writer is None:
                     fs, path = file_system(name)
                     fs.create_dir(path.rpartition("/")[0], recursive=True)
                     sink = fs.open_output_stream(path)
                     writer = Writer(sink)
                     first = key_bytes(i.as_py())
-                ids = encode(t.as_py()) + end
+                ids += end
                 writer.add(key_bytes(i.as_py()), encode.mark + ids, len(ids) // width)
         if writer is not None:
             writer.close()
