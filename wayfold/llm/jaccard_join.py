@@ -11,10 +11,11 @@ at least k of the first size - ceil(t size) + k elements of either. From that fo
 
 The boundary is the size at which the sum of both costs, over the histogram of set sizes, is least.
 
-Candidates of a list are verified against the list's least member first, and links found so far are contracted; only
-lists whose members are then still in different components are compared pair by pair, across components, and only pairs
-that sizes and the triangle inequality (Jaccard distance is a metric) leave open. So a group of copies costs its
-members, not its pairs, yet every link between components is found: the components are exact.
+Candidates of a list are compared with one hub of the list first, the member with the commonest shingles, and links
+found so far are contracted; after ``ROUNDS`` such rounds, lists whose members are still in different components are
+compared pair by pair, across components. So a group of copies costs its members, not its pairs, yet every link between
+components is found: the components are exact. Before whole texts are compared, bitmaps of parities bound the sets'
+difference from below, which ends most pairs that share a passage only.
 
 Common shingles (count over ``HOT``) post rows of their own instead of meeting in one reducer's list; they are only
 aggregated and joined by Spark, which combines on the map side and splits skewed partitions.
@@ -47,36 +48,110 @@ P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.ui
 SIGN = np.uint64(1 << 63)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 600_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = WordHashes()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * P2
     x = (x ^ (x >> np.uint64(27))) * P3
     return x ^ (x >> np.uint64(31))
 
 
+#: A random odd value for each byte, the same for A-Z and a-z, and white space as bytes.
+VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * P1) | np.uint64(1)
+VALUES[65:91] = VALUES[97:123]
+SPACE = np.zeros(256, np.bool_)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes of text that are hashed at once.
+SEGMENT = 1 << 20
+BASE = int(P1)
+UNBASE = pow(BASE, -1, 1 << 64)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE and its inverse to the powers 0 to n - 1, modulo 2^64."""
+    while len(_powers[0]) < n:
+        for i, base in enumerate((BASE, UNBASE)):
+            known = _powers[i]
+            _powers[i] = np.concatenate([known, known * np.uint64(pow(base, len(known), 1 << 64))])
+    return _powers[0][:n], _powers[1][:n]
+
+
+def hash_words(data: np.ndarray, starts_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes and start offsets of the words in bytes; no word crosses an offset of starts_text."""
+    blank = SPACE[data]
+    border = blank.copy()
+    first = ~blank
+    first[1:] &= border[:-1] | starts_text[1:]
+    last = ~blank
+    last[:-1] &= border[1:] | starts_text[1:]
+    begins, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    up, down = powers(len(data) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(VALUES[data] * up[: len(data)], dtype=np.uint64)])
+    return mixed((sums[ends] - sums[begins]) * down[begins]), begins
+
+
+def shingle_sets(column: pa.Array, size: int = WORDS) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes of each text; words split at ASCII white space, A-Z lower-cased."""
+    column = column.cast(pa.large_string())
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64, len(column) + 1, 8 * column.offset) if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    row = 0
+    while row < len(column):
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SEGMENT, "right")) - 1)
+        lo, hi = int(offsets[row]), int(offsets[end])
+        words, ranges = [], np.zeros(end - row + 1, np.int64)
+        at = lo
+        while at < hi:  # one step, but for texts beyond a segment
+            to = min(hi, at + 2 * SEGMENT)
+            while to < hi and not SPACE[data[to]]:
+                to += 1
+            piece = data[at:to]
+            marks = np.zeros(len(piece), np.bool_)
+            inner = offsets[row:end]
+            marks[(inner[(inner >= at) & (inner < to)] - at)] = True
+            hashes, begins = hash_words(piece, marks)
+            words.append(hashes)
+            ranges += np.searchsorted(begins, offsets[row : end + 1] - at)
+            at = to
+        h = np.concatenate(words) if words else np.zeros(0, np.uint64)
+        n = min(size, len(h))
+        acc = h[: len(h) - n + 1].copy() if n else h
+        for i in range(1, n):
+            acc = acc * P1 + h[i : len(h) - n + 1 + i]
+        acc = mixed(acc + np.uint64(n))
+        for i, j in zip(ranges[:-1].tolist(), ranges[1:].tolist(), strict=True):
+            if j - i >= size:
+                yield np.unique(acc[i : j - size + 1])
+            elif j > i:
+                short = h[i : i + 1]
+                for x in h[i + 1 : j]:
+                    short = short * P1 + x
+                yield mixed(short + np.uint64(j - i))
+            else:
+                yield np.zeros(0, np.uint64)
+        row = end
+
+
 def shingle_set(text: str | None, size: int = WORDS) -> np.ndarray:
-    """Sorted distinct shingle hashes; words split at ASCII white space, A-Z lower-cased."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    n = min(size, len(h))
-    acc = h[: len(h) - n + 1].copy()
-    for i in range(1, n):
-        acc = acc * P1 + h[i : len(h) - n + 1 + i]
-    return np.unique(mixed(acc + np.uint64(n)))
+    return next(shingle_sets(pa.array([text], pa.string()), size))
+
+
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """Bit i says whether an odd number of elements have the hash i modulo the number of bits (about four an element).
+
+    Sets whose bitmaps differ in d bits differ in d elements at least.
+    """
+    k = max(6, (4 * max(1, len(tokens)) - 1).bit_length())
+    bits = np.bincount((tokens & np.uint64((1 << k) - 1)).astype(np.int64), minlength=1 << k) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def least_difference(a: np.ndarray, b: np.ndarray) -> int:
+    """No two sets with these parities differ in fewer elements."""
+    if len(a) < len(b):
+        a, b = b, a
+    folded = np.bitwise_xor.reduce(a.reshape(-1, len(b)), axis=0)
+    return int(np.bitwise_count((folded ^ b).view(np.uint64)).sum())
 
 
 def set_id(tokens: np.ndarray) -> int:
@@ -105,8 +180,7 @@ def count_common(texts: DataFrame, size: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.zeros(keep.sum(), np.int8)), pa.array(tokens[keep].view(np.int64)), pa.array(counts[keep].astype(np.int64))], names=["kind", "key", "n"])
 
         for batch in batches:
-            for t in batch.column(0):
-                tokens = shingle_set(t.as_py(), size)
+            for tokens in shingle_sets(batch.column(0), size):
                 key = set_id(tokens)
                 if not len(tokens) or key in seen:
                     continue
@@ -126,17 +200,25 @@ def count_common(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def choose_boundary(sizes: dict[int, int], mean_list: float, percent: int, most: int = 64) -> int:
-    """The size up to which sets are light, at the least sum of subsets posted and list entries scanned."""
+#: What a false candidate costs, in postings.
+CANDIDATE = 40
+
+
+def choose_boundary(sizes: dict[int, int], repeated: float, percent: int, most: int = 64) -> int:
+    """The size up to which sets are light: at it, postings and false candidates of light and heavy sets cost least.
+
+    ``repeated`` is the share of shingles that stand in other sets as well: a posted shingle meets a false candidate
+    about as often, a posted pair of shingles with its square.
+    """
     best, at = None, 0
     for x in range(0, most + 1):
         cost = 0.0
         for n, sets in sizes.items():
             first = n - least_overlap(n, percent)
             if 4 <= n <= x:
-                cost += sets * (first + 2) * (first + 1) / 2
+                cost += sets * (first + 2) * (first + 1) / 2 * (1 + CANDIDATE * repeated**2)
             if n >= 4 and 100 * n > percent * x:
-                cost += sets * (first + 1) * (1 + mean_list)
+                cost += sets * (first + 1) * (1 + CANDIDATE * repeated)
         if best is None or cost < best:
             best, at = cost, x
     return at
@@ -151,7 +233,7 @@ def smallest_linkable(percent: int) -> int:
 
 
 def post(rows: DataFrame, common: tuple[bytes, bytes, bytes], boundary: int, parts: int, percent: int, size: int) -> DataFrame:
-    """kind 0: a document (id, n, set_id); 1: a blob of postings of a part; 2: a posting of a hot shingle."""
+    """kind 0: a document (id, n, set_id, share of common shingles, parities); 1: postings of a part; 2: a hot posting."""
     least = smallest_linkable(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,14 +241,10 @@ def post(rows: DataFrame, common: tuple[bytes, bytes, bytes], boundary: int, par
         seen: set[int] = set()
         sigs, refs, held = [], [], 0
 
-        def out(kind, ids, n, sets, sig, part, blobs):
-            m = max(len(ids), len(sig), len(blobs))
-            none = [None] * m
-            columns = [[kind] * m, ids or none, n or none, sets if len(sets) else none, sig if len(sig) else none, part or none, blobs or none]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.int8(), id_type, pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)],
-                names=["kind", "id", "n", "set_id", "sig", "part", "blob"],
-            )
+        def out(kind, m, **given):
+            types = {"kind": pa.int8(), "id": id_type, "n": pa.int64(), "set_id": pa.int64(), "common": pa.float64(), "parities": pa.list_(pa.int64()), "sig": pa.int64(), "part": pa.int32(), "blob": pa.binary()}
+            given["kind"] = [kind] * m
+            return pa.RecordBatch.from_arrays([pa.array(given[c], t) if c in given else pa.nulls(m, t) for c, t in types.items()], names=list(types))
 
         def blobs():
             sig, ref = np.concatenate(sigs), np.concatenate(refs)
@@ -176,18 +254,20 @@ def post(rows: DataFrame, common: tuple[bytes, bytes, bytes], boundary: int, par
             cuts = np.flatnonzero(np.diff(part)) + 1
             starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(part)]])
             low = (sig & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            return out(1, [], [], [], [], [int(part[s]) for s in starts], [low[s:e].tobytes() + ref[s:e].tobytes() for s, e in zip(starts, ends, strict=True)])
+            return out(1, len(starts), part=part[starts].astype(np.int32), blob=[low[s:e].tobytes() + ref[s:e].tobytes() for s, e in zip(starts, ends, strict=True)])
 
         id_type = None
         for batch in batches:
             id_type = batch.column(0).type
-            ns, sets, hot_sigs, hot_refs = [], [], [], []
-            for key, t in zip(batch.column(0), batch.column(1), strict=True):
-                tokens = shingle_set(t.as_py(), size)
+            ns, sets, maps, commons, hot_sigs, hot_refs = [], [], [], [], [], []
+            valid = batch.column(0).is_valid().to_pylist()
+            for has_id, tokens in zip(valid, shingle_sets(batch.column(1), size), strict=True):
                 n = len(tokens)
-                ref = set_id(tokens) if n and key.is_valid else None
+                ref = set_id(tokens) if n and has_id else None
                 ns.append(n)
                 sets.append(ref)
+                maps.append(parities(tokens))
+                commons.append(0.0)
                 if n < least or ref in seen:
                     continue
                 seen.add(ref)
@@ -198,6 +278,7 @@ def post(rows: DataFrame, common: tuple[bytes, bytes, bytes], boundary: int, par
                     known = keys[at] == tokens
                     if known.any():
                         level = np.where(known, levels[at], 0)
+                        commons[-1] = float(known.mean())
                         order = np.argsort(level, kind="stable")[: first + 2]
                         is_hot = (known & hot[at])[order]
                         tokens = tokens[order]
@@ -218,9 +299,9 @@ def post(rows: DataFrame, common: tuple[bytes, bytes, bytes], boundary: int, par
                     sigs.append(head)
                     refs.append(np.full(len(head), ref, np.int64))
                     held += len(head)
-            yield out(0, batch.column(0).to_pylist(), ns, sets, [], [], [])
+            yield out(0, len(ns), id=batch.column(0).to_pylist(), n=ns, set_id=sets, common=commons, parities=maps)
             if hot_sigs:
-                yield out(2, [], [], np.concatenate(hot_refs), np.concatenate(hot_sigs), [], [])
+                yield out(2, sum(map(len, hot_sigs)), set_id=np.concatenate(hot_refs), sig=np.concatenate(hot_sigs))
             if held >= CHUNK:
                 yield blobs()
                 sigs, refs, held = [], [], 0
@@ -230,7 +311,7 @@ def post(rows: DataFrame, common: tuple[bytes, bytes, bytes], boundary: int, par
             yield blobs()
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"kind byte, id {kind}, n long, set_id long, sig long, part int, blob binary")
+    return rows.mapInArrow(run, f"kind byte, id {kind}, n long, set_id long, common double, parities array<bigint>, sig long, part int, blob binary")
 
 
 def scan_lists(postings: DataFrame) -> DataFrame:
@@ -284,19 +365,34 @@ def needed_texts(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataF
     return near.join(ids, "id").select("ref", "text")
 
 
+def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their sets' sizes and parities leave open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            maps = zip(*(([x.values.to_numpy() for x in batch.column(i)]) for i in (4, 5)), strict=True)
+            kept = [linked((n + m - least_difference(x, y)) // 2, n, m, percent) for (n, m), (x, y) in zip(sizes, maps, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
+
+    sized = pairs.join(classes.select(F.col("ref").alias("b"), F.col("n").alias("n_b"), F.col("parities").alias("p_b")), "b")
+    both = sized.join(classes.select(F.col("ref").alias("a"), F.col("n").alias("n_a"), F.col("parities").alias("p_a")), "a")
+    near = both.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    return saved(near.select("a", "b", "n_a", "n_b", "p_a", "p_b").mapInArrow(run, "a long, b long"))
+
+
 def verify(rows: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
-    """a, b, distance, linked of all pairs, by their whole texts."""
+    """a, b, distance, linked of pairs, by their whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, None
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             kept, distance, link = [], [], []
-            for i, key in enumerate(a):
-                if key != last:
-                    last, left = key, shingle_set(batch.column(2)[i].as_py(), size)
-                right = shingle_set(batch.column(3)[i].as_py(), size)
-                if set_id(left) != key or set_id(right) != b[i]:  # another row of the same id
+            for i, right in enumerate(shingle_sets(batch.column(3), size)):
+                if a[i] != last:
+                    last, left = a[i], next(shingle_sets(batch.column(2).slice(i, 1), size))
+                if set_id(left) != a[i] or set_id(right) != b[i]:  # another row of the same id
                     last = None
                     continue
                 kept.append(i)
@@ -305,7 +401,7 @@ def verify(rows: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int,
                 inter = int((large[at] == small).sum())
                 distance.append(1 - inter / (len(left) + len(right) - inter))
                 link.append(linked(inter, len(left), len(right), percent))
-            some = batch.take(pa.array(kept, pa.int64())) if len(kept) < len(a) else batch
+            some = batch.take(pa.array(kept, pa.int64()))
             yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(distance, pa.float64()), pa.array(link, pa.bool_())], names=["a", "b", "distance", "linked"])
 
     texts = needed_texts(rows, classes, pairs)
@@ -314,6 +410,10 @@ def verify(rows: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int,
     return saved(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, distance double, linked boolean").dropDuplicates(["a", "b"]))
 
 
+#: Rounds, at most, in which open lists are compared with one hub each, before all pairs that are still open.
+ROUNDS = 3
+
+
 def cluster(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = WORDS) -> DataFrame:
     """Per document: id, n_shingles, component_id (least id that links reach, its own included), n_links (verified)."""
     spark = documents.sparkSession
@@ -332,30 +432,48 @@ def cluster(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     posted = saved(post(rows, common, boundary, parts, percent, size))
     members = posted.filter("kind = 0").select("id", "n", F.col("set_id").alias("ref"))
-    classes = members.filter("ref is not null").groupBy("ref").agg(F.min("id").alias("id"), F.first("n").alias("n"))
+    classes = posted.filter("kind = 0 and set_id is not null").groupBy(F.col("set_id").alias("ref")).agg(F.min("id").alias("id"), F.first("n").alias("n"), F.max("common").alias("common"), F.first("parities").alias("parities"))
+    classes = saved(classes)
     cold = scan_lists(posted.filter("kind = 1").select("part", "blob"))
     hot = posted.filter("kind = 2").select(F.col("sig").alias("list_id"), F.col("set_id").alias("ref"))
-    lists = saved(cold.union(hot).distinct())
-
-    hubs = lists.groupBy("list_id").agg(F.min("ref").alias("a"))
-    stars = saved(lists.join(hubs, "list_id").filter("ref <> a").select("a", F.col("ref").alias("b")).distinct())
-    checked = verify(rows, classes, stars, percent, size)
+    lists = saved(cold.union(hot).distinct().join(classes.select("ref", "common", "n"), "ref"))
+
+    # a list's hub is its member with the commonest shingles: copies of one text differ least from it
+    checked = spark.createDataFrame([], "a long, b long, distance double, linked boolean")
+    found = spark.createDataFrame([], "node long, component long")
+    used = spark.createDataFrame([], "list_id long, a long")
+    for _ in range(ROUNDS):
+        labelled = lists.join(found.withColumnRenamed("node", "ref"), "ref", "left").select("list_id", "ref", "common", F.coalesce("component", "ref").alias("component"))
+        past = used.join(found.withColumnRenamed("node", "a"), "a", "left").select("list_id", F.coalesce("component", "a").alias("component")).distinct()
+        heads = labelled.join(past, ["list_id", "component"], "left_anti").groupBy("list_id").agg(F.max(F.struct("common", "ref", "component")).alias("hub"))
+        heads = heads.select("list_id", F.col("hub.ref").alias("a"), F.col("hub.component").alias("hub_component"))
+        stars = labelled.join(heads, "list_id").filter("component <> hub_component").select("a", F.col("ref").alias("b")).distinct()
+        known = checked.select("a", "b").union(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = possible(stars.join(known, ["a", "b"], "left_anti"), classes, percent)
+        n_near, n_lists = near.count(), heads.count()
+        if n_near:
+            checked = saved(checked.union(verify(rows, classes, near, percent, size)))
+            found = components(checked.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
+        if 20 * n_near < n_lists:
+            break
+        used = saved(used.union(heads.select("list_id", "a")))
+
+    # whatever stands in one list and still in two components: all pairs that sizes and parities leave open
+    labelled = lists.join(found.withColumnRenamed("node", "ref"), "ref", "left").select("list_id", "ref", "n", F.coalesce("component", "ref").alias("c"))
+    open_lists = labelled.groupBy("list_id").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("list_id")
+    open_rows = saved(labelled.join(open_lists, "list_id").join(classes.select("ref", "parities"), "ref"))
+    other = open_rows.select("list_id", *[F.col(c).alias(f"{c}2") for c in ("ref", "n", "c", "parities")])
+    differ = F.expr("if(size(parities) = size(parities2), aggregate(zip_with(parities, parities2, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x), 0)")
+    sized = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
+    near = sized & (100 * (F.col("n") + F.col("n2") - differ) >= percent * (F.col("n") + F.col("n2") + differ))
+    across = open_rows.join(other, (open_rows.list_id == other.list_id) & (F.col("ref") < F.col("ref2")) & (F.col("c") != F.col("c2")) & near)
+    known = checked.select("a", "b").union(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    rest = saved(across.select(F.col("ref").alias("a"), F.col("ref2").alias("b")).distinct().join(known, ["a", "b"], "left_anti"))
+    rest = possible(rest, classes, percent)
     links = checked.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    found = components(links)
-
-    # lists whose members are still in more than one component: all pairs across components that can be linked
-    labelled = lists.join(found.withColumnRenamed("node", "ref"), "ref", "left").select("list_id", "ref", F.coalesce("component", "ref").alias("c"))
-    open_lists = labelled.groupBy("list_id").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("ref").alias("hub")).filter("lo <> hi").select("list_id", "hub")
-    open_rows = labelled.join(open_lists, "list_id").join(classes.select("ref", "n"), "ref")
-    far = checked.select(F.col("a").alias("hub"), F.col("b").alias("ref"), "distance")
-    open_rows = saved(open_rows.join(far, ["hub", "ref"], "left").filter("distance is not null").select("list_id", "ref", "c", "n", "distance"))
-    left, right = open_rows, open_rows.select("list_id", *[F.col(c).alias(f"{c}2") for c in ("ref", "c", "n", "distance")])
-    near = 1 - percent / 100
-    across = left.join(right, "list_id").filter((F.col("ref") < F.col("ref2")) & (F.col("c") != F.col("c2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (F.abs(F.col("distance") - F.col("distance2")) <= near + 1e-9))
-    rest = saved(across.select(F.col("ref").alias("a"), F.col("ref2").alias("b")).distinct())
-    checked_rest = verify(rows, classes, rest, percent, size)
-    links = links.union(checked_rest.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    found = components(links)
+    if not rest.isEmpty():
+        links = links.union(verify(rows, classes, rest, percent, size).filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
+        found = components(links)
 
     degree = links.select(F.explode(F.array("u", "v")).alias("ref")).groupBy("ref").agg(F.count("*").alias("n_links"))
     by_set = classes.select("ref", "id").join(found.withColumnRenamed("node", "ref"), "ref", "left").join(degree, "ref", "left").select("ref", "id", F.coalesce("component", "ref").alias("c"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
