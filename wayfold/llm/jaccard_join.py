@@ -137,11 +137,11 @@ def shingle_set(text: str | None, size: int = WORDS) -> np.ndarray:
 
 
 def parities(tokens: np.ndarray) -> np.ndarray:
-    """Bit i says whether an odd number of elements have the hash i modulo the number of bits (about four an element).
+    """Bit i says whether an odd number of elements have the hash i modulo the number of bits (two to four an element).
 
     Sets whose bitmaps differ in d bits differ in d elements at least.
     """
-    k = max(6, (4 * max(1, len(tokens)) - 1).bit_length())
+    k = max(6, (2 * max(1, len(tokens)) - 1).bit_length())
     bits = np.bincount((tokens & np.uint64((1 << k) - 1)).astype(np.int64), minlength=1 << k) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
 
@@ -410,6 +410,13 @@ def verify(rows: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int,
     return saved(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, distance double, linked boolean").dropDuplicates(["a", "b"]))
 
 
+def still_open(lists: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lists' rows with their components so far, and the hubs of lists that hold more than one component."""
+    labelled = lists.join(found.withColumnRenamed("node", "ref"), "ref", "left").select("list_id", "ref", "common", "n", F.coalesce("component", "ref").alias("component"))
+    heads = labelled.groupBy("list_id").agg(F.max(F.struct("common", "ref", "component")).alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+    return labelled, heads.select("list_id", F.col("hub.ref").alias("a"), F.col("hub.component").alias("hub_component"))
+
+
 #: Rounds, at most, in which open lists are compared with one hub each, before all pairs that are still open.
 ROUNDS = 3
 
@@ -437,38 +444,36 @@ def cluster(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cold = scan_lists(posted.filter("kind = 1").select("part", "blob"))
     hot = posted.filter("kind = 2").select(F.col("sig").alias("list_id"), F.col("set_id").alias("ref"))
     lists = saved(cold.union(hot).distinct().join(classes.select("ref", "common", "n"), "ref"))
+    classes_all, classes = classes, saved(classes.join(lists.select("ref").distinct(), "ref", "left_semi"))
 
     # a list's hub is its member with the commonest shingles: copies of one text differ least from it
     checked = spark.createDataFrame([], "a long, b long, distance double, linked boolean")
     found = spark.createDataFrame([], "node long, component long")
-    used = spark.createDataFrame([], "list_id long, a long")
     for _ in range(ROUNDS):
-        labelled = lists.join(found.withColumnRenamed("node", "ref"), "ref", "left").select("list_id", "ref", "common", F.coalesce("component", "ref").alias("component"))
-        past = used.join(found.withColumnRenamed("node", "a"), "a", "left").select("list_id", F.coalesce("component", "a").alias("component")).distinct()
-        heads = labelled.join(past, ["list_id", "component"], "left_anti").groupBy("list_id").agg(F.max(F.struct("common", "ref", "component")).alias("hub"))
-        heads = heads.select("list_id", F.col("hub.ref").alias("a"), F.col("hub.component").alias("hub_component"))
+        labelled, heads = still_open(lists, found)
         stars = labelled.join(heads, "list_id").filter("component <> hub_component").select("a", F.col("ref").alias("b")).distinct()
         known = checked.select("a", "b").union(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = possible(stars.join(known, ["a", "b"], "left_anti"), classes, percent)
-        n_near, n_lists = near.count(), heads.count()
+        # the hub has met all others of its list; what is left is between the others
+        lists = saved(labelled.join(heads.select("list_id", F.col("a").alias("ref")), ["list_id", "ref"], "left_anti").join(heads.select("list_id"), "list_id").select("list_id", "ref", "common", "n"))
+        n_near = near.count()
         if n_near:
             checked = saved(checked.union(verify(rows, classes, near, percent, size)))
             found = components(checked.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
-        if 20 * n_near < n_lists:
+        if 10 * n_near < lists.count():
             break
-        used = saved(used.union(heads.select("list_id", "a")))
 
     # whatever stands in one list and still in two components: all pairs that sizes and parities leave open
-    labelled = lists.join(found.withColumnRenamed("node", "ref"), "ref", "left").select("list_id", "ref", "n", F.coalesce("component", "ref").alias("c"))
-    open_lists = labelled.groupBy("list_id").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("list_id")
-    open_rows = saved(labelled.join(open_lists, "list_id").join(classes.select("ref", "parities"), "ref"))
-    other = open_rows.select("list_id", *[F.col(c).alias(f"{c}2") for c in ("ref", "n", "c", "parities")])
+    labelled, heads = still_open(lists, found)
+    open_rows = labelled.join(heads.select("list_id"), "list_id").join(classes.select("ref", "parities"), "ref")
+    open_rows = saved(open_rows.select("list_id", "ref", "n", F.col("component").alias("c"), "parities"))
+    other = open_rows.select(F.col("list_id").alias("list_id2"), *[F.col(c).alias(f"{c}2") for c in ("ref", "n", "c", "parities")])
     differ = F.expr("if(size(parities) = size(parities2), aggregate(zip_with(parities, parities2, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x), 0)")
     sized = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
     near = sized & (100 * (F.col("n") + F.col("n2") - differ) >= percent * (F.col("n") + F.col("n2") + differ))
-    across = open_rows.join(other, (open_rows.list_id == other.list_id) & (F.col("ref") < F.col("ref2")) & (F.col("c") != F.col("c2")) & near)
+    across = open_rows.join(other, (F.col("list_id") == F.col("list_id2")) & (F.col("ref") < F.col("ref2")) & (F.col("c") != F.col("c2")) & near)
     known = checked.select("a", "b").union(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = saved(across.select(F.col("ref").alias("a"), F.col("ref2").alias("b")).distinct().join(known, ["a", "b"], "left_anti"))
+    rest = across.select(F.col("ref").alias("a"), F.col("ref2").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
     rest = possible(rest, classes, percent)
     links = checked.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     if not rest.isEmpty():
@@ -476,7 +481,7 @@ def cluster(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         found = components(links)
 
     degree = links.select(F.explode(F.array("u", "v")).alias("ref")).groupBy("ref").agg(F.count("*").alias("n_links"))
-    by_set = classes.select("ref", "id").join(found.withColumnRenamed("node", "ref"), "ref", "left").join(degree, "ref", "left").select("ref", "id", F.coalesce("component", "ref").alias("c"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    by_set = classes_all.select("ref", "id").join(found.withColumnRenamed("node", "ref"), "ref", "left").join(degree, "ref", "left").select("ref", "id", F.coalesce("component", "ref").alias("c"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     by_set = saved(by_set)
     named = by_set.join(by_set.groupBy("c").agg(F.min("id").alias("component_id")), "c").select("ref", "component_id", "n_links")
     out = members.join(named, "ref", "left")
