@@ -214,7 +214,7 @@ def open_shard(uri: str) -> Shard:
 
 
 #: Pieces of text whose ids a worker remembers (some 200 bytes each), and code points that are encoded at once.
-REMEMBERED, TOGETHER = 400_000, 1 << 20
+REMEMBERED, TOGETHER = 250_000, 1 << 20
 #: All white space: beside it, a space does not start a piece. BORDER drops the space before a piece.
 SPACES = "".join(filter(str.isspace, map(chr, range(0x3001))))
 BORDER = re.compile(r"(?<=\S)\x20(?=\S)")
@@ -272,19 +272,25 @@ class Encoder:
         whole = [t for t, p in zip(texts, parts, strict=True) if p is None]
         done = iter(self._encode([*first, *whole]))
         first = {k: next(done) for k in first}
-        memory = self.memory
-        new = {x for p in parts if p for x in p[1:] if x not in memory}
+        known = [list(map(self.memory.get, p[1:])) if p else None for p in parts]
+        new = {x for p, got in zip(parts, known, strict=True) if p for x, ids in zip(p[1:], got, strict=True) if ids is None}
         # white space at a piece's end would change the cut of its neighbour
         plain = [x for x in new if x and not x[0].isspace() and not x[-1].isspace()]
-        memory.update(zip(plain, self._pieces(plain), strict=True))
-        odd = [x for x in new if x not in memory]
-        memory.update(zip(odd, self._encode([" " + x for x in odd]), strict=True))
-        out = [first[p[0]] + b"".join(map(memory.__getitem__, p[1:])) if p else next(done) for p in parts]
-        if len(memory) > REMEMBERED:
+        made = dict(zip(plain, self._pieces(plain), strict=True))
+        odd = [x for x in new if x not in made]
+        made.update(zip(odd, self._encode([" " + x for x in odd]), strict=True))
+        if len(self.memory) < REMEMBERED:
+            self.memory.update(made)
+        else:
             self.missed += len(new)
-            for x in new if self.missed < 20 * REMEMBERED else list(memory):  # forget all where the texts have changed
-                del memory[x]
-            self.missed %= 20 * REMEMBERED
+            if self.missed > 20 * REMEMBERED:  # the texts have changed: learn anew
+                self.memory, self.missed = {}, 0
+        out = []
+        for p, got in zip(parts, known, strict=True):
+            if p is None:
+                out.append(next(done))
+            else:
+                out.append(first[p[0]] + b"".join([made[x] if ids is None else ids for x, ids in zip(p[1:], got, strict=True)]))
         return out
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
