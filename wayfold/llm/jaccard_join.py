@@ -351,18 +351,24 @@ def scan_lists(postings: DataFrame) -> DataFrame:
     return postings.repartition(n, "part").mapInArrow(run, "list_id long, ref long")
 
 
-#: Bits of the map of needed documents that is broadcast (as 64-bit words, 262,144 rows at most).
+#: Bits of the map of ids that is broadcast (as 64-bit words, 262,144 rows at most).
 MAP_BITS = 24
 
 
+def by_map(rows: DataFrame, ids: DataFrame, id_col: str, hit: bool) -> DataFrame:
+    """The rows whose id may be among ids (hit), or is surely not: by a bitmap of bounded size that is broadcast."""
+    place = lambda c: F.expr(f"pmod(xxhash64(`{c}`), {1 << MAP_BITS})")
+    bits = ids.select(place("id").alias("p")).select(F.shiftright("p", 6).alias("map_word"), F.expr("shiftleft(1L, int(p & 63))").alias("bit")).groupBy("map_word").agg(F.bit_or("bit").alias("map_bits"))
+    placed = rows.withColumn("map_place", place(id_col)).withColumn("map_word", F.shiftright("map_place", 6)).join(F.broadcast(bits), "map_word", "inner" if hit else "left")
+    found = F.expr("coalesce((shiftright(map_bits, int(map_place & 63)) & 1) = 1, false)")
+    return placed.filter(found if hit else ~found).select(*rows.columns)
+
+
 def needed_texts(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """ref, text of the sets in pairs; a bounded bitmap keeps most other texts out of the shuffle."""
+    """ref, text of the sets in pairs; most other texts stay out of the shuffle."""
     refs = pairs.select(F.explode(F.array("a", "b")).alias("ref")).distinct()
     ids = saved(classes.join(refs, "ref").select("ref", "id"))
-    place = F.expr(f"pmod(xxhash64(id), {1 << MAP_BITS})")
-    words = ids.select(place.alias("p")).select(F.shiftright("p", 6).alias("word"), F.expr("shiftleft(1L, int(p & 63))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    near = rows.withColumn("p", place).withColumn("word", F.shiftright("p", 6)).join(F.broadcast(words), "word").filter("(shiftright(bits, int(p & 63)) & 1) = 1").select("id", "text")
-    return near.join(ids, "id").select("ref", "text")
+    return by_map(rows, ids, "id", True).join(ids, "id").select("ref", "text")
 
 
 def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -494,10 +500,12 @@ def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows without an id have no class and stay.
     """
     marked = cluster(documents.filter(F.col(id_col).isNotNull()), id_col, text_col, percent, size)
-    kept = saved(marked.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("k_id")).distinct())
-    chosen = documents.join(kept, F.col(id_col) == F.col("k_id"), "left_semi")
-    repeated = saved(documents.groupBy(F.col(id_col).alias("k_id")).agg(F.count("*").alias("n")).filter("n > 1 and k_id is not null"))
-    if repeated.isEmpty():
-        return chosen.unionByName(documents.filter(F.col(id_col).isNull()))
-    once = chosen.dropDuplicates([id_col])
-    return once.unionByName(documents.filter(F.col(id_col).isNull()))
+    dropped = saved(marked.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("id")).distinct())
+    repeated = saved(documents.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).count().filter("count > 1").select("id"))
+    suspects = dropped.union(repeated)
+    kept = by_map(documents, suspects, id_col, False)
+    left = by_map(documents, suspects, id_col, True).join(dropped, F.col(id_col) == dropped.id, "left_anti")
+    if not repeated.isEmpty():
+        null_ids = left.filter(F.col(id_col).isNull())
+        left = left.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(null_ids)
+    return kept.unionByName(left)
