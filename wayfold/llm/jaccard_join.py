@@ -38,12 +38,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import saved
+from wayfold.llm.common import release_memory, saved
 from wayfold.llm.components import components
 
 WORDS, PERCENT = 5, 80
 COMMON, HOT, LEAST_COUNT = 1 << 18, 2000, 6
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 SIGN = np.uint64(1 << 63)
 
@@ -60,7 +60,7 @@ VALUES[65:91] = VALUES[97:123]
 SPACE = np.zeros(256, np.bool_)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text that are hashed at once.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 BASE = int(P1)
 UNBASE = pow(BASE, -1, 1 << 64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -195,6 +195,8 @@ def count_common(texts: DataFrame, size: int) -> DataFrame:
                     seen.clear()
         if held:
             yield repeated()
+        held.clear()
+        release_memory()
         yield pa.RecordBatch.from_arrays([pa.array([1] * len(sizes) + [2], pa.int8()), pa.array([*sizes, 0], pa.int64()), pa.array([*sizes.values(), total], pa.int64())], names=["kind", "key", "n"])
 
     return texts.mapInArrow(run, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
@@ -309,6 +311,8 @@ def post(rows: DataFrame, common: tuple[bytes, bytes, bytes], boundary: int, par
                     seen.clear()
         if held:
             yield blobs()
+        sigs, refs = [], []
+        release_memory()
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"kind byte, id {kind}, n long, set_id long, common double, parities array<bigint>, sig long, part int, blob binary")
@@ -346,6 +350,7 @@ def scan_lists(postings: DataFrame) -> DataFrame:
             found = lists(held.pop(part), part)
             if found is not None:
                 yield found
+        release_memory()
 
     n = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return postings.repartition(n, "part").mapInArrow(run, "list_id long, ref long")

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import saved, shared_dir
+from wayfold.llm.common import release_memory, saved, shared_dir
 
 MAGIC, VERSION, BLOCK, BITS_PER_KEY, PROBES = b"WFSST\x00\x00\x01", 1, 64 << 10, 10, 7
 FOOTER = struct.Struct("<QQQQQQI8s")
@@ -365,6 +365,7 @@ def write_shards(
             writer.close()
             size = sink.tell()
             sink.close()
+            release_memory()
             yield pa.RecordBatch.from_pylist([dict(shard=TaskContext.get().partitionId(), uri=name, entries=writer.entries, ids=writer.ids, first_key=first, last_key=writer.last, bytes=size)])
 
     return saved(ranged.mapInArrow(run, "shard long, uri string, entries long, ids long, first_key binary, last_key binary, bytes long"), f"{folder}/manifest")
