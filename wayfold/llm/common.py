@@ -37,6 +37,18 @@ def saved(df: DataFrame, where: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(where)
 
 
+#: Rows of an Arrow batch: texts can be long, and a batch is held whole by the executor and by its Python worker.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The frame, with its session's Arrow batches bounded to BATCH_ROWS rows."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def release_memory() -> None:
     """Give a Python worker's freed memory back, as workers live on between tasks."""
     pa.default_memory_pool().release_unused()

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.llm.common import small_batches
+
 #: Word characters: 0-9, a-z and all beyond ASCII, after lower-casing A-Z.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -127,7 +129,7 @@ def find_contamination(
     documents that are passed through.
     """
     blocks = blocks_of(benchmark, item_col, item_text_col, block_chars)
-    state = documents.select(
+    state = small_batches(documents).select(
         F.struct(*dict.fromkeys((id_col, text_col, *carry))).alias("row"),
         F.col(text_col).alias("text"),
         F.lit(0).cast("long").alias("n_words"),

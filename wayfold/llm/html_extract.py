@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import saved
+from wayfold.llm.common import saved, small_batches
 from wayfold.llm.url_filter import split_url
 
 TOKEN = re.compile(
@@ -236,6 +236,7 @@ def vote_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: id, url, text, n_chars."""
+    pages = small_batches(pages)
     winners = saved(vote_paths(pages, url_col, html_col))
 
     def with_host(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import release_memory, saved
+from wayfold.llm.common import release_memory, saved, small_batches
 from wayfold.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -435,7 +435,7 @@ ROUNDS = 3
 def cluster(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = WORDS) -> DataFrame:
     """Per document: id, n_shingles, component_id (least id that links reach, its own included), n_links (verified)."""
     spark = documents.sparkSession
-    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = small_batches(documents).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     counted = saved(count_common(rows.select("text"), size))
     top = counted.filter(f"kind = 0 and n >= {LEAST_COUNT}").orderBy(F.desc("n"), "key").limit(COMMON).select("key", "n").toArrow()
     keys, counts = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()

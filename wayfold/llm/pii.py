@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import saved
+from wayfold.llm.common import saved, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -183,7 +183,7 @@ def find_pii(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     shape = "struct<kind: string, start: bigint, end: bigint>"
     schema = f"id {kind}, base array<{shape}>, seen array<struct<kind: string, pattern: string, instance: string, start: bigint, end: bigint>>"
-    scanned = saved(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumn("uid", F.monotonically_increasing_id()))
+    scanned = saved(small_batches(documents).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumn("uid", F.monotonically_increasing_id()))
     edges = scanned.select("uid", F.explode("seen").alias("o")).select("uid", "o.*")
     accepted = accept_patterns(edges.select("pattern", "instance", "kind"))
     hits = edges.filter("kind is null").drop("kind").join(accepted, "pattern")

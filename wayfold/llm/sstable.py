@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import release_memory, saved, shared_dir
+from wayfold.llm.common import release_memory, saved, shared_dir, small_batches
 
 MAGIC, VERSION, BLOCK, BITS_PER_KEY, PROBES = b"WFSST\x00\x00\x01", 1, 64 << 10, 10, 7
 FOOTER = struct.Struct("<QQQQQQI8s")
@@ -328,7 +328,7 @@ def write_shards(
 
     Shards hold ranges of identifiers; where ``shard_col`` names a column of shard numbers, they hold what it says.
     """
-    spark = documents.sparkSession
+    spark = small_batches(documents).sparkSession
     folder = (where or shared_dir(spark)).rstrip("/")
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.llm.common import small_batches
+
 BITS, SIZES = 20, (3, 4, 5)
 MAX_TOXIC, MAX_OTHER, MIN_DF, MIN_RATIO, SMOOTH = 3000, 5000, 3, 1.0, 0.5
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -98,6 +100,7 @@ def score(text: str | None, weights: np.ndarray, used: np.ndarray, bias: float)
 
 def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[bytes, float]:
     """Fit on labelled documents; labels should hold the rows to learn from only."""
+    documents = small_batches(documents)
     one = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).alias("y"))
     ordered = one.orderBy(F.xxhash64("id"), "id")
     sample = ordered.filter("y").limit(MAX_TOXIC).union(ordered.filter("not y").limit(MAX_OTHER))
