@@ -214,7 +214,7 @@ def open_shard(uri: str) -> Shard:
 
 
 #: Pieces of text whose ids a worker remembers (some 200 bytes each), and code points that are encoded at once.
-REMEMBERED, TOGETHER = 250_000, 1 << 20
+REMEMBERED, TOGETHER = 800_000, 1 << 20
 #: All white space: beside it, a space does not start a piece. BORDER drops the space before a piece.
 SPACES = "".join(filter(str.isspace, map(chr, range(0x3001))))
 BORDER = re.compile(r"(?<=\S)\x20(?=\S)")
