@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -49,6 +50,20 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+#: What the operators keep in a Python worker between tasks.
+KEPT: list[dict] = []
+
+
+def drop_kept(*but: dict) -> None:
+    """Forget what other operators keep in this Python worker: workers outlive a query's stages."""
+    others = [kept for kept in KEPT if kept and not any(kept is b for b in but)]
+    for kept in others:
+        kept.clear()
+    if others:
+        gc.collect()
+        release_memory()
+
+
 def release_memory() -> None:
     """Give a Python worker's freed memory back, as workers live on between tasks."""
     pa.default_memory_pool().release_unused()

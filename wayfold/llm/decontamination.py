@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import small_batches
+from wayfold.llm.common import KEPT, drop_kept, small_batches
 
 #: Word characters: 0-9, a-z and all beyond ASCII, after lower-casing A-Z.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -42,6 +42,7 @@ def windows_of(words: list[bytes], size: int) -> list[list[bytes]]:
 
 
 _built: dict = {}
+KEPT.append(_built)
 
 
 def automaton_of(block: tuple, size: int):
@@ -143,6 +144,7 @@ def find_contamination(
         final = number == len(blocks) - 1
 
         def step(batches: Iterator[pa.RecordBatch], block=block, final=final) -> Iterator[pa.RecordBatch]:
+            drop_kept(_built)
             a = automaton_of(block, window)
             for batch in batches:
                 row, texts, _, before, known, _ = batch.columns

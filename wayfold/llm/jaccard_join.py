@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import release_memory, saved, small_batches
+from wayfold.llm.common import drop_kept, release_memory, saved, small_batches
 from wayfold.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -171,6 +171,7 @@ def count_common(texts: DataFrame, size: int) -> DataFrame:
     """kind, key, n: counts of shingles that repeat within a chunk (kind 0), sets by size (1), all shingles (2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         seen: set[int] = set()
         held, n_held, sizes, total = [], 0, {}, 0
 

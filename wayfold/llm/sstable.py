@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import release_memory, saved, shared_dir, small_batches
+from wayfold.llm.common import KEPT, drop_kept, release_memory, saved, shared_dir, small_batches
 
 MAGIC, VERSION, BLOCK, BITS_PER_KEY, PROBES = b"WFSST\x00\x00\x01", 1, 64 << 10, 10, 7
 FOOTER = struct.Struct("<QQQQQQI8s")
@@ -306,6 +306,7 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+KEPT.append(_encoders)
 
 
 def encoder(tokenizer_file: str) -> Encoder:
@@ -345,6 +346,7 @@ def write_shards(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        drop_kept(_encoders)
         encode = encoder(tokenizer_file)
         end = np.array([end_id], encode.dtype).tobytes()
         width = len(end)

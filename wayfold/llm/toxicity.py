@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import small_batches
+from wayfold.llm.common import drop_kept, small_batches
 
 BITS, SIZES = 20, (3, 4, 5)
 MAX_TOXIC, MAX_OTHER, MIN_DF, MIN_RATIO, SMOOTH = 3000, 5000, 3, 1.0, 0.5
@@ -125,6 +125,7 @@ def score_documents(documents: DataFrame, labels: DataFrame, id_col: str = "doc_
     out = slim.select(*names, F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         weights = np.zeros(1 << BITS, np.float32)
         weights[np.frombuffer(at, np.int32)] = np.frombuffer(values, np.float32)
         used = weights != 0
