@@ -62,17 +62,16 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 150, penalty: float =
     if not n_pos or not n_neg:
         share = min(max(n_pos / max(1, n_pos + n_neg), 1e-6), 1 - 1e-6)
         return weights, float(np.log(share / (1 - share))) if n_pos + n_neg else -20.0
-    found = [presences(t) for t in texts]
     df = [np.zeros(1 << BITS, np.float64) for _ in range(2)]
-    for f, y in zip(found, toxic, strict=True):
-        df[int(y)][f] += 1
+    for t, y in zip(texts, toxic, strict=True):
+        df[int(y)][presences(t)] += 1
     p, q = df[1] + SMOOTH, df[0] + SMOOTH
     ratio = np.log(p / (n_pos + 2 * SMOOTH)) - np.log(q / (n_neg + 2 * SMOOTH))
     keep = (df[0] + df[1] >= MIN_DF) & (np.abs(ratio) >= MIN_RATIO)
     columns = np.full(1 << BITS, -1, np.int32)
     columns[keep] = np.arange(keep.sum(), dtype=np.int32)
     r = ratio[keep]
-    kept = [c[c >= 0] for c in (columns[f] for f in found)]
+    kept = [c[c >= 0] for c in (columns[presences(t)] for t in texts)]  # hashed again: all presences at once are some hundred MB
     lengths = np.array([len(k) for k in kept])
     cols = np.concatenate(kept) if len(kept) else np.zeros(0, np.int32)
     rows = np.repeat(np.arange(len(kept)), lengths)
@@ -108,6 +107,7 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     picked = texts.join(F.broadcast(sample), "id").select("id", "text", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         rows = sorted({(i, t or "", y) for b in batches for i, t, y in zip(*(c.to_pylist() for c in b.columns), strict=True)})
         weights, bias = fit([t for _, t, _ in rows], np.array([y for _, _, y in rows], bool))
         at = np.flatnonzero(weights).astype(np.int32)
