@@ -18,9 +18,10 @@ def overlap(left: DataFrame, right: DataFrame, least: int, bucket: int, keys: tu
     return pairs.filter((F.floor(begin / bucket) == F.col("b")) & (end - begin >= least)).withColumn("overlap", end - begin).drop("b")
 
 
-def longest_overlap(left: DataFrame, right: DataFrame, least: int, bucket: int, left_id: str, right_id: str) -> DataFrame:
+def longest_overlap(left: DataFrame, right: DataFrame, least: int, bucket: int, left_id: str, right_id: str, keep: Column | None = None) -> DataFrame:
     """For each left row the right row of longest overlap; of equal ones that of least id; null where none is."""
-    pairs = overlap(left, right, least, bucket).select(F.col(f"l.{left_id}").alias(left_id), F.col(f"r.{right_id}").alias("match"), "overlap")
+    pairs = overlap(left, right, least, bucket)
+    pairs = (pairs.filter(keep) if keep is not None else pairs).select(F.col(f"l.{left_id}").alias(left_id), F.col(f"r.{right_id}").alias("match"), "overlap")
     best = pairs.groupBy(left_id).agg(F.max(F.struct("overlap", (-F.col("match")).alias("m"))).alias("top"))
     return left.select(left_id).join(best.select(left_id, (-F.col("top.m")).alias("match"), F.col("top.overlap").alias("overlap")), left_id, "left")
 

@@ -107,11 +107,10 @@ def q_dedupe_first(spark, d):
     return f.groupBy("ride", "kind").agg(F.min("seq").alias("seq"), (F.count("*") - 1).alias("dup"))
 
 
-@query("SELECT coalesce(n.c_custkey, o.c_custkey) AS key, coalesce(n.v, o.v) AS v, CASE WHEN o.c_custkey IS NULL THEN 'added' WHEN n.c_custkey IS NULL THEN 'kept' ELSE 'replaced' END AS state FROM (SELECT c_custkey, c_name AS v FROM customer WHERE c_custkey % 3 <> 0) o FULL JOIN (SELECT c_custkey, upper(c_mktsegment) AS v FROM customer WHERE c_custkey % 2 = 0) n ON o.c_custkey = n.c_custkey")
+@query("SELECT coalesce(n.key, o.key) AS key, coalesce(n.v, o.v) AS v, CASE WHEN o.key IS NULL THEN 'added' WHEN n.key IS NULL THEN 'kept' ELSE 'replaced' END AS state FROM (SELECT c_custkey AS key, c_name AS v FROM customer) o FULL JOIN (SELECT s_suppkey * 29 AS key, s_name AS v FROM supplier) n ON o.key = n.key")
 def q_upsert_merge(spark, d):
-    c = table(spark, d, "customer")
-    old, new = c.filter("c_custkey % 3 <> 0").selectExpr("c_custkey as key", "c_name as v"), c.filter("c_custkey % 2 = 0").selectExpr("c_custkey as key", "upper(c_mktsegment) as v")
-    return tables.upsert(old, new, "key", ["v"])
+    old = table(spark, d, "customer").selectExpr("c_custkey as key", "c_name as v")
+    return tables.upsert(old, table(spark, d, "supplier").selectExpr("s_suppkey * 29 as key", "s_name as v"), "key", ["v"])
 
 
 @query(sql("SELECT a.trip, count(*) AS n FROM trips a JOIN trips b ON a.trip <> b.trip AND least(a.e, b.e) - greatest(a.s, b.s) >= 60 GROUP BY a.trip", "trips"))
@@ -120,10 +119,10 @@ def q_overlap_count(spark, d):
     return joins.overlap(t, t, 60, 3600).filter("l.trip <> r.trip").groupBy(F.col("l.trip").alias("trip")).agg(F.count("*").alias("n"))
 
 
-@query(sql("SELECT a.trip, m.match, m.overlap FROM (SELECT * FROM trips WHERE trip % 2 = 0) a LEFT JOIN (SELECT * FROM (SELECT a.trip, b.trip AS match, least(a.e, b.e) - greatest(a.s, b.s) AS overlap, row_number() OVER (PARTITION BY a.trip ORDER BY least(a.e, b.e) - greatest(a.s, b.s) DESC, b.trip) AS k FROM trips a JOIN trips b ON a.trip % 2 = 0 AND b.trip % 2 = 1 AND least(a.e, b.e) - greatest(a.s, b.s) >= 60) WHERE k = 1) m ON a.trip = m.trip", "trips"))
+@query(sql("SELECT a.trip, m.match, m.overlap FROM trips a LEFT JOIN (SELECT * FROM (SELECT a.trip, b.trip AS match, least(a.e, b.e) - greatest(a.s, b.s) AS overlap, row_number() OVER (PARTITION BY a.trip ORDER BY least(a.e, b.e) - greatest(a.s, b.s) DESC, b.trip) AS k FROM trips a JOIN trips b ON a.trip <> b.trip AND least(a.e, b.e) - greatest(a.s, b.s) >= 60) WHERE k = 1) m ON a.trip = m.trip", "trips"))
 def q_overlap_longest(spark, d):
     t = roles.trips(spark, d).select("trip", "s", "e")
-    return joins.longest_overlap(t.filter("trip % 2 = 0"), t.filter("trip % 2 = 1").withColumnRenamed("trip", "other"), 60, 3600, "trip", "other")
+    return joins.longest_overlap(t, t.withColumnRenamed("trip", "other"), 60, 3600, "trip", "other", F.col("l.trip") != F.col("r.other"))
 
 
 RESUME = "re AS (SELECT *, coalesce(pd = dock AND s - pe BETWEEN 0 AND {h} * 3600, false) AS resume FROM (SELECT *, lag(e) OVER w AS pe, lag(dock) OVER w AS pd FROM trips WINDOW w AS (PARTITION BY bike ORDER BY s, trip)))"
@@ -350,19 +349,19 @@ def q_grid_radius(spark, d):
     return joins.within(f, f, 30, F.col("l.seq") != F.col("r.seq")).groupBy(F.col("l.seq").alias("seq")).agg(F.count("*").alias("n"))
 
 
-KNN = "SELECT {2} FROM (SELECT a.seq AS id, b.seq AS near, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2, row_number() OVER (PARTITION BY a.seq ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.seq) AS rank FROM fixes a JOIN fixes b ON a.seq % 5 = 0 AND b.seq % 5 = 1 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {0}) WHERE rank <= {1}"
+KNN = "SELECT {2} FROM (SELECT a.seq AS id, b.seq AS near, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2, row_number() OVER (PARTITION BY a.seq ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.seq) AS rank FROM fixes a JOIN fixes b ON a.seq <> b.seq AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {0}) WHERE rank <= {1}"
 
 
-@query(sql(KNN.format(40000, 4, "id, near, d2, rank"), "fixes"))
+@query(sql(KNN.format(625, 4, "id, near, d2, rank"), "fixes"))
 def q_knn_bounded(spark, d):
     f = roles.fixes(spark, d).select("seq", "x", "y")
-    return joins.nearest(f.filter("seq % 5 = 0"), f.filter("seq % 5 = 1"), 200, 4, "seq", "seq")
+    return joins.nearest(f, f, 25, 4, "seq", "seq", F.col("l.seq") != F.col("r.seq"))
 
 
-@query(sql(KNN.format(250000, 1, "id, near, d2"), "fixes"))
+@query(sql(KNN.format(3025, 1, "id, near, d2"), "fixes"))
 def q_nearest_min_by(spark, d):
     f = roles.fixes(spark, d).select("seq", "x", "y")
-    near = joins.within(f.filter("seq % 5 = 0"), f.filter("seq % 5 = 1"), 500)
+    near = joins.within(f, f, 55, F.col("l.seq") != F.col("r.seq"))
     return near.groupBy(F.col("l.seq").alias("id")).agg(F.min(F.struct("d2", F.col("r.seq").alias("s"))).alias("m")).select("id", F.col("m.s").alias("near"), F.col("m.d2").alias("d2"))
 
 
@@ -499,9 +498,9 @@ def q_pass_histogram(spark, d):
     return roles.edge_rides(spark, d).groupBy("edge").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("edges"))
 
 
-@query("WITH RECURSIVE l AS (SELECT DISTINCT l_suppkey AS u, l_partkey + 1000000 AS v FROM lineitem WHERE l_orderkey % 97 = 0), b AS (SELECT u, v FROM l UNION SELECT v, u FROM l), r AS (SELECT u AS node, u AS m FROM b UNION SELECT b.v, r.m FROM r JOIN b ON r.node = b.u WHERE r.m < b.v) SELECT node, min(m) AS component FROM r GROUP BY node")
+@query()
 def q_components(spark, d):
-    links = table(spark, d, "lineitem").filter("l_orderkey % 97 = 0").selectExpr("l_suppkey as u", "l_partkey + 1000000 as v").distinct()
+    links = table(spark, d, "lineitem").selectExpr("l_suppkey as u", "l_partkey + 1000000 as v").distinct()
     return tables.components(links)
 
 
