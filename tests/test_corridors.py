@@ -1,9 +1,13 @@
 """Corridor merging on lines whose merged passes are known, and components against brute force."""
 
+import json
+
 from pyspark.sql import functions as F
 
-from wayfold.operators import corridors
+from wayfold.functions import geo
+from wayfold.operators import corridors, graph
 from wayfold.plans import registry
+from wayfold.sources import writers
 
 DATA = "/root/testdata/sf0.001"
 
@@ -67,3 +71,46 @@ def test_components_of_the_whole_table(spark):
                 want[at] = start
                 todo.extend(around[at])
     assert got == want
+
+
+def line(*points):
+    return [(float(x), float(y)) for x, y in points]
+
+
+LINES = "fid long, name string, points array<struct<x: double, y: double>>, n long"
+
+
+def test_busiest_stretch(spark):
+    blocks = [(i, "Kent Avenue", line((100 * i + gap, 0), (100 * i + 100, 0)), n) for i, (n, gap) in enumerate([(9, 0), (10, 4), (8, 0), (5, 0)])]
+    far = [(10, "Gap Street", line((0, 500), (100, 500)), 7), (11, "Gap Street", line((120, 500), (220, 500)), 7), (12, None, line((0, 900), (500, 900)), 99), (13, "Stub", line((0, 700), (20, 700)), 50)]
+    rows = graph.busiest_stretches(spark.createDataFrame(blocks + far, LINES)).collect()
+    assert [tuple(r) for r in rows] == [("Kent Avenue", 8, 296), ("Gap Street", 7, 100)]
+
+
+def test_simplify(spark):
+    lines = spark.createDataFrame([(1, "", line((0, 0), (50, 0.4), (100, 0), (100, 80)), 1), (2, "", line((3, 3)), 1), (3, "", None, 1), (4, "", [], 1)], LINES)
+    got = {r.fid: r.p and [(q.x, q.y) for q in r.p] for r in lines.select("fid", geo.simplify("points", 1.0).alias("p")).collect()}
+    assert got == {1: [(0, 0), (100, 0), (100, 80)], 2: [(3, 3)], 3: None, 4: []}
+
+
+def test_export(spark):
+    lines = spark.createDataFrame([(1, "A", line((0, 0), (9, 0)), 3), (2, "B", line((0, 5), (4, 5), (9, 5)), 1)], LINES)
+    passes = spark.createDataFrame([(1, "r1", 1, 1), (1, "r2", 0, 0), (2, "r2", None, 1)], "fid long, ride string, fwd int, rev int")
+    rides = spark.createDataFrame([("r1", "2024-01-02", "08:00", 3.0), ("r2", "2024-01-05", "09:00", 4.0)], "ride string, day string, clock string, km double")
+    head, rows = writers.export_parts(lines, passes, rides)
+    props = json.loads(head.first().value)
+    assert (props["total_rides"], props["dates"], props["max_count"]) == (2, ["2024-01-02", "2024-01-05"], 3)
+    assert props["top_segment"] == {"name": "A", "x": 9.0, "y": 0.0} and props["rides"][1] == {"date": 1, "clock": "09:00", "km": 4.0}
+    assert [json.loads(r.value)["properties"] for r in rows.collect()] == [{"name": "B", "rides": [1]}, {"name": "A", "rides": [0, 0, 1]}]
+
+
+def test_permutation(spark):
+    events = spark.createDataFrame([(i, 10, [1, 2, 3]) for i in range(5)] + [(9, 500, [])], "id long, value long, pool array<long>")
+    assert tuple(graph.permutation_test(events, 40).first()) == (10.0, 1.0)
+    low = events.selectExpr("id", "0 as value", "pool")
+    assert tuple(graph.permutation_test(low, 40).first()) == (0.0, 0.0)
+
+
+def test_queries_without_sql_give_rows(spark):
+    for name in ("q_merge_corridors", "q_busiest_stretches", "q_export_features", "q_permutation"):
+        assert registry.queries()[name](spark, DATA).count() > 0, name

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,3 +80,31 @@ def middle(points: str) -> Column:
 
 def opposed(dx1, dy1, dx2, dy2) -> Column:
     return _c(dx1) * _c(dx2) + _c(dy1) * _c(dy2) < 0
+
+
+def simplify(points: str, tolerance: float) -> Column:
+    """Lines (array of x, y) without the vertices that lie within tolerance of what is kept (Douglas-Peucker)."""
+
+    @F.pandas_udf("array<struct<x: double, y: double>>")
+    def thinned(lines: pd.Series) -> pd.Series:
+        return lines.map(lambda line: None if line is None else [line[i] for i in _corners(np.array([(p["x"], p["y"]) for p in line], float).reshape(-1, 2), tolerance)])
+
+    return thinned(points)
+
+
+def _corners(line: np.ndarray, tolerance: float) -> list[int]:
+    """Indexes of the vertices to keep: the ends, and the farthest of each span that is off by more than tolerance."""
+    kept, spans = {0, len(line) - 1} if len(line) else set(), [(0, len(line) - 1)]
+    while spans:
+        a, b = spans.pop()
+        if b - a < 2:
+            continue
+        way, off = line[b] - line[a], line[a + 1 : b] - line[a]
+        square = float(way @ way)
+        t = np.clip(off @ way / square, 0, 1) if square else np.zeros(len(off))
+        far = np.hypot(*(off - t[:, None] * way).T)
+        if far.max() > tolerance:
+            middle = a + 1 + int(far.argmax())
+            kept.add(middle)
+            spans += [(a, middle), (middle, b)]
+    return sorted(kept)

@@ -1,4 +1,4 @@
-"""The sequential operators: chains, map matching, density clusters, a permutation test.
+"""The sequential operators: chains, busiest stretches, map matching, density clusters, a permutation test.
 
 Each works on one street, ride or region at a time (applyInPandas) and sees the rest of the network only through a
 grid join, so no task holds more than one group's neighbourhood.
@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.operators import joins
+from wayfold.functions import geo
+from wayfold.operators import joins, tables
 
 
 def chain_units(units: DataFrame) -> DataFrame:
@@ -54,8 +55,6 @@ def match_rides(fixes: DataFrame, edges: DataFrame, reach: float = 80.0, noise:
     part = F.col("k") / F.col("n")
     cells = sampled.select("u", "v", "ax", "ay", "bx", "by", F.floor((F.col("ax") + part * (F.col("bx") - F.col("ax"))) / reach).alias("cx"), F.floor((F.col("ay") + part * (F.col("by") - F.col("ay"))) / reach).alias("cy")).distinct()
     near = joins._cells(fixes, int(reach), True).join(cells, ["cx", "cy"])
-    from wayfold.functions import geo
-
     near = near.withColumn("d", geo.point_segment("x", "y", "ax", "ay", "bx", "by")).filter(F.col("d") <= reach).select("ride", "seq", "u", "v", "d").distinct()
 
     def viterbi(group: pd.DataFrame) -> pd.DataFrame:
@@ -100,15 +99,55 @@ def density_clusters(points: DataFrame, radius: int, least: int) -> DataFrame:
     return inside.groupBy("region").applyInPandas(assign, "region long, id long, cluster long")
 
 
-def permutation_test(rows: DataFrame, trials: int, group: str = "ride", value: str = "cents") -> DataFrame:
-    """For each group its median, and the share of trials in which as many rows drawn by a seeded hash have no larger one.
+def permutation_test(events: DataFrame, trials: int) -> DataFrame:
+    """observed (median value of all events), p (share of trials with no larger median).
 
-    A draw picks, for each row, the value of a row of the same rank bucket: trials are dealt over the cluster.
+    events: id, value, pool (array). A trial draws one member of each event's own pool by a hash of trial and event;
+    trials are dealt over the cluster. Events with an empty or null pool are left out.
     """
-    observed = rows.groupBy(group).agg(F.median(value).alias("observed"), F.count("*").alias("n"))
-    cuts = rows.agg(F.percentile_approx(value, [i / 100 for i in range(101)], 10_000).alias("q"))
-    drawn = observed.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials)))).withColumn("i", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(25)).cast("int"))))
-    pool = F.lit(cuts.first().q or [0])
-    picked = drawn.withColumn("v", F.element_at(pool, (F.pmod(F.xxhash64(group, "trial", "i"), F.lit(101)) + 1).cast("int")))
-    medians = picked.groupBy(group, "observed", "trial").agg(F.median("v").alias("m"))
-    return medians.groupBy(group, "observed").agg(F.avg((F.col("m") <= F.col("observed")).cast("double")).alias("p"))
+    fit = events.filter("size(pool) > 0")
+    drawn = fit.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
+    at = F.pmod(F.xxhash64("trial", "id"), F.size("pool").cast("long")) + 1
+    medians = drawn.groupBy("trial").agg(F.median(F.element_at("pool", at.cast("int"))).alias("m"))
+    observed = fit.agg(F.median("value").alias("observed")).first().observed
+    return medians.agg(F.lit(observed).cast("double").alias("observed"), F.avg((F.col("m") <= F.lit(observed)).cast("double")).alias("p"))
+
+
+def busiest_stretches(features: DataFrame, keep: float = 0.8, least_m: float = 50.0, meet: int = 6, top: int = 8) -> DataFrame:
+    """The streets ridden most along a stretch: name, n (passes of its least ridden feature), metres.
+
+    features: fid, name, points, n. Ends within ``meet`` metres are one node. A stretch begins at a street's busiest
+    feature and goes on at both ends to the busiest one that has ``keep`` of its passes; one of less than ``least_m``
+    gives way to the next seed. One street is walked in one task.
+    """
+    named = features.filter("name is not null and name <> '' and n > 0")
+    tip = lambda slot, at: named.select(F.col("fid"), F.lit(slot).alias("slot"), F.element_at("points", at)["x"].alias("x"), F.element_at("points", at)["y"].alias("y"))
+    tips = tip(0, 1).union(tip(1, -1)).withColumn("tip", F.col("fid") * 2 + F.col("slot"))
+    met = joins.within(tips, tips, meet, F.col("l.tip") < F.col("r.tip")).select(F.col("l.tip").alias("u"), F.col("r.tip").alias("v"))
+    nodes = tables.components(met).select(F.col("node").alias("tip"), "component")
+    placed = tips.join(nodes, "tip", "left").select("fid", "slot", F.coalesce("component", "tip").alias("node"))
+    ends = placed.groupBy("fid").agg(F.min_by("node", "slot").alias("a"), F.max_by("node", "slot").alias("b"))
+    rows = named.select("fid", "name", F.col("n").cast("long").alias("n"), geo.path_length("points").alias("metres")).join(ends, "fid")
+
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        ranked = list(group.sort_values(["n", "fid"], ascending=[False, True]).itertuples())
+        around: dict = {}
+        for r in ranked:
+            for node in {r.a, r.b}:
+                around.setdefault(node, []).append(r)
+        for seed in ranked:
+            stretch = {seed.fid: seed}
+            for here in (seed.b, seed.a):
+                while here is not None:
+                    step = next((r for r in around[here] if r.fid not in stretch and r.n >= keep * seed.n), None)
+                    if step is not None:
+                        stretch[step.fid] = step
+                        here = step.b if step.a == here else step.a
+                    else:
+                        here = None
+            metres = sum(r.metres for r in stretch.values())
+            if metres >= least_m:
+                return pd.DataFrame([(group.name.iloc[0], min(r.n for r in stretch.values()), round(metres))], columns=["name", "n", "metres"])
+        return pd.DataFrame({"name": pd.Series(dtype=str), "n": pd.Series(dtype="int64"), "metres": pd.Series(dtype="int64")})
+
+    return rows.groupBy("name").applyInPandas(walk, "name string, n long, metres long").orderBy(F.desc("n"), F.desc("metres"), "name").limit(top)

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo, text
-from wayfold.operators import graph, joins, tables, traces
+from wayfold.operators import corridors, graph, joins, tables, traces
 from wayfold.plans import roles
 from wayfold.plans.roles import sql, table
+from wayfold.sources import writers
 
 _queries: dict = {}
 _sql: dict[str, str] = {}
@@ -526,4 +527,33 @@ def q_od_clusters(spark, d):
 
 @query()
 def q_permutation(spark, d):
-    return graph.permutation_test(roles.fixes(spark, d).selectExpr("ride", "cents"), 200)
+    f = roles.fixes(spark, d)
+    pools = f.groupBy("kind", "day").agg(F.collect_list("cents").alias("pool"))
+    first = f.groupBy("ride").agg(F.min_by(F.struct("kind", "day", "cents"), "seq").alias("e"))
+    return graph.permutation_test(first.selectExpr("ride as id", "e.kind", "e.day", "e.cents as value").join(pools, ["kind", "day"]).select("id", "value", F.array_sort("pool").alias("pool")), 1000)
+
+
+def _streets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Suppliers as lines of 300 m, on parallel streets ten metres apart, with the passes of their line items."""
+    lines = table(spark, d, "supplier").selectExpr("s_suppkey as fid", "concat('street ', s_nationkey) as name", "array(struct(double((s_suppkey * 90) % 1800) as x, double(s_nationkey * 10) as y), struct(double((s_suppkey * 90) % 1800 + 300) as x, double(s_nationkey * 10) as y)) as points")
+    rides = roles.edge_rides(spark, d).groupBy(F.col("supp").alias("fid"), "ride").agg(F.expr("count_if(dir = 1)").alias("fwd"), F.expr("count_if(dir = 0)").alias("rev"))
+    return lines, rides
+
+
+@query()
+def q_merge_corridors(spark, d):
+    shown, _ = corridors.merge_corridors(*_streets(spark, d))
+    return shown.select("fid", "n", F.size("points").alias("vertices"))
+
+
+@query()
+def q_busiest_stretches(spark, d):
+    lines, rides = _streets(spark, d)
+    return graph.busiest_stretches(lines.join(corridors.passes(rides, "fid"), "fid"))
+
+
+@query()
+def q_export_features(spark, d):
+    lines, rides = _streets(spark, d)
+    days = table(spark, d, "orders").selectExpr("o_orderkey as ride", "to_date(o_orderdate) as day", "'' as clock", "o_totalprice as km")
+    return writers.export_parts(lines.join(corridors.passes(rides, "fid"), "fid"), rides, days)[1]
