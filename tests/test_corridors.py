@@ -112,5 +112,19 @@ def test_permutation(spark):
 
 
 def test_queries_without_sql_give_rows(spark):
-    for name in ("q_merge_corridors", "q_busiest_stretches", "q_export_features", "q_permutation"):
+    for name in ("q_merge_audit", "q_stations", "q_merge_corridors", "q_busiest_stretches", "q_export_features", "q_permutation"):
         assert registry.queries()[name](spark, DATA).count() > 0, name
+
+
+def test_audit(spark):
+    made = lambda *lines: spark.createDataFrame([(i, "", p, 1) for i, p in enumerate(lines)], LINES)
+    assert tuple(corridors.audit(made(line((0, 0), (300, 0)), line((0, 10), (300, 10)))).first()) == (2, 1, 0.3, 4, 4, True)
+    assert tuple(corridors.audit(made(line((0, 0), (300, 0)), line((300, 0), (600, 0)), line((1000, 0), (1000, 90)))).first()) == (3, 0, 0.0, 6, 0, False)
+    assert tuple(corridors.audit(made(line((0, 0), (300, 0)), line((320, 0), (600, 0)))).first())[3:] == (4, 2, True)
+    assert tuple(corridors.audit(made()).first()) == (0, 0, 0.0, 0, 0, False)
+
+
+def test_pick_stations(spark):
+    rows = [(1, 1, 0, 0, 20), (1, 2, 400, 0, 8), (1, 3, 480, 0, 9), (1, 4, 5000, 0, 8), (2, 5, 0, 0, 9)]
+    got = graph.pick_stations(spark.createDataFrame(rows, "region long, id long, x int, y int, n int")).collect()
+    assert sorted((r.region, r.id, r.n, r.absorbed) for r in got) == [(1, 1, 28, [2]), (1, 3, 9, []), (2, 5, 9, [])]

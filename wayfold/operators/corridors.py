@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfold.functions import geo
 from wayfold.operators import joins, tables
 from wayfold.operators.state import cut
 
@@ -172,3 +173,25 @@ def merge_corridors(lines: DataFrame, rides: DataFrame) -> tuple[DataFrame, Data
     standing = moves.select(F.col("target").alias("fid")).distinct()
     shown = lines.join(standing, "fid", "left_semi").join(passes(final, "fid"), "fid", "left").select("fid", "points", F.coalesce("n", F.lit(0)).alias("n"))
     return shown, final
+
+
+def audit(lines: DataFrame, snap: int = 40, meet: float = 6.0) -> DataFrame:
+    """One row on drawn lines: features, duplicates (pairs that still cover each other), duplicate_km, ends, dangling, suspect.
+
+    Pairs count from 30 m on. An end dangles if the nearest other line is less than ``snap`` but more than ``meet`` away.
+    Suspect: duplicates above 0.3 % of the features, or dangling ends above 2 %. Without lines all counts are 0.
+    """
+    points = cut(samples(lines))
+    share = shares(points, touches(points)).filter(F.col("share") >= MUTUAL)
+    length = lines.select("fid", geo.path_length("points").alias("metres")).filter("metres >= 30")
+    mutual = share.select("fid", "other").intersect(share.select(F.col("other").alias("fid"), F.col("fid").alias("other"))).filter("fid < other")
+    pairs = mutual.join(length, "fid").join(length.select(F.col("fid").alias("other"), F.col("metres").alias("also")), "other")
+    doubled = pairs.agg(F.count("*").alias("duplicates"), F.coalesce(F.sum(F.least("metres", "also")) / 1000, F.lit(0.0)).alias("duplicate_km"))
+
+    tip = lambda at: lines.select("fid", F.lit(at).alias("at"), F.element_at("points", at)["x"].alias("x"), F.element_at("points", at)["y"].alias("y"))
+    tips = tip(1).union(tip(-1))
+    along = samples(lines, 4).select("fid", "x", "y").union(tips.select("fid", "x", "y"))
+    near = joins.within(tips, along, snap, F.col("l.fid") != F.col("r.fid")).groupBy("l.fid", "l.at").agg(F.min("d2").alias("d2"))
+    loose = near.filter((F.col("d2") > meet * meet) & (F.col("d2") < snap * snap)).agg(F.count("*").alias("dangling"))
+    both = lines.agg(F.count("*").alias("features")).join(doubled).join(loose).withColumn("ends", F.col("features") * 2)
+    return both.select("features", "duplicates", "duplicate_km", "ends", "dangling", F.expr("duplicates > 0.003 * features or dangling > 0.02 * ends").alias("suspect"))

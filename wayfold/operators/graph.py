@@ -151,3 +151,24 @@ def busiest_stretches(features: DataFrame, keep: float = 0.8, least_m: float = 5
         return pd.DataFrame({"name": pd.Series(dtype=str), "n": pd.Series(dtype="int64"), "metres": pd.Series(dtype="int64")})
 
     return rows.groupBy("name").applyInPandas(walk, "name string, n long, metres long").orderBy(F.desc("n"), F.desc("metres"), "name").limit(top)
+
+
+def pick_stations(clusters: DataFrame, spacing: float = 480.0, least: int = 9) -> DataFrame:
+    """Stations of each region from its trip-end clusters (region, id, x, y, n): the heaviest first.
+
+    A cluster nearer than ``spacing`` to a station adds its weight to the first such one; ties of weight go by id. Stations
+    of less than ``least`` ends go. Rows are clusters, so a region's group is bounded by its area, not by its trips.
+    """
+
+    def pick(group: pd.DataFrame) -> pd.DataFrame:
+        taken: list[dict] = []
+        for c in group.sort_values(["n", "id"], ascending=[False, True]).to_dict("records"):
+            close = [s for s in taken if np.hypot(s["x"] - c["x"], s["y"] - c["y"]) < spacing]
+            if close:
+                close[0]["n"] += c["n"]
+                close[0]["absorbed"].append(c["id"])
+            else:
+                taken.append({**c, "absorbed": []})
+        return pd.DataFrame([s for s in taken if s["n"] >= least], columns=["region", "id", "x", "y", "n", "absorbed"])
+
+    return clusters.select("region", "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("n").cast("long").alias("n")).groupBy("region").applyInPandas(pick, "region long, id long, x double, y double, n long, absorbed array<long>")

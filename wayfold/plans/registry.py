@@ -557,3 +557,16 @@ def q_export_features(spark, d):
     lines, rides = _streets(spark, d)
     days = table(spark, d, "orders").selectExpr("o_orderkey as ride", "to_date(o_orderdate) as day", "'' as clock", "o_totalprice as km")
     return writers.export_parts(lines.join(corridors.passes(rides, "fid"), "fid"), rides, days)[1]
+
+
+@query()
+def q_merge_audit(spark, d):
+    return corridors.audit(_streets(spark, d)[0])
+
+
+@query()
+def q_stations(spark, d):
+    ends = roles.fixes(spark, d).selectExpr("seq as id", "ride % 8 as region", "x", "y")
+    found = graph.density_clusters(ends, 100, 5).join(ends, ["region", "id"])
+    clusters = found.groupBy("region", F.col("cluster").alias("id")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n"))
+    return graph.pick_stations(clusters).select("region", "id", "n", F.size("absorbed").alias("absorbed"))
