@@ -79,6 +79,29 @@ def test_jaccard_join_at_any_boundary(spark, corpus, boundary, monkeypatch):
     assert [r.component_id for r in got] == brute_components(corpus)[1]
 
 
+def brute_links(texts):
+    sets = []
+    for t in texts:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    return [(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if a & b and 100 * len(a & b) >= 80 * len(a | b)], sets
+
+
+@pytest.mark.parametrize("block", [256, 7])
+def test_jaccard_join_counts_every_link(spark, corpus, block, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
+    rng = random.Random(8)
+    base = words(rng, 100)
+    texts = [*corpus, *[words(rng, 30)] * 5, *[f"{base} {x}" for x in ("left", "right", "middle")]]
+    links, sets = brute_links(texts)
+    got = {r.doc_id: r.n_links for r in jaccard_join.cluster(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [sum(i in x for x in links) for i in range(len(texts))]
+    assert [got[i] for i in range(len(texts) - 8, len(texts))] == [4] * 5 + [2] * 3
+    first = [next(i for i, other in enumerate(sets) if other == s) for s in sets]
+    pairs = sorted((r.id_a, r.id_b) for r in jaccard_join.linked_pairs(docs(spark, texts)).collect())
+    assert pairs == sorted({(min(first[i], first[j]), max(first[i], first[j])) for i, j in links if sets[i] != sets[j]})
+
+
 def test_keep_one_handles_repeated_rows(spark):
     rows = docs(spark, ["a b c d e f", "a b c d e f", "g h", None, ""])
     kept = jaccard_join.keep_one(rows.union(rows.filter("doc_id = 2")).union(rows.limit(1).withColumn("doc_id", F.lit(None).cast("long"))))

@@ -17,6 +17,10 @@ compared pair by pair, across components. So a group of copies costs its members
 components is found: the components are exact. Before whole texts are compared, bitmaps of parities bound the sets'
 difference from below, which ends most pairs that share a passage only.
 
+Links are counted afterwards, without contraction: linked sets stand in one component, so the sets of a component are
+dealt into blocks and each two blocks compare all their sets. That costs the pairs of a component, as its links may be
+as many; ``keep_one`` needs components only and leaves it out.
+
 Common shingles (count over ``HOT``) post rows of their own instead of meeting in one reducer's list; they are only
 aggregated and joined by Spark, which combines on the map side and splits skewed partitions.
 
@@ -429,12 +433,114 @@ def still_open(lists: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame
     return labelled, heads.select("list_id", F.col("hub.ref").alias("a"), F.col("hub.component").alias("hub_component"))
 
 
+#: Sets and elements of a block, about, and elements that are compared at once.
+BLOCK_SETS, BLOCK_TOKENS, COLUMNS = 256, 1 << 18, 4096
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set on the left shares with each on the right."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    sides = []
+    for sets in (left, right):
+        sides.append((np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])))
+    if left is right:
+        both, counts = np.unique(sides[0][0], return_counts=True)
+        both = both[counts > 1]
+    else:
+        both = np.intersect1d(sides[0][0], sides[1][0])
+    if not len(both):
+        return out
+    placed = []
+    for tokens, rows in sides:
+        at = np.minimum(np.searchsorted(both, tokens), len(both) - 1)
+        known = both[at] == tokens
+        at, rows = at[known], rows[known]
+        order = np.argsort(at, kind="stable")
+        placed.append((at[order], rows[order]))
+    for lo in range(0, len(both), COLUMNS):
+        width = min(COLUMNS, len(both) - lo)
+        maps = []
+        for (at, rows), n in zip(placed, out.shape, strict=True):
+            i, j = np.searchsorted(at, [lo, lo + width])
+            marks = np.zeros((n, width), np.float32)
+            marks[rows[i:j], at[i:j] - lo] = 1
+            maps.append(marks)
+        out += (maps[0] @ maps[1].T).astype(np.int64)
+    return out
+
+
+def complete_links(rows: DataFrame, classes: DataFrame, found: DataFrame, percent: int, size: int, pairs: bool = False) -> DataFrame:
+    """Of all linked pairs of distinct sets: a, b (a < b) of each; or per set ref, n: the ids in the sets linked with it.
+
+    classes: ref, id, n, copies (ids of the set); found: components, whose roots needn't be listed.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            refs, blobs = [], []
+            for ref, tokens in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), size), strict=True):
+                if set_id(tokens) == ref:  # else another row of the same id
+                    refs.append(ref)
+                    blobs.append(tokens.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(refs, pa.int64()), pa.array(blobs, pa.binary())], names=["ref", "tokens"])
+
+    def compare(held: list[tuple], lo: int, hi: int) -> pa.RecordBatch:
+        left = [x for x in held if x[0] == lo]
+        right = left if lo == hi else [x for x in held if x[0] == hi]
+        if not left or not right:
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=names)
+        tokens = [np.frombuffer(x[3], np.uint64) for x in left]
+        inter = overlaps(tokens, tokens if lo == hi else [np.frombuffer(x[3], np.uint64) for x in right])
+        n, m = (np.array([len(x[3]) // 8 for x in side]) for side in (left, right))
+        link = linked(inter, n[:, None], m[None, :], percent)
+        refs, refs2 = (np.array([x[1] for x in side], np.int64) for side in (left, right))
+        if lo == hi:
+            link &= refs[:, None] != refs2[None, :]
+        if pairs:
+            i, j = np.nonzero(link & (refs[:, None] < refs2[None, :]) if lo == hi else link)
+            first, second = np.minimum(refs[i], refs2[j]), np.maximum(refs[i], refs2[j])
+        else:
+            copies, copies2 = (np.array([x[2] for x in side], np.int64) for side in (left, right))
+            first, second = refs, link @ copies2
+            if lo != hi:
+                first, second = np.concatenate([first, refs2]), np.concatenate([second, link.T @ copies])
+        return pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, held = None, []
+        for batch in batches:
+            keys = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
+            for key, *row in zip(keys, *(batch.column(i).to_pylist() for i in range(3, 7)), strict=True):
+                if key != unit:
+                    if held:
+                        yield compare(held, *unit[1:])
+                    unit, held = key, []
+                held.append(tuple(row))
+        if held:
+            yield compare(held, *unit[1:])
+        held.clear()
+        release_memory()
+
+    names = ["a", "b"] if pairs else ["ref", "n"]
+    roots = found.select(F.col("component").alias("node"), "component").distinct()
+    inside = saved(found.select("node", "component").union(roots).withColumnRenamed("node", "ref").distinct().join(classes.select("ref", "id", "n", "copies"), "ref"))
+    needed = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_TOKENS)).cast("int")
+    dealt = inside.join(inside.groupBy("component").agg(needed.alias("blocks")), "component").withColumn("block", F.expr("int(pmod(xxhash64(ref), blocks))"))
+    ids = inside.select("ref", "id")
+    texts = by_map(rows, ids, "id", True).join(ids, "id").select("ref", "text")
+    tokens = texts.mapInArrow(sets, "ref long, tokens binary").dropDuplicates(["ref"])
+    each = dealt.join(tokens, "ref").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    units = each.select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "ref", "copies", "tokens")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return units.repartition(n, "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
 #: Rounds, at most, in which open lists are compared with one hub each, before all pairs that are still open.
 ROUNDS = 3
 
 
-def cluster(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = WORDS) -> DataFrame:
-    """Per document: id, n_shingles, component_id (least id that links reach, its own included), n_links (verified)."""
+def find_components(documents: DataFrame, id_col: str, text_col: str, percent: int, size: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows (id, text), members (id, n, ref), classes (a row a distinct set) and found (node, component)."""
     spark = documents.sparkSession
     rows = small_batches(documents).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     counted = saved(count_common(rows.select("text"), size))
@@ -491,13 +597,40 @@ def cluster(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not rest.isEmpty():
         links = links.union(verify(rows, classes, rest, percent, size).filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
         found = components(links)
+    return rows, members, classes_all, found
+
+
+def with_copies(classes: DataFrame, members: DataFrame) -> DataFrame:
+    """The classes with copies: how many ids hold the set."""
+    return classes.select("ref", "id", "n").join(members.filter("ref is not null").groupBy("ref").agg(F.count_distinct("id").alias("copies")), "ref")
 
-    degree = links.select(F.explode(F.array("u", "v")).alias("ref")).groupBy("ref").agg(F.count("*").alias("n_links"))
-    by_set = classes_all.select("ref", "id").join(found.withColumnRenamed("node", "ref"), "ref", "left").join(degree, "ref", "left").select("ref", "id", F.coalesce("component", "ref").alias("c"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+def cluster(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = WORDS, count_links: bool = True) -> DataFrame:
+    """Per document: id, n_shingles, component_id (least id that links reach, its own included), n_links.
+
+    n_links: the other ids whose sets are equal or linked, all of them; null without ``count_links``.
+    """
+    rows, members, classes, found = find_components(documents, id_col, text_col, percent, size)
+    by_set = classes.select("ref", "id").join(found.withColumnRenamed("node", "ref"), "ref", "left").select("ref", "id", F.coalesce("component", "ref").alias("c"))
     by_set = saved(by_set)
-    named = by_set.join(by_set.groupBy("c").agg(F.min("id").alias("component_id")), "c").select("ref", "component_id", "n_links")
+    named = by_set.join(by_set.groupBy("c").agg(F.min("id").alias("component_id")), "c").select("ref", "component_id")
+    if count_links:
+        counted = saved(with_copies(classes, members))
+        degree = saved(complete_links(rows, counted, found, percent, size).groupBy("ref").agg(F.sum("n").alias("n_linked")))
+        sums = counted.join(degree, "ref", "left").select("ref", (F.col("copies") - 1 + F.coalesce("n_linked", F.lit(0))).alias("n_links"))
+        named = saved(named.join(sums, "ref"))
     out = members.join(named, "ref", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    n_links = F.coalesce("n_links", F.lit(0)) if count_links else F.lit(None)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), n_links.cast("long").alias("n_links"))
+
+
+def linked_pairs(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = WORDS) -> DataFrame:
+    """id_a, id_b of all linked pairs of distinct sets, each set by the least of its ids."""
+    rows, members, classes, found = find_components(documents, id_col, text_col, percent, size)
+    pairs = complete_links(rows, with_copies(classes, members), found, percent, size, pairs=True)
+    names = classes.select("ref", "id")
+    named = pairs.join(names.select(F.col("ref").alias("a"), F.col("id").alias("id_a")), "a").join(names.select(F.col("ref").alias("b"), F.col("id").alias("id_b")), "b")
+    return named.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
 
 
 def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = WORDS) -> DataFrame:
@@ -505,7 +638,7 @@ def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Rows without an id have no class and stay.
     """
-    marked = cluster(documents.filter(F.col(id_col).isNotNull()), id_col, text_col, percent, size)
+    marked = cluster(documents.filter(F.col(id_col).isNotNull()), id_col, text_col, percent, size, count_links=False)
     dropped = saved(marked.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("id")).distinct())
     repeated = saved(documents.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).count().filter("count > 1").select("id"))
     suspects = dropped.union(repeated)
