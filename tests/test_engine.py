@@ -104,3 +104,10 @@ def test_writers_and_ingest(spark, tmp_path):
         ingest.ingest(ingest.fixes(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), str(tmp_path / "cp"), ["id"]).awaitTermination()
         spark.range(3, 8).withColumn("v", F.lit(2)).write.mode("append").parquet(str(tmp_path / "in"))
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(8))
+
+
+def test_whole_names_read_behind_80_characters(spark, tmp_path):
+    from wayfold.plans import registry
+
+    spark.createDataFrame([(1, "x " * 100 + " on  5 Av")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert registry.queries()["q_norm_names_whole"](spark, str(tmp_path)).first().name == "x " * 100 + "on 5 Ave"

@@ -451,6 +451,11 @@ def q_norm_names(spark, d):
     return table(spark, d, "documents").select("doc_id", text.norm_name(F.substring("text", 1, 80)).alias("name"))
 
 
+@query(r"SELECT doc_id, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '\bAv\b', 'Ave', 'g') AS name FROM documents")
+def q_norm_names_whole(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.norm_name("text").alias("name"))
+
+
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'idiot')")
 def q_name_search(spark, d):
     return table(spark, d, "documents").filter(text.name_matches("text", "the+idiot")).select("doc_id")
