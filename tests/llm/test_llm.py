@@ -185,6 +185,15 @@ def test_fingerprints(spark):
     assert fingerprint.edited_fingerprints(docs(spark, ["x y"])).first().near_next == 1.0
 
 
+def test_html_without_container_or_mostly_links_keeps_its_text():
+    text = lambda page: html_extract.articles(html_extract.parse(page), [])
+    assert text("<title>x</title><p>first<p>second") == "first\n\nsecond"
+    assert text("<nav>menu</nav><p>text") == "text"
+    assert text("<body><div>short <a href=x>a long link text</a></div></body>") == "short a long link text"
+    assert text("<p>a long text of its own, outside<div>end</div>") == "a long text of its own, outside\n\nend"
+    assert text("") == text("<title>x</title>") == ""
+
+
 def test_pfair_deviation_and_order(spark):
     rows = spark.range(1200).selectExpr("id as doc_id", "case when id % 3 = 0 then 'hot' when id % 7 = 0 then null else concat('s', id % 5) end as source", "'t' as text")
     got = mixing.mix(rows, {"hot": 3, "s1": 2}, 1, block_docs=4).collect()

@@ -10,8 +10,9 @@ A generalised path is the chain of tags from the root, each with its classes and
 Text: blocks in page order joined by two newlines; white space inside a block becomes one space. Menus, page headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out wherever they stand.
 
-Edge cases: null or empty html, or a page without any container that holds text, gives an empty text; a page without a
-host votes for the empty host; unclosed tags and comments end with the page; equal votes go to the lesser path.
+Edge cases: null or empty html, or a page without any text, gives an empty text; a page without a container (the body
+tag is optional) is taken whole, and one whose containers are mostly links by the best of them; a page without a host
+votes for the empty host; unclosed tags and comments end with the page; equal votes go to the lesser path.
 """
 
 from __future__ import annotations
@@ -158,17 +159,18 @@ def parse(page: str | None) -> Node:
 
 
 def containers(root: Node) -> list[tuple[float, str, Node]]:
-    """(score, path, node) of containers that hold text, in page order."""
-    out, stack = [], [root]
+    """(score, path, node) of containers that hold text, in page order; the page stands for a body that isn't written."""
+    out, stack, body = [], [root], False
     while stack:
         node = stack.pop()
         children = [x for x in node.items if isinstance(x, Node)]
         stack += reversed(children)
-        if node.tag in CONTAINER and not node.out and node.size:
+        body |= node.tag == "body"
+        if (node is root or node.tag in CONTAINER) and not node.out and node.size:
             inner = max((c.size for c in children if c.tag in CONTAINER), default=0)
-            score = CONTAINER[node.tag] * (node.size - 2 * node.linked) * (0.4 if inner > 0.9 * node.size and node.tag != "article" else 1.0)
+            score = CONTAINER[node.tag or "body"] * (node.size - 2 * node.linked) * (0.4 if inner > 0.9 * node.size and node.tag != "article" else 1.0)
             out.append((score, node.path(), node))
-    return out
+    return [x for x in out if x[2] is not root] if body else out
 
 
 def text_of(node: Node) -> str:
@@ -203,8 +205,7 @@ def articles(root: Node, keys: list[int]) -> str:
         nodes = [n for _, p, n in found if path_key(p) == key]
         if nodes:
             return "\n\n".join(t for t in map(text_of, nodes) if t)
-    top = max(found, key=lambda x: x[0], default=None)
-    return text_of(top[2]) if top and top[0] > 0 else ""
+    return text_of(max(found, key=lambda x: x[0])[2]) if found else ""
 
 
 #: So many winning paths a host can have, and so many hosts are broadcast at most (24 bytes and 8 a path each).
