@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -18,16 +20,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which the driver and all executors share.
 
-    Where the setting is absent (tests), a folder of our own is set once per session.
+    The setting is read from the session. Without it, a local master gets a folder of its own; a cluster is refused, as
+    its executors would not see each other's files.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = jsc.get() if jsc.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="wayfold-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base}/wayfold-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/wayfold-{uuid.uuid4().hex}"
+
+
+def file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The pyarrow file system of a path below shared_dir, and the path in it."""
+    return pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri) if uri.startswith("file:") else uri)
 
 
 def saved(df: DataFrame, where: str | None = None) -> DataFrame:

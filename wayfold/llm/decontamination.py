@@ -6,11 +6,13 @@ a space on either side, and each document is scanned once; a match's end gives i
 (code points) in the original text.
 
 The benchmark is dealt into blocks of about ``block_chars`` characters, so the automaton that a Python worker holds is
-bounded however large the benchmark is; each block is one more narrow pass over the rows, without a shuffle.
+bounded however large the benchmark is; each block is one more narrow pass over the rows, without a shuffle. Blocks are
+files in the shared folder, which the workers read; the driver knows their number only.
 
-Edge cases: null or empty texts have no words and are never contaminated; items without words have no window; items
-with equal ids count once, a null id as 'null'; repeated documents are judged each for itself; an empty benchmark hits
-nothing. Only the named columns are read, so other columns can have any name.
+Edge cases: null or empty texts have no words and are never contaminated; a text of any length is scanned whole; items
+without words have no window; items with equal ids count once, a null id as 'null'; repeated documents are judged each
+for itself; an empty benchmark hits nothing; an empty table gives an empty result. Columns that aren't carried are not
+read and may have any name; carried columns come in a struct ``carried``, so no name clashes.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import KEPT, drop_kept, small_batches
+from wayfold.llm.common import KEPT, drop_kept, file_system, shared_dir, small_batches
 
 #: Word characters: 0-9, a-z and all beyond ASCII, after lower-casing A-Z.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -45,22 +49,37 @@ _built: dict = {}
 KEPT.append(_built)
 
 
-def automaton_of(block: tuple, size: int):
-    """The automaton of a block of (item id, text); kept by the worker for later tasks."""
-    key = (hash(block), len(block), size)
-    if key not in _built:
-        owners: dict[bytes, tuple[int, set]] = {}
-        for item, text in block:
-            for window in windows_of(words_of(text), size):
-                owners.setdefault(b" " + b" ".join(window) + b" ", (len(window), set()))[1].add(item)
-        a = ahocorasick.Automaton()
-        for pattern, (n, items) in owners.items():
-            a.add_word(pattern.decode("latin-1"), (n, tuple(sorted(items))))
-        if owners:
-            a.make_automaton()
+def read_block(uri: str) -> list[tuple[str, str]]:
+    """The items (id, text) of a block's Parquet files."""
+    fs, path = file_system(uri)
+    found = fs.get_file_info(pa.fs.FileSelector(path, recursive=True, allow_not_found=True))
+    files = sorted(f.path for f in found if f.path.endswith(".parquet"))
+    tables = [pq.read_table(f, filesystem=fs, columns=["item", "text"], partitioning=None) for f in files]
+    return [(i, t) for table in tables for i, t in zip(table["item"].to_pylist(), table["text"].to_pylist(), strict=True)]
+
+
+def build(block: list[tuple[str, str]], size: int):
+    """The automaton of a block's windows, or None where there is none."""
+    owners: dict[bytes, tuple[int, set]] = {}
+    for item, text in block:
+        for window in windows_of(words_of(text), size):
+            owners.setdefault(b" " + b" ".join(window) + b" ", (len(window), set()))[1].add(item)
+    if not owners:
+        return None
+    a = ahocorasick.Automaton()
+    for pattern, (n, items) in owners.items():
+        a.add_word(pattern.decode("latin-1"), (n, tuple(sorted(items))))
+    a.make_automaton()
+    return a
+
+
+def automaton_of(uri: str, size: int):
+    """The automaton of a block's files; kept by the worker for later tasks."""
+    if (uri, size) not in _built:
+        made = build(read_block(uri), size)
         _built.clear()
-        _built[key] = a if owners else None
-    return _built[key]
+        _built[uri, size] = made
+    return _built[uri, size]
 
 
 def scan(text: str | None, automaton) -> tuple[int, list[tuple[int, int]], set]:
@@ -104,13 +123,15 @@ def offsets(text: str, runs: list[tuple[int, int]]) -> list[dict]:
     return [{"start": at[a][0], "end": at[b - 1][1]} for a, b in runs]
 
 
-def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int) -> list[tuple]:
-    """The benchmark's items in blocks of bounded size, dealt by a hash of the item."""
+def write_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int) -> list[str]:
+    """The folders of the benchmark's blocks, dealt by a hash of the item."""
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // block_chars))
-    dealt = items.withColumn("block", F.expr(f"pmod(xxhash64(item, text), {n})"))
-    return [tuple(sorted((r.item, r.text) for r in dealt.filter(F.col("block") == b).select("item", "text").collect())) for b in range(n)]
+    where = shared_dir(benchmark.sparkSession)
+    dealt = items.withColumn("block", F.expr(f"cast(pmod(xxhash64(item, text), {n}) as int)"))
+    dealt.repartition("block").write.partitionBy("block").parquet(where)
+    return [f"{where}/block={b}" for b in range(n)]
 
 
 def find_contamination(
@@ -124,15 +145,17 @@ def find_contamination(
     item_text_col: str = "text",
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Per document: id, n_words, n_hit, items (sorted), spans in the original, contaminated.
+    """Per document: id, n_words, n_hit, items (sorted), spans in the original, contaminated; with ``carry`` also a struct
+    ``carried`` of the named columns.
 
-    Contaminated: some word is hit and hit words are at least a twentieth of all. ``carry`` names further columns of
-    documents that are passed through.
+    Contaminated: some word is hit and hit words are at least a twentieth of all.
     """
-    blocks = blocks_of(benchmark, item_col, item_text_col, block_chars)
+    blocks = write_blocks(benchmark, item_col, item_text_col, block_chars)
+    extra = [c for c in dict.fromkeys(carry) if c not in (id_col, text_col)]
     state = small_batches(documents).select(
-        F.struct(*dict.fromkeys((id_col, text_col, *carry))).alias("row"),
+        F.col(id_col).alias("id"),
         F.col(text_col).alias("text"),
+        *([F.struct(*[F.col(f"`{c}`") for c in extra]).alias("rest")] if extra else []),
         F.lit(0).cast("long").alias("n_words"),
         F.expr("cast(array() as array<struct<first: bigint, last: bigint>>)").alias("runs"),
         F.expr("cast(array() as array<string>)").alias("items"),
@@ -140,39 +163,39 @@ def find_contamination(
     )
     run_type = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    for number, block in enumerate(blocks):
+    kept = 3 if extra else 2
+    names = state.columns
+    for number, uri in enumerate(blocks):
         final = number == len(blocks) - 1
 
-        def step(batches: Iterator[pa.RecordBatch], block=block, final=final) -> Iterator[pa.RecordBatch]:
+        def step(batches: Iterator[pa.RecordBatch], uri=uri, final=final) -> Iterator[pa.RecordBatch]:
             drop_kept(_built)
-            a = automaton_of(block, window)
+            a = automaton_of(uri, window)
             for batch in batches:
-                row, texts, _, before, known, _ = batch.columns
                 n_words, all_runs, all_items, spans = [], [], [], []
-                for text, old, names in zip(texts, before.to_pylist(), known.to_pylist(), strict=True):
+                before, known = batch.column("runs").to_pylist(), batch.column("items").to_pylist()
+                for text, old, owners in zip(batch.column("text"), before, known, strict=True):
                     text = text.as_py()
                     n, runs, items = scan(text, a)
                     if old:
                         runs = merge_runs(runs + [(r["first"], r["last"]) for r in old])
                     n_words.append(n)
                     all_runs.append([{"first": x, "last": y} for x, y in runs])
-                    all_items.append(sorted(items.union(names)) if names else sorted(items))
+                    all_items.append(sorted(items.union(owners)) if owners else sorted(items))
                     spans.append(offsets(text, runs) if final else [])
-                yield pa.RecordBatch.from_arrays(
-                    [row, texts, pa.array(n_words, pa.int64()), pa.array(all_runs, run_type), pa.array(all_items, pa.list_(pa.string())), pa.array(spans, span_type)],
-                    names=["row", "text", "n_words", "runs", "items", "spans"],
-                )
+                made = [pa.array(n_words, pa.int64()), pa.array(all_runs, run_type), pa.array(all_items, pa.list_(pa.string())), pa.array(spans, span_type)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *made], names=names)
 
         state = state.mapInArrow(step, state.schema)
     n_hit = F.expr("aggregate(runs, 0L, (s, r) -> s + r.last - r.first)")
-    flagged = state.select("row", "n_words", n_hit.alias("n_hit"), "items", "spans")
-    extra = [c for c in carry if c != id_col]
+    carried = {id_col: F.col("id"), text_col: F.col("text")} | {c: F.col(f"rest.`{c}`") for c in extra}
+    flagged = state.select("*", n_hit.alias("n_hit"))
     return flagged.select(
-        F.col(f"row.`{id_col}`").alias(id_col),
-        *[F.col(f"row.`{c}`").alias(c) for c in extra],
+        F.col("id").alias(id_col),
         "n_words",
         "n_hit",
         "items",
         "spans",
         F.expr("n_hit > 0 and 20 * n_hit >= n_words").alias("contaminated"),
+        *([F.struct(*[carried[c].alias(c) for c in carry]).alias("carried")] if carry else []),
     )

@@ -8,11 +8,17 @@ where none of them occurs.
 A generalised path is the chain of tags from the root, each with its classes and id, digits folded to ``#``.
 
 Text: blocks in page order joined by two newlines; white space inside a block becomes one space. Menus, page headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out wherever they stand.
+footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out. Outside an article a block
+container whose class or id has a part from the name list is one of them; inside an article only one whose
+whole class or id is on the list of inserted blocks. Headings, paragraphs, figures, captions, lists and inline elements
+are text whatever their classes are.
 
 Edge cases: null or empty html, or a page without any text, gives an empty text; a page without a container (the body
 tag is optional) is taken whole, and one whose containers are mostly links by the best of them; a page without a host
-votes for the empty host; unclosed tags and comments end with the page; equal votes go to the lesser path.
+votes for the empty host; unclosed tags and comments end with the page; pages of any length are parsed whole; equal
+votes go to the lesser path key, equal scores on a page to the container that comes first; repeated rows vote and are
+extracted each for itself; null ids are kept; an empty table gives an empty result; only the named columns are read, so
+others may have any name.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.llm.common import saved, small_batches
@@ -42,11 +48,18 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CONTAINER = {"article": 3.0, "main": 2.0, "section": 1.2, "div": 1.0, "td": 0.8, "body": 0.5}
-LEFT_OUT = frozenset("nav footer aside form button menu dialog input label fieldset canvas object video audio head".split())
+LEFT_OUT = frozenset("nav footer aside form button menu dialog head".split())
 LEFT_OUT_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
+#: Parts of class names and ids of page furniture, and whole ones of blocks inserted into articles.
 LEFT_OUT_NAME = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored banner promo promotion cookie cookies consent gdpr notice notices alert menu nav navbar navigation sidebar breadcrumb breadcrumbs footer header masthead comment comments disqus share sharing social related recommended newsletter subscribe subscription popup modal overlay pagination pager toolbar widget login signup form".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored banner promo promotion cookie cookies consent gdpr notice notices alert menu nav navbar navigation sidebar breadcrumb breadcrumbs footer masthead comment comments disqus share sharing social related recommended newsletter subscribe subscription popup modal overlay pagination pager toolbar widget login signup form".split()
 )
+INSERTED = frozenset(
+    "ad ads advert advertisement ad-slot ad-container ad-banner ad-unit sponsored sponsored-content promo cookie cookies cookie-notice cookie-banner consent notice notices menu nav navbar navigation sidebar breadcrumb breadcrumbs comment comments comment-list comments-area comments-section user-comments disqus disqus_thread share sharing share-buttons social social-share related related-posts related-articles recommended newsletter newsletter-signup subscribe popup modal overlay pagination pager toolbar signup login".split()
+)
+PAGE_HEADER = frozenset("header site-header page-header main-header global-header top-header siteheader pageheader".split())
+#: Elements that are left out by name.
+NAMED = frozenset("div section ul ol table aside header center dl details".split())
 PEERS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BARRIER = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 
@@ -82,10 +95,12 @@ def _left_out(tag: str, attributes: dict, inside_article: bool) -> bool:
         return False
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in LEFT_OUT_ROLE:
         return True
-    if tag in ("html", "body", "article", "main"):
+    if tag not in NAMED:
         return False
-    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
-    return any(part in LEFT_OUT_NAME for name in names.split() for part in re.split(r"[-_\d]+", name))
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()
+    if inside_article:
+        return any(name in INSERTED for name in names)
+    return any(name in PAGE_HEADER or part in LEFT_OUT_NAME for name in names for part in re.split(r"[-_\d]+", name))
 
 
 def parse(page: str | None) -> Node:
@@ -208,8 +223,9 @@ def articles(root: Node, keys: list[int]) -> str:
     return text_of(max(found, key=lambda x: x[0])[2]) if found else ""
 
 
-#: So many winning paths a host can have, and so many hosts are broadcast at most (24 bytes and 8 a path each).
-PATHS, BROADCAST_HOSTS = 2, 200_000
+#: So many winning paths a host has, so many hosts are broadcast at most (24 bytes and 8 a path each), and into so many
+#: parts the pages of a host are dealt beyond that.
+PATHS, BROADCAST_HOSTS, SALTS = 2, 200_000, 64
 
 
 def vote_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -231,8 +247,9 @@ def vote_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
     cast = pages.select(url_col, html_col).mapInArrow(votes, "host_key long, path_key long, n long")
     summed = cast.groupBy("host_key", "path_key").agg(F.sum("n").alias("n"))
-    ranked = F.expr(f"slice(transform(array_sort(collect_list(struct(-n as n, path_key))), x -> x.path_key), 1, {PATHS})")
-    return summed.groupBy("host_key").agg(ranked.alias("paths"))
+    place = F.row_number().over(Window.partitionBy("host_key").orderBy(F.desc("n"), "path_key"))
+    top = summed.withColumn("place", place).filter(F.col("place") <= PATHS)  # a host's paths stay rows until two are left
+    return top.groupBy("host_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "path_key"))), lambda x: x["path_key"]).alias("paths"))
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -255,6 +272,10 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     kind = pages.schema[id_col].dataType.simpleString()
     slim = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     keyed = slim.mapInArrow(with_host, f"id {kind}, url string, html string, host_key long")
-    small = winners.count() <= BROADCAST_HOSTS
-    joined = keyed.join(F.broadcast(winners) if small else winners, "host_key", "left").select("id", "url", "html", "paths")
+    if winners.count() <= BROADCAST_HOSTS:
+        joined = keyed.join(F.broadcast(winners), "host_key", "left")
+    else:
+        dealt = keyed.withColumn("salt", F.pmod(F.xxhash64("url", "id"), F.lit(SALTS)).cast("int"))
+        joined = dealt.join(winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host_key", "salt"], "left")
+    joined = joined.select("id", "url", "html", "paths")
     return joined.mapInArrow(extract, f"`{id_col}` {kind}, url string, text string, n_chars long")

@@ -1,40 +1,59 @@
 """Personal data: pattern seeds and bootstrapped contextual extraction.
 
-Seeds are the spans of four fixed patterns (email, ip, card, phone). The words around a seed form lexical patterns
-(two words before; the words on both sides). Tokens with digits that no seed covers are candidates with the same kind
-of contexts. Spark scores the bipartite graph of patterns and instances in rounds: a pattern's confidence for a kind is
-the share of its distinct instances known to be of that kind, smoothed by one unknown; patterns with enough known
-instances and confidence are accepted, and what stands in an accepted pattern becomes known in the next round. In the
-end every candidate in an accepted pattern is a span of that pattern's kind.
+Seeds are the spans of four fixed patterns (email, ip, card, phone) and of assigned credentials (secret). Every token
+with three digits or an @, every run of up to ``RUN`` such tokens and every spelled-out address ("a at b dot c") that no
+base span covers is a candidate. Seeds and candidates alike have lexical patterns: the two words before, the words on
+both sides, the word before with the shape, the shape with its first character, and the shape.
+
+Spark scores the bipartite graph of patterns and instances in rounds, up to the fixed point. For a pattern and a kind,
+``pos`` instances are known to be of the kind, ``neg`` of another one or refuted (they look like a kind but fail its
+check), and the rest are unknown. A pattern is accepted when pos >= SUPPORT, pos / (pos + neg + 1) >= CONFIDENCE,
+pos / all >= SHARE, and the log-likelihood of that share against the kind's share among all instances (one half at
+most) is at least MARGIN + ln(number of patterns with support), so that chance contexts of a large corpus don't pass.
+Unknown instances of an accepted pattern become known and support further patterns. Refuted ones are taken from contexts
+(words), never from shapes alone. What is accepted stays accepted, so rounds end.
 
 Edge cases: null and empty texts have no spans; a text of any length is scanned whole, in time in proportion to its
-length; overlapping spans of different kinds are all kept; a candidate in patterns of two kinds takes the one of higher
-confidence, then of lesser name; repeated rows each get their own spans; an empty table gives an empty result.
+length; overlapping base spans of different kinds are all kept; an added span overlaps no base span and no other added
+one (of two, the one of higher confidence stays, then the longer, then the earlier); a candidate in patterns of several
+kinds takes the one of highest confidence, then of greatest name; words beyond ``LONG`` characters stand for themselves
+by a hash; repeated rows each get their own spans; null ids are kept; an empty table gives an empty result; only the
+named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm.common import saved, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
+#: What the method finds beside the base kinds.
+ALL_KINDS = (*KINDS, "secret")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"[0-9][0-9.]*\.[0-9.]*")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-CANDIDATE = re.compile(r"[^\s,;:!?()\[\]{}\"'<>=|]*[0-9][^\s,;:!?()\[\]{}\"'<>=|]*")
-EDGE = re.compile(r"\S+")
+#: Credentials that a program's text assigns.
+SECRET = re.compile(r"\b(?:api_?key|access_?key|secret|token|passwd|password)\s*[=:]\s*([\"'])([A-Za-z0-9+/_-]{20,})\1")
+PIECE = re.compile(r"[^\s\"'<>|,;!?*#$%&=\[\]{}]+")
+NUMBER = re.compile(r"[+(]?[0-9][0-9().-]*")
+AT = re.compile(r"\x20?(?:\(at\)|\[at\])\x20?|\x20at\x20", re.I)
+SPELLED = re.compile(r"[A-Za-z0-9-]+(?:(?:\x20?(?:\(dot\)|\[dot\])\x20?|\x20dot\x20|\.)[A-Za-z0-9-]+)+", re.I)
 
-#: Rounds, least known instances, least confidence, and least digits of a candidate.
-ROUNDS, SUPPORT, CONFIDENCE, DIGITS = 3, 8, 0.9, 6
+#: Least known instances, confidence, share and margin of a pattern; most tokens of a run; longest word kept as it is.
+SUPPORT, CONFIDENCE, SHARE, MARGIN, RUN, LONG = 5, 0.8, 0.5, 3.0, 4, 48
+#: So many accepted patterns are broadcast at most (some 100 bytes each); beyond, they are joined by shuffle.
+BROADCAST_PATTERNS = 100_000
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -99,76 +118,216 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     return out
 
 
-def _word(piece: str) -> str:
-    return re.sub(r"[0-9]+", "0", piece.lower().strip(".,;:!?()[]{}\"'<>|"))
+def secrets(text: str) -> list[tuple[int, int]]:
+    return [m.span(2) for m in SECRET.finditer(text)]
 
 
-#: Code points on either side of an instance that are searched for its context.
-REACH = 64
+def _short(word: str) -> str:
+    return word if len(word) <= LONG else "~" + xxhash.xxh3_64_hexdigest(word.encode("utf-8", "surrogatepass"))
 
 
-def contexts(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns around a span."""
-    before = EDGE.findall(text[max(0, start - REACH) : start])[-2:]
-    after = EDGE.findall(text[end : end + REACH])[:2]
-    after = [w for w in (_word(x) for x in after) if w][:1]
-    before = [_word(w) or w for w in before]
-    out = []
+def _word(piece: str) -> str:
+    return _short(re.sub(r"[0-9]+", "0", piece.lower().strip(".,;:!?()[]{}\"'<>|*#$%&")))
+
+
+def words_before(text: str, at: int, n: int) -> list[str]:
+    """The n words that end before a position, nearest last; pieces of marks only don't count."""
+    out: list[str] = []
+    while at > 0 and len(out) < n:
+        while at > 0 and text[at - 1].isspace():
+            at -= 1
+        end = at
+        while at > 0 and not text[at - 1].isspace():
+            at -= 1
+        word = _word(text[at:end])
+        if word:
+            out.append(word)
+    return out[::-1]
+
+
+def word_after(text: str, at: int) -> str:
+    """The first word that begins after a position."""
+    n = len(text)
+    while at < n:
+        while at < n and text[at].isspace():
+            at += 1
+        begin = at
+        while at < n and not text[at].isspace():
+            at += 1
+        word = _word(text[begin:at])
+        if word:
+            return word
+    return ""
+
+
+def shape(instance: str) -> str:
+    """Digits as d and letters as a, runs beyond four by their length; hexadecimal words as one run."""
+    if len(instance) >= 16 and re.fullmatch(r"[0-9a-fA-F]+", instance) and not instance.isdigit():
+        return f"x{len(instance)}"
+    if "@" in instance:
+        return "a@a"
+
+    def run(m: re.Match) -> str:
+        c, n = "d" if m[0][0].isdigit() else "a", len(m[0])
+        return c * n if n <= 4 and c == "d" else c if c == "a" else f"d{n}"
+
+    return _short(re.sub(r"[0-9]+|[^\W\d_]+", run, instance))
+
+
+def patterns(text: str, start: int, end: int) -> list[str]:
+    """The lexical patterns of a span; those of shape alone begin with #, which no word does."""
+    form = shape(text[start:end])
+    before, after = words_before(text, start, 2), word_after(text, end)
+    out = [f"#{form}", f"#{text[start]}#{form}"]
+    if before:
+        out.append(f"{before[-1]} _{form}")
+        if after:
+            out.append(f"{before[-1]} _ {after}")
     if len(before) == 2:
         out.append(f"{before[0]} {before[1]} _")
-    if before and after:
-        out.append(f"{before[-1]} _ {after[0]}")
+    return out
+
+
+def refuted(instance: str) -> bool:
+    """It looks like a card, an address or a phone number but fails the check."""
+    digits = [c for c in instance if "0" <= c <= "9"]
+    if len(digits) == len(instance.replace(" ", "").replace("-", "")):
+        return 13 <= len(digits) <= 19 and not luhn("".join(digits))
+    if re.fullmatch(r"[0-9]+(?:\.[0-9]+){3}", instance):
+        return any(len(g.lstrip("0")) > 3 or int(g.lstrip("0") or 0) > 255 for g in instance.split("."))
+    return instance[:1] == "+" and not 9 <= len(digits) <= 15
+
+
+def candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of candidates, none of which overlaps a taken span (sorted by start)."""
+    found: set[tuple[int, int]] = set()
+    tokens: list[tuple[int, int]] = []
+    if DIGIT.search(text) or "@" in text:
+        for m in PIECE.finditer(text):
+            piece = m[0]
+            if not DIGIT.search(piece) and "@" not in piece:
+                continue
+            start, end = m.start(), m.end()
+            while start < end and text[start] in ".:-_/)":
+                start += 1
+            while start < end and text[end - 1] in ".:-_/(":
+                end -= 1
+            if start < end:
+                tokens.append((start, end))
+    for i, (start, _) in enumerate(tokens):
+        for j in range(i, min(i + RUN, len(tokens))):
+            end = tokens[j][1]
+            if j > i and (text[tokens[j - 1][1] : tokens[j][0]] != " " or not NUMBER.fullmatch(text, *tokens[j]) or not NUMBER.fullmatch(text, *tokens[i])):
+                break
+            piece = text[start:end]
+            at = piece.find("@")
+            if 0 < at < len(piece) - 1 or sum("0" <= c <= "9" for c in piece) >= 3:
+                found.add((start, end))
+    for m in AT.finditer(text):
+        start, tail = m.start(), SPELLED.match(text, m.end())
+        while tail and start > 0 and text[start - 1] in LOCAL:
+            start -= 1
+        if tail and start < m.start():
+            found.add((start, tail.end()))
+    out, at = [], 0
+    for start, end in sorted(found):
+        while at < len(taken) and taken[at][1] <= start:
+            at += 1
+        if at == len(taken) or taken[at][0] >= end:
+            out.append((start, end))
     return out
 
 
 def occurrences(text: str | None, spans: list[tuple[str, int, int]]) -> list[dict]:
-    """Seeds and candidates with their patterns; kind is None for candidates."""
+    """Seeds and candidates with their patterns; kind is null for candidates and 'no' for refuted ones."""
     text = text or ""
-    out = [(k, s, e) for k, s, e in spans]
-    if DIGIT.search(text):
-        taken = sorted((s, e) for _, s, e in spans)
-        at = 0
-        for m in CANDIDATE.finditer(text):
-            start, end = m.start(), m.start() + len(m[0].rstrip(".-_/"))
-            while at < len(taken) and taken[at][1] <= start:
-                at += 1
-            if any(s < end for s, _ in taken[at : at + 2]) or sum(c.isascii() and c.isdigit() for c in text[start:end]) < DIGITS:
-                continue
-            out.append((None, start, end))
-    return [{"kind": k, "pattern": p, "instance": text[s:e].lower(), "start": s, "end": e} for k, s, e in out for p in contexts(text, s, e)]
+    known = [(k, s, e) for k, s, e in spans]
+    known += [("secret", s, e) for s, e in secrets(text) if not any(s < e2 and s2 < e for _, s2, e2 in spans)]
+    taken = sorted((s, e) for k, s, e in known if k != "secret")
+    merged: list[tuple[int, int]] = []
+    for s, e in taken:  # spans of different kinds may overlap
+        if merged and s < merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(e, merged[-1][1]))
+        else:
+            merged.append((s, e))
+    own = {(s, e) for k, s, e in known}
+    rest = [x for x in candidates(text, merged) if x not in own]
+    out = known + [("no" if refuted(text[s:e]) else None, s, e) for s, e in rest]
+    return [{"kind": k, "pattern": p, "instance": _short(text[s:e].lower()), "start": s, "end": e} for k, s, e in out for p in patterns(text, s, e)]
+
+
+def accepted_now(linked: DataFrame, shares: dict[str, float], support: int = SUPPORT) -> DataFrame:
+    """pattern, kind, confidence of the patterns that pass; linked: pattern, instance, known (a kind, 'no' or null)."""
+    counts = [F.count_if(F.col("known") == k).alias(k) for k in (*ALL_KINDS, "no")]
+    by_kind = linked.groupBy("pattern").agg(F.count("*").alias("n"), *counts)
+    top = F.greatest(*[F.struct(F.col(k).alias("pos"), F.lit(k).alias("kind")) for k in ALL_KINDS])
+    judged = sum((F.col(k) for k in (*ALL_KINDS, "no")), F.lit(0))
+    scored = by_kind.select("pattern", "n", judged.alias("judged"), top.alias("top")).select("pattern", "n", "judged", "top.*").filter(F.col("pos") >= support)
+    scored = scored.withColumn("confidence", F.col("pos") / (F.col("judged") + 1)).withColumn("share", F.col("pos") / F.col("n"))
+    null_share = F.element_at(F.create_map(*[F.lit(x) for k in ALL_KINDS for x in (k, shares[k])]), F.col("kind"))
+    rest = F.when(F.col("share") < 1, (F.col("n") - F.col("pos")) * F.log((1 - F.col("share")) / (1 - null_share))).otherwise(0.0)
+    scored = scored.withColumn("gain", F.when(F.col("share") > null_share, F.col("pos") * F.log(F.col("share") / null_share) + rest).otherwise(0.0))
+    return scored.filter((F.col("confidence") >= CONFIDENCE) & (F.col("share") >= SHARE)).select("pattern", "kind", "confidence", "gain")
+
+
+def bounded(small: DataFrame) -> DataFrame:
+    """A saved frame of patterns, broadcast when it is small; else joins shuffle, and AQE splits hot patterns."""
+    return F.broadcast(small) if small.count() <= BROADCAST_PATTERNS else small.hint("shuffle_merge")
 
 
 def accept_patterns(edges: DataFrame) -> DataFrame:
-    """pattern, kind, confidence of accepted patterns; edges: pattern, instance, kind (null: unknown)."""
+    """pattern, kind, confidence of all accepted patterns; edges: pattern, instance, kind (null unknown, 'no' refuted)."""
     spark = edges.sparkSession
-    edges = saved(edges.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")))
-    known = edges.filter("kind is not null").groupBy("instance").agg(F.max("kind").alias("known"))
+    one_kind = F.coalesce(F.max(F.when(F.col("kind") != "no", F.col("kind"))), F.max("kind"))
+    edges = saved(edges.groupBy("pattern", "instance").agg(one_kind.alias("kind")))
+    first = saved(edges.groupBy("instance").agg(F.coalesce(F.max(F.when(F.col("kind") != "no", F.col("kind"))), F.max("kind")).alias("known")))
+    totals = {r.known: r.n for r in first.groupBy("known").agg(F.count("*").alias("n")).collect()}  # a row a kind
+    every = max(1, sum(totals.values()))
+    shares = {k: min(0.5, max(1, totals.get(k, 0)) / every) for k in ALL_KINDS}
+    seeds = first.filter("known <> 'no'")
+    refused = first.filter("known = 'no'")
+    supported = edges.filter("kind is not null and kind <> 'no'").groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= SUPPORT).count()
+    bar = MARGIN + math.log(max(1, supported))
     accepted = spark.createDataFrame([], "pattern string, kind string, confidence double")
-    unknown = edges.filter("kind is null")
-    found = -1
-    for _ in range(ROUNDS):
-        linked = edges.join(known, "instance", "left")
-        by_kind = linked.groupBy("pattern").agg(F.count("*").alias("n"), *[F.count_if(F.col("known") == k).alias(k) for k in KINDS])
-        top = F.greatest(*[F.struct(F.col(k).alias("n"), F.lit(k).alias("kind")) for k in KINDS])
-        scored = by_kind.select("pattern", top.alias("top"), "n").select("pattern", F.col("top.kind").alias("kind"), F.col("top.n").alias("support"), (F.col("top.n") / (F.col("n") + 1)).alias("confidence"))
-        accepted = saved(scored.filter((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)).drop("support"))
-        new = unknown.join(accepted.drop("kind").join(accepted.select("pattern", F.col("kind").alias("k")), "pattern"), "pattern")
-        new = new.groupBy("instance").agg(F.max_by("k", F.struct("confidence", "k")).alias("known"))
-        seeds = edges.filter("kind is not null").groupBy("instance").agg(F.max("kind").alias("known"))
-        known = saved(seeds.union(new.join(seeds, "instance", "left_anti")))
-        n = known.count()
-        if n == found:
-            break
-        found = n
-    return accepted
+    found = spark.createDataFrame([], "instance string, known string")
+    n_accepted = -1
+    while True:
+        known = seeds.unionByName(found).unionByName(refused.join(found, "instance", "left_anti"))
+        linked = edges.select("pattern", "instance").join(known, "instance", "left")
+        now = accepted_now(linked, shares).filter(F.col("gain") >= bar).drop("gain")
+        # what was accepted before stays so, with its first confidence
+        accepted = saved(accepted.unionByName(now.join(accepted.select("pattern"), "pattern", "left_anti")))
+        n = accepted.count()
+        if n == n_accepted:
+            return accepted
+        n_accepted = n
+        open_edges = edges.filter("kind is null or kind = 'no' and not startswith(pattern, '#')").select("pattern", "instance")
+        new = open_edges.join(bounded(accepted), "pattern").join(seeds.select("instance"), "instance", "left_anti")
+        found = saved(new.groupBy("instance").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("known")))
+
+
+def disjoint(spans: list[tuple[float, int, int, str]]) -> list[tuple[str, int, int]]:
+    """Of (confidence, start, end, kind), those that overlap none before them: by confidence, then length, then start."""
+    from bisect import bisect_left
+
+    starts: list[int] = []
+    kept: list[tuple[int, int, str]] = []
+    for _, start, end, kind in sorted(spans, key=lambda x: (-x[0], x[1] - x[2], x[1], x[3])):
+        i = bisect_left(starts, start)
+        if (i and kept[i - 1][1] > start) or (i < len(kept) and kept[i][0] < end):
+            continue
+        starts.insert(i, start)
+        kept.insert(i, (start, end, kind))
+    return [(k, s, e) for s, e, k in kept]
 
 
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 SEEN = pa.list_(pa.struct([("kind", pa.string()), ("pattern", pa.string()), ("instance", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+SHAPE = "struct<kind: string, start: bigint, end: bigint>"
 
 
-def find_pii(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, base and extra spans (kind, start, end in code points, end exclusive)."""
+def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """uid, id, base spans and seen occurrences (kind, pattern, instance, start, end) of each document."""
     kind = documents.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,19 +340,36 @@ def find_pii(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 seen.append(occurrences(text, spans))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, SPANS), pa.array(seen, SEEN)], names=["id", "base", "seen"])
 
-    shape = "struct<kind: string, start: bigint, end: bigint>"
-    schema = f"id {kind}, base array<{shape}>, seen array<struct<kind: string, pattern: string, instance: string, start: bigint, end: bigint>>"
-    scanned = saved(small_batches(documents).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumn("uid", F.monotonically_increasing_id()))
+    schema = f"id {kind}, base array<{SHAPE}>, seen array<struct<kind: string, pattern: string, instance: string, start: bigint, end: bigint>>"
+    slim = small_batches(documents).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return slim.mapInArrow(run, schema).withColumn("uid", F.monotonically_increasing_id())
+
+
+def find_pii(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, base and extra spans (kind, start, end in code points, end exclusive)."""
+    kind = documents.schema[id_col].dataType.simpleString()
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            extra = []
+            for spans in batch.column(2).to_pylist():
+                chosen = disjoint([(x["confidence"], x["start"], x["end"], x["kind"]) for x in spans or ()])
+                extra.append([{"kind": k, "start": s, "end": e} for k, s, e in chosen])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(extra, SPANS)], names=["id", "base", "extra"])
+
+    scanned = saved(scan(documents, id_col, text_col))
     edges = scanned.select("uid", F.explode("seen").alias("o")).select("uid", "o.*")
     accepted = accept_patterns(edges.select("pattern", "instance", "kind"))
-    hits = edges.filter("kind is null").drop("kind").join(accepted, "pattern")
-    spans = hits.groupBy("uid", "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
-    extra = spans.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("extra"))
-    none = F.expr(f"cast(array() as array<{shape}>)")
-    return scanned.drop("seen").join(extra, "uid", "left").select(F.col("id").alias(id_col), "base", F.coalesce("extra", none).alias("extra"))
+    open_edges = edges.filter("kind is null or kind = 'no' and not startswith(pattern, '#')").select("uid", "start", "end", "pattern")
+    hits = open_edges.join(bounded(accepted), "pattern")
+    spans = hits.groupBy("uid", "start", "end").agg(F.max(F.struct("confidence", "kind")).alias("top"))
+    given = edges.filter("kind = 'secret'").select("uid", "start", "end", F.struct(F.lit(2.0).alias("confidence"), "kind").alias("top")).distinct()
+    listed = spans.unionByName(given).groupBy("uid").agg(F.collect_list(F.struct("top.confidence", "start", "end", "top.kind")).alias("found"))
+    joined = scanned.select("uid", "id", "base").join(listed, "uid", "left").select("id", "base", "found")
+    return joined.mapInArrow(resolve, f"id {kind}, base array<{SHAPE}>, extra array<{SHAPE}>").select(F.col("id").alias(id_col), "base", "extra")
 
 
 def spans_text(column: str):
     """kind:start:end of all spans, by kind as listed, then by start, joined by commas."""
-    rank = "case x.kind " + " ".join(f"when '{k}' then {i}" for i, k in enumerate(KINDS)) + " end"
+    rank = "case x.kind " + " ".join(f"when '{k}' then {i}" for i, k in enumerate(ALL_KINDS)) + " end"
     return F.expr(f"array_join(transform(array_sort(transform({column}, x -> struct({rank} as r, x.start as s, x.end as e, x.kind as kind))), x -> concat(x.kind, ':', x.s, ':', x.e)), ',')")

@@ -103,7 +103,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     counts = [F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in pii.KINDS]
     both = found.withColumn("every", F.concat("base", "extra"))
-    return both.select("doc_id", *counts, F.sha2(pii.spans_text("base"), 256).alias("base_sha256"), pii.spans_text("every").alias("spans"))
+    n_spans = F.size("every").cast("long").alias("n_spans")
+    return both.select("doc_id", *counts, F.sha2(pii.spans_text("base"), 256).alias("base_sha256"), pii.spans_text("every").alias("spans"), n_spans)
 
 
 def queries() -> dict:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import KEPT, drop_kept, release_memory, saved, shared_dir, small_batches
+from wayfold.llm.common import KEPT, drop_kept, file_system, release_memory, saved, shared_dir, small_batches
 
 MAGIC, VERSION, BLOCK, BITS_PER_KEY, PROBES = b"WFSST\x00\x00\x01", 1, 64 << 10, 10, 7
 FOOTER = struct.Struct("<QQQQQQI8s")
@@ -204,10 +204,6 @@ class Shard:
         return out
 
 
-def file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri) if uri.startswith("file:") else uri)
-
-
 def open_shard(uri: str) -> Shard:
     fs, path = file_system(uri)
     return Shard(fs.open_input_file(path))
