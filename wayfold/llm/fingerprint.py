@@ -6,7 +6,9 @@ merge by union and cut. From two sketches follow resemblance (shared among the k
 the number of distinct shingles (exact below k, (k - 1) / share of the hash range beyond it).
 
 Edge cases: null and blank texts have an empty sketch; two empty sketches are alike (1.0), an empty one and another are
-not (0.0); texts of any length are sketched whole; repeated rows are sketched each for itself.
+not (0.0); texts of any length are sketched whole; repeated rows are sketched each for itself and follow each other;
+null identifiers come last, by a hash of their text; identifiers are whole numbers, others are refused with a TypeError;
+an empty table gives an empty result; only the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -70,36 +72,51 @@ def merge_sketches(parts: DataFrame, keys: list[str], column: str = "sketch", k:
     return near.groupBy(*keys).agg(F.expr(f"slice(sort_array(collect_list(h)), 1, {k})").alias(column))
 
 
-#: Rows a bucket holds on average, and most buckets: bounds the broadcast of their borders.
-BUCKET, BUCKETS, QUANTILES = 512, 65_536, 256
+#: Rows a bucket holds on average, quantiles of the identifiers, most buckets whose borders are broadcast, and how many
+#: adjacent buckets look for their follower together.
+BUCKET, QUANTILES, BUCKETS, STRETCH = 512, 256, 65_536, 4096
 
 
 def with_next(documents: DataFrame, columns: list[str], id_col: str = "doc_id", text_col: str = "text", ready=lambda df: df) -> DataFrame:
     """Each row with ``next`` (a struct of ``columns``) of the row that follows in descending order of id.
 
-    After the last row comes the first. Null ids come last; rows of one id follow each other by text. Rows are dealt
-    into buckets of adjacent ids; each bucket also gets a copy of the row that follows it, so one shuffle is enough.
-    ``ready`` is applied to the dealt rows before their neighbours are looked up.
+    After the last row comes the first. Null ids come last, by a hash of their text; rows of one id follow each other by
+    text. Rows are dealt into buckets of adjacent ids (null ids: of adjacent hashes), of which there are as many as the
+    rows need; each bucket also gets a copy of the row that follows it, so one shuffle of the texts is enough. ``ready``
+    is applied to the dealt rows before their neighbours are looked up.
     """
-    n, lo, hi = documents.agg(F.count("*"), F.min(id_col), F.max(id_col)).first()
+    if documents.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{id_col} must hold whole numbers")
+    hashed = F.xxhash64(F.col(text_col))
+    n, n_null, lo, hi = documents.agg(F.count("*"), F.count_if(F.col(id_col).isNull()), F.min(id_col), F.max(id_col)).first()
     quantiles = min(QUANTILES, max(1, n // BUCKET))
-    parts = min(BUCKETS // QUANTILES, max(1, n // (BUCKET * quantiles)))
+    parts = max(1, n // (BUCKET * quantiles))
     cut = documents.agg(F.percentile_approx(id_col, [i / quantiles for i in range(quantiles + 1)], 20_000)).first()[0] if n and lo is not None else None
     bounds = sorted({int(x) for x in cut or [0]} | {int(lo or 0), int(hi or 0) + 1})
     array = "array(" + ", ".join(f"{b}L" for b in bounds) + ")"
     key = f"cast(`{id_col}` as bigint)"
-    inside = f"cast(floor(({key} - element_at(b, q)) * {parts}D / greatest(element_at(b, q + 1) - element_at(b, q), 1)) as int)"
-    place = _let(array, "b", _let(f"size(filter(slice(b, 1, {max(1, len(bounds) - 1)}), x -> x <= {key}))", "q", f"q * {parts} + {inside}" if len(bounds) > 1 else "0"))
-    bucket = F.expr(f"if({key} is null, 0, {place})").alias("bucket")
-    tops = documents.select(F.col(id_col).alias("id"), bucket).groupBy("bucket").agg(F.max("id").alias("top"))
-    by = Window.orderBy("bucket")
-    tops = tops.select("bucket", "top", F.coalesce(F.lead("bucket").over(by), F.first("bucket").over(by)).alias("copy_to"))
-    placed = documents.withColumn("bucket", bucket).join(F.broadcast(tops), "bucket", "left")
-    copies = F.expr(f"filter(array(named_struct('bucket', bucket, 'extra', false), if(`{id_col}` <=> top, named_struct('bucket', copy_to, 'extra', true), null)), x -> x is not null)")
-    dealt = placed.withColumn("at", F.explode(copies)).drop("bucket", "top", "copy_to").select("*", "at.bucket", "at.extra").drop("at")
+    inside = f"cast(floor(({key} - element_at(b, q)) * {parts}D / greatest(element_at(b, q + 1) - element_at(b, q), 1)) as bigint)"
+    place = _let(array, "b", _let(f"size(filter(slice(b, 1, {max(1, len(bounds) - 1)}), x -> x <= {key}))", "q", f"q * {parts}L + {inside}" if len(bounds) > 1 else "0L"))
+    nulls = max(1, (n_null or 0) // BUCKET)
+    last = F.shiftright(F.shiftrightunsigned(hashed, 33) * F.lit(nulls).cast("bigint"), 31)  # in order of the hash, as below
+    bucket = F.when(F.col(id_col).isNull(), -1 - last).otherwise(F.expr(place)).cast("bigint")
+    keyed = documents.withColumn("bucket", bucket).withColumn("h", F.shiftrightunsigned(hashed, 1))
+    tops = keyed.groupBy("bucket").agg(F.max(id_col).alias("top"), F.min("h").alias("top_h"))
+    # the copy goes to the next greater bucket, and from the greatest to the least; a stretch of buckets is one window
+    near = Window.partitionBy("stretch").orderBy("bucket")
+    tops = tops.withColumn("stretch", F.floor(F.col("bucket") / STRETCH)).withColumn("copy_to", F.lead("bucket").over(near))
+    borders = tops.groupBy("stretch").agg(F.min("bucket").alias("least"))
+    far = Window.orderBy("stretch")  # a row for some two million documents
+    borders = borders.select("stretch", F.coalesce(F.lead("least").over(far), F.first("least").over(far)).alias("beyond"))
+    tops = tops.join(borders, "stretch").select("bucket", "top", "top_h", F.coalesce("copy_to", "beyond").alias("copy_to"))
+    few = parts * quantiles + nulls <= BUCKETS
+    placed = keyed.join(F.broadcast(tops) if few else tops.hint("merge"), "bucket", "left")
+    first = F.expr(f"if(`{id_col}` is null, h = top_h, `{id_col}` = top)")
+    copies = F.filter(F.array(F.struct(F.col("bucket"), F.lit(False).alias("extra")), F.when(first, F.struct(F.col("copy_to").alias("bucket"), F.lit(True).alias("extra")))), lambda x: x.isNotNull())
+    dealt = placed.withColumn("at", F.explode(copies)).drop("bucket", "top", "top_h", "copy_to").select("*", "at.bucket", "at.extra").drop("at")
     rows = ready(dealt.repartition("bucket"))
-    order = Window.partitionBy("bucket").orderBy("extra", F.col(id_col).desc_nulls_last(), text_col)
-    return rows.withColumn("next", F.lead(F.struct(*columns)).over(order)).filter("not extra").drop("bucket", "extra")
+    order = Window.partitionBy("bucket").orderBy("extra", F.col(id_col).desc_nulls_last(), F.when(F.col(id_col).isNull(), F.col("h")), text_col)
+    return rows.withColumn("next", F.lead(F.struct(*columns)).over(order)).filter("not extra").drop("bucket", "extra", "h")
 
 
 def fingerprint_text(column: str) -> Column:

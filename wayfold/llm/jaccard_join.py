@@ -239,12 +239,18 @@ def smallest_linkable(percent: int) -> int:
     return n
 
 
-def post(rows: DataFrame, common: tuple[bytes, bytes, bytes], boundary: int, parts: int, percent: int, size: int) -> DataFrame:
-    """kind 0: a document (id, n, set_id, share of common shingles, parities); 1: postings of a part; 2: a hot posting."""
+#: Members of a part of a list, about, and of a block of an open list whose pairs are compared.
+PART, OPEN_BLOCK = 256, 256
+
+
+def post(rows: DataFrame, common: tuple[bytes, bytes, bytes, bytes], boundary: int, parts: int, percent: int, size: int) -> DataFrame:
+    """kind 0: a document (id, n, set_id, share of common shingles, parities); 1: postings of a part; 2: a hot posting, whose
+    n says into how many parts its list is split."""
     least = smallest_linkable(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, levels, hot = np.frombuffer(common[0], np.uint64), np.frombuffer(common[1], np.uint8), np.frombuffer(common[2], np.bool_)
+        parts_of = np.frombuffer(common[3], np.int64)
         seen: set[int] = set()
         sigs, refs, held = [], [], 0
 
@@ -266,7 +272,7 @@ def post(rows: DataFrame, common: tuple[bytes, bytes, bytes], boundary: int, par
         id_type = None
         for batch in batches:
             id_type = batch.column(0).type
-            ns, sets, maps, commons, hot_sigs, hot_refs = [], [], [], [], [], []
+            ns, sets, maps, commons, hot_sigs, hot_refs, hot_parts = [], [], [], [], [], [], []
             valid = batch.column(0).is_valid().to_pylist()
             for has_id, tokens in zip(valid, shingle_sets(batch.column(1), size), strict=True):
                 n = len(tokens)
@@ -287,7 +293,7 @@ def post(rows: DataFrame, common: tuple[bytes, bytes, bytes], boundary: int, par
                         level = np.where(known, levels[at], 0)
                         commons[-1] = float(known.mean())
                         order = np.argsort(level, kind="stable")[: first + 2]
-                        is_hot = (known & hot[at])[order]
+                        is_hot, n_parts = (known & hot[at])[order], parts_of[at][order]
                         tokens = tokens[order]
                 if n <= boundary:
                     head = tokens[: first + 2]
@@ -302,13 +308,14 @@ def post(rows: DataFrame, common: tuple[bytes, bytes, bytes], boundary: int, par
                         flag = is_hot[: first + 1]
                         hot_sigs.append(head[flag].view(np.int64))
                         hot_refs.append(np.full(int(flag.sum()), ref, np.int64))
+                        hot_parts.append(n_parts[: first + 1][flag])
                         head = head[~flag]
                     sigs.append(head)
                     refs.append(np.full(len(head), ref, np.int64))
                     held += len(head)
             yield out(0, len(ns), id=batch.column(0).to_pylist(), n=ns, set_id=sets, common=commons, parities=maps)
             if hot_sigs:
-                yield out(2, sum(map(len, hot_sigs)), set_id=np.concatenate(hot_refs), sig=np.concatenate(hot_sigs))
+                yield out(2, sum(map(len, hot_sigs)), n=np.concatenate(hot_parts), set_id=np.concatenate(hot_refs), sig=np.concatenate(hot_sigs))
             if held >= CHUNK:
                 yield blobs()
                 sigs, refs, held = [], [], 0
@@ -324,7 +331,7 @@ def post(rows: DataFrame, common: tuple[bytes, bytes, bytes], boundary: int, par
 
 
 def scan_lists(postings: DataFrame) -> DataFrame:
-    """list_id, ref: members of each distinct inverted list that holds two sets at least."""
+    """list_id, ref, parts: members of each distinct inverted list that holds two sets at least, and its number of parts."""
 
     def lists(blobs: list[bytes], part: int) -> pa.RecordBatch | None:
         sig = np.concatenate([np.frombuffer(b, np.uint32, len(b) // 12) for b in blobs])
@@ -344,7 +351,8 @@ def scan_lists(postings: DataFrame) -> DataFrame:
         ids, once = np.unique(ids, return_index=True)
         starts, lengths = starts[once], lengths[once]
         at = np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids.view(np.int64), lengths)), pa.array(ref[at])], names=["list_id", "ref"])
+        parts = np.repeat((lengths + PART - 1) // PART, lengths).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids.view(np.int64), lengths)), pa.array(ref[at]), pa.array(parts)], names=["list_id", "ref", "parts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
@@ -358,7 +366,7 @@ def scan_lists(postings: DataFrame) -> DataFrame:
         release_memory()
 
     n = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return postings.repartition(n, "part").mapInArrow(run, "list_id long, ref long")
+    return postings.repartition(n, "part").mapInArrow(run, "list_id long, ref long, parts int")
 
 
 #: Bits of the map of ids that is broadcast (as 64-bit words, 262,144 rows at most).
@@ -427,10 +435,16 @@ def verify(rows: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int,
 
 
 def still_open(lists: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The lists' rows with their components so far, and the hubs of lists that hold more than one component."""
-    labelled = lists.join(found.withColumnRenamed("node", "ref"), "ref", "left").select("list_id", "ref", "common", "n", F.coalesce("component", "ref").alias("component"))
-    heads = labelled.groupBy("list_id").agg(F.max(F.struct("common", "ref", "component")).alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    return labelled, heads.select("list_id", F.col("hub.ref").alias("a"), F.col("hub.component").alias("hub_component"))
+    """The lists' rows with their components so far, and the hubs of lists that hold more than one component.
+
+    Both have list_id and part; a hub has a row for each part of its list, so that a long list is joined in many tasks.
+    """
+    labelled = lists.join(found.withColumnRenamed("node", "ref"), "ref", "left").select("list_id", "part", "parts", "ref", "common", "n", F.coalesce("component", "ref").alias("component"))
+    hub = F.max(F.struct("common", "ref", "component")).alias("hub")
+    heads = labelled.groupBy("list_id", "part").agg(hub, F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("parts").alias("parts"), F.count("*").alias("size"))
+    heads = heads.groupBy("list_id").agg(F.max("hub").alias("hub"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("parts").alias("parts"), F.sum("size").alias("size")).filter("lo <> hi")
+    each = heads.select("list_id", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.col("hub.ref").alias("a"), F.col("hub.component").alias("hub_component"), "size")
+    return labelled, each
 
 
 #: Sets and elements of a block, about, and elements that are compared at once.
@@ -548,7 +562,8 @@ def find_components(documents: DataFrame, id_col: str, text_col: str, percent: i
     keys, counts = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
-    common = (keys.tobytes(), (1 + np.log2(np.maximum(counts, 1))).astype(np.uint8).tobytes(), (counts >= HOT).tobytes())
+    n_parts = np.maximum(1, -(-counts // PART)).astype(np.int64)
+    common = (keys.tobytes(), (1 + np.log2(np.maximum(counts, 1))).astype(np.uint8).tobytes(), (counts >= HOT).tobytes(), n_parts.tobytes())
     sizes = {r.key: r.n for r in counted.filter("kind = 1").collect()}
     total = sum(r.n for r in counted.filter("kind = 2").collect())
     repeats = counted.filter("kind = 0").agg(F.sum("n")).first()[0] or 0
@@ -560,8 +575,9 @@ def find_components(documents: DataFrame, id_col: str, text_col: str, percent: i
     classes = posted.filter("kind = 0 and set_id is not null").groupBy(F.col("set_id").alias("ref")).agg(F.min("id").alias("id"), F.first("n").alias("n"), F.max("common").alias("common"), F.first("parities").alias("parities"))
     classes = saved(classes)
     cold = scan_lists(posted.filter("kind = 1").select("part", "blob"))
-    hot = posted.filter("kind = 2").select(F.col("sig").alias("list_id"), F.col("set_id").alias("ref"))
-    lists = saved(cold.union(hot).distinct().join(classes.select("ref", "common", "n"), "ref"))
+    hot = posted.filter("kind = 2").select(F.col("sig").alias("list_id"), F.col("set_id").alias("ref"), F.col("n").cast("int").alias("parts"))
+    members_of = cold.union(hot).distinct().withColumn("part", F.expr("int(pmod(xxhash64(ref), parts))"))
+    lists = saved(members_of.join(classes.select("ref", "common", "n"), "ref"))
     classes_all, classes = classes, saved(classes.join(lists.select("ref").distinct(), "ref", "left_semi"))
 
     # a list's hub is its member with the commonest shingles: copies of one text differ least from it
@@ -569,11 +585,12 @@ def find_components(documents: DataFrame, id_col: str, text_col: str, percent: i
     found = spark.createDataFrame([], "node long, component long")
     for _ in range(ROUNDS):
         labelled, heads = still_open(lists, found)
-        stars = labelled.join(heads, "list_id").filter("component <> hub_component").select("a", F.col("ref").alias("b")).distinct()
+        stars = labelled.join(heads, ["list_id", "part"]).filter("component <> hub_component").select("a", F.col("ref").alias("b")).distinct()
         known = checked.select("a", "b").union(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = possible(stars.join(known, ["a", "b"], "left_anti"), classes, percent)
         # the hub has met all others of its list; what is left is between the others
-        lists = saved(labelled.join(heads.select("list_id", F.col("a").alias("ref")), ["list_id", "ref"], "left_anti").join(heads.select("list_id"), "list_id").select("list_id", "ref", "common", "n"))
+        left = labelled.join(heads.select("list_id", "part", F.col("a").alias("hub")), ["list_id", "part"]).filter("ref <> hub")
+        lists = saved(left.select("list_id", "part", "parts", "ref", "common", "n"))
         n_near = near.count()
         if n_near:
             checked = saved(checked.union(verify(rows, classes, near, percent, size)))
@@ -583,13 +600,19 @@ def find_components(documents: DataFrame, id_col: str, text_col: str, percent: i
 
     # whatever stands in one list and still in two components: all pairs that sizes and parities leave open
     labelled, heads = still_open(lists, found)
-    open_rows = labelled.join(heads.select("list_id"), "list_id").join(classes.select("ref", "parities"), "ref")
-    open_rows = saved(open_rows.select("list_id", "ref", "n", F.col("component").alias("c"), "parities"))
-    other = open_rows.select(F.col("list_id").alias("list_id2"), *[F.col(c).alias(f"{c}2") for c in ("ref", "n", "c", "parities")])
+    blocks = F.ceil(F.col("size") / OPEN_BLOCK).cast("int").alias("blocks")
+    open_rows = labelled.join(heads.select("list_id", "part", blocks), ["list_id", "part"]).withColumn("block", F.expr("int(pmod(xxhash64(ref, 7), blocks))"))
+    open_rows = open_rows.join(classes.select("ref", "parities"), "ref").select("list_id", "block", "blocks", "ref", "n", F.col("component").alias("c"), "parities")
+    open_rows = saved(open_rows)
+    # each two blocks of a list are one unit of work, so a long list's pairs are dealt over the cluster
+    left = open_rows.withColumn("lo", F.col("block")).withColumn("hi", F.explode(F.expr("sequence(block, blocks - 1)"))).drop("block", "blocks")
+    right = open_rows.withColumn("hi", F.col("block")).withColumn("lo", F.explode(F.expr("sequence(0, block)"))).drop("block", "blocks")
+    right = right.select("list_id", "lo", "hi", *[F.col(c).alias(f"{c}2") for c in ("ref", "n", "c", "parities")])
     differ = F.expr("if(size(parities) = size(parities2), aggregate(zip_with(parities, parities2, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x), 0)")
     sized = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
     near = sized & (100 * (F.col("n") + F.col("n2") - differ) >= percent * (F.col("n") + F.col("n2") + differ))
-    across = open_rows.join(other, (F.col("list_id") == F.col("list_id2")) & (F.col("ref") < F.col("ref2")) & (F.col("c") != F.col("c2")) & near)
+    once = (F.col("lo") < F.col("hi")) | (F.col("ref") < F.col("ref2"))
+    across = left.join(right, ["list_id", "lo", "hi"]).filter(once & (F.col("c") != F.col("c2")) & near).select(F.least("ref", "ref2").alias("ref"), F.greatest("ref", "ref2").alias("ref2"))
     known = checked.select("a", "b").union(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = across.select(F.col("ref").alias("a"), F.col("ref2").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
     rest = possible(rest, classes, percent)

@@ -10,9 +10,11 @@ segments end with is carried forward from one row per segment. So a URL with a t
 and no payload is shuffled.
 
 Edge cases: a revisit without an earlier response, or whose validators differ, stays as it is with a reason; records
-without URL or time are kept with a reason and serve no revisit; null headers are empty, and header names are compared
-in lower case (of names that differ in case only, the last holds); repeated records are resolved each for itself; an
-empty table gives an empty result; columns besides the named ones are not read.
+without URL or time are kept with a reason, skip the windows and serve no revisit; null headers are empty, and header
+names are compared in lower case (of names that differ in case only, the last holds); of records of equal time the
+greater record id is the later, of equal ids a hash of status and headers decides; repeated records are resolved each for
+itself; header values of any length are kept; an empty table gives an empty result; only the named columns are read, so
+others may have any name.
 """
 
 from __future__ import annotations
@@ -55,14 +57,17 @@ def resolve_revisits(records: DataFrame, segment_s: int = SEGMENT) -> DataFrame:
     rows = records.select("record_id", canonical_url(F.col("url")).alias("url_key"), "fetched", "status", headers.alias("headers"))
     usable = F.col("url_key").isNotNull() & F.col("fetched").isNotNull()
     full = usable & F.coalesce(F.col("status").between(200, 299), F.lit(False))
-    rows = rows.withColumn("usable", usable).withColumn("full", full).withColumn("segment", F.floor(F.unix_seconds(F.col("fetched").cast("timestamp")) / segment_s))
+    every = rows.withColumn("usable", usable).withColumn("full", full).withColumn("segment", F.floor(F.unix_seconds(F.col("fetched").cast("timestamp")) / segment_s))
     source = F.when(F.col("full"), F.struct("record_id", "status", "headers"))
-    earlier = Window.partitionBy("url_key", "segment").orderBy("fetched", "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = every.filter("usable")
+    earlier = Window.partitionBy("url_key", "segment").orderBy("fetched", "record_id", F.xxhash64("status", F.map_entries("headers"))).rowsBetween(Window.unboundedPreceding, -1)
     inside = rows.withColumn("found", F.last(source, ignorenulls=True).over(earlier))
-    ends = rows.filter("usable").groupBy("url_key", "segment").agg(F.max_by(source, F.when(F.col("full"), F.struct("fetched", "record_id"))).alias("end"))
+    ends = rows.groupBy("url_key", "segment").agg(F.max_by(source, F.when(F.col("full"), F.struct("fetched", "record_id"))).alias("end"))
     before = Window.partitionBy("url_key").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.withColumn("carried", F.last("end", ignorenulls=True).over(before)).drop("end")
-    joined = inside.join(carried, ["url_key", "segment"], "left").withColumn("found", F.when(F.col("usable"), F.coalesce("found", "carried")))
+    joined = inside.join(carried, ["url_key", "segment"], "left").withColumn("found", F.coalesce("found", "carried")).drop("carried")
+    # records without URL or time serve no revisit and need no window: as one key they would meet in one task
+    joined = joined.unionByName(every.filter("not usable").withColumn("found", F.lit(None).cast(joined.schema["found"].dataType)), allowMissingColumns=True)
     theirs, mine = F.col("found.headers"), F.col("headers")
     agree = _agree(mine["etag"], theirs["etag"]) & _agree(mine["last-modified"], theirs["last-modified"])
     revisit = F.coalesce(F.col("status") == 304, F.lit(False))
