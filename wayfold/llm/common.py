@@ -48,6 +48,17 @@ def saved(df: DataFrame, where: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(where)
 
 
+#: Bytes of input that a part of an output holds, about.
+PART_BYTES = 128 << 20
+
+
+def parts_for(df: DataFrame) -> int:
+    """Parts to write a frame in: the session's shuffle partitions, or more where the plan's size estimate asks for it."""
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(estimate // PART_BYTES, 1_000_000))
+
+
 #: Rows of an Arrow batch: texts can be long, and a batch is held whole by the executor and by its Python worker.
 BATCH_ROWS = 1000
 

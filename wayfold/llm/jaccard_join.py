@@ -29,7 +29,9 @@ Counts of common shingles only order the sets; whichever shingles they miss, the
 
 Edge cases: null, empty and blank texts have an empty set and are linked with nothing; a text of fewer than five words
 has its whole sequence as one shingle; sets of up to three elements can only equal others; repeated rows are rows of
-one class; a row without an id is counted but linked with nothing; an empty table gives an empty result. Hashes of 64 bits stand for shingles and sets.
+one class; a row without an id is counted but linked with nothing; texts of
+any length are hashed whole, segment by segment; an empty table gives an empty result; only the named columns are read,
+so others may have any name. Hashes of 64 bits stand for shingles and sets.
 """
 
 from __future__ import annotations
@@ -376,9 +378,9 @@ MAP_BITS = 24
 def by_map(rows: DataFrame, ids: DataFrame, id_col: str, hit: bool) -> DataFrame:
     """The rows whose id may be among ids (hit), or is surely not: by a bitmap of bounded size that is broadcast."""
     place = lambda c: F.expr(f"pmod(xxhash64(`{c}`), {1 << MAP_BITS})")
-    bits = ids.select(place("id").alias("p")).select(F.shiftright("p", 6).alias("map_word"), F.expr("shiftleft(1L, int(p & 63))").alias("bit")).groupBy("map_word").agg(F.bit_or("bit").alias("map_bits"))
-    placed = rows.withColumn("map_place", place(id_col)).withColumn("map_word", F.shiftright("map_place", 6)).join(F.broadcast(bits), "map_word", "inner" if hit else "left")
-    found = F.expr("coalesce((shiftright(map_bits, int(map_place & 63)) & 1) = 1, false)")
+    bits = ids.select(place("id").alias("p")).select(F.shiftright("p", 6).alias("wayfold_map_word"), F.expr("shiftleft(1L, int(p & 63))").alias("bit")).groupBy("wayfold_map_word").agg(F.bit_or("bit").alias("wayfold_map_bits"))
+    placed = rows.withColumn("wayfold_map_place", place(id_col)).withColumn("wayfold_map_word", F.shiftright("wayfold_map_place", 6)).join(F.broadcast(bits), "wayfold_map_word", "inner" if hit else "left")
+    found = F.expr("coalesce((shiftright(wayfold_map_bits, int(wayfold_map_place & 63)) & 1) = 1, false)")
     return placed.filter(found if hit else ~found).select(*rows.columns)
 
 

@@ -33,7 +33,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import saved
+from wayfold.llm.common import parts_for, saved
 
 BLOCK_DOCS, GROUP, MAX_CYCLE, BROADCAST_ROWS = 16, 4096, 1 << 22, 200_000
 #: Target weights by source in production; a source without one has OTHER_WEIGHT.
@@ -169,10 +169,9 @@ def mix(
 
 def mixed_rows(documents: DataFrame, weights: dict | None = None, other_weight=OTHER_WEIGHT, block_docs: int = BLOCK_DOCS, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The documents' columns in mixed order: partitions by slot, rows sorted by slot and place."""
-    spark = documents.sparkSession
     columns = tuple(documents.columns)
     made = _placed(documents, weights, other_weight, block_docs, id_col, source_col, columns)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = parts_for(documents)
     total = max(1, documents.count() // block_docs)
     at = F.least(F.lit(n - 1), (F.col("m_slot") * n / total).cast("int"))
     return made.repartitionById(n, at).sortWithinPartitions("m_slot", "m_place").select(*[F.col(f"m_row.`{c}`").alias(c) for c in columns])

@@ -4,19 +4,21 @@ A shard holds documents in ascending order of their key (the identifier's order-
 
     block*      entries with prefix-compressed keys: varint shared, varint unshared, varint size, key rest, value
     filter      Bloom filter over all keys
-    index       for each block: its first key, offset, size and crc32
-    footer      offsets and sizes of filter and index, number of entries and ids, key range, version, magic
+    index       for each block: its first key, offset, size, crc32 and number of entries
+    order       where rows came in an order of their own: the entries' numbers in that order, 32 bits each
+    footer      offsets and sizes of filter, index and order, number of entries and ids, version, magic
 
 A value is the document's ids as little-endian unsigned 16-bit integers (32-bit where an id needs it; a leading byte
-tells which). ``Shard.get`` searches the Bloom filter, then the index by bisection, then one block.
+tells which). ``Shard.get`` searches the Bloom filter, then the index by bisection, then one block; ``Shard.in_order``
+reads documents in the order they came in (a mix, say), through the order section.
 
 Writing: rows are range-partitioned by identifier and sorted; each task writes one shard under a name of its own and
 returns a manifest row. Spark commits the manifest, so shards of lost or repeated attempts are never read. Shards are
 written where spark.checkpoint.dir points, through pyarrow's file systems.
 
 Edge cases: a null text is empty and has the end id only; null identifiers sort first under an own key; equal
-identifiers are kept as entries of their own, ordered by text; an empty table gives an empty manifest; other columns
-are not read.
+identifiers are kept as entries of their own, ordered by a hash of the text and the text; texts of any length are encoded
+whole; an empty table gives an empty manifest; only the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -37,10 +40,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import KEPT, drop_kept, file_system, release_memory, saved, shared_dir, small_batches
+from wayfold.llm.common import KEPT, drop_kept, file_system, parts_for, release_memory, saved, shared_dir, small_batches
 
-MAGIC, VERSION, BLOCK, BITS_PER_KEY, PROBES = b"WFSST\x00\x00\x01", 1, 64 << 10, 10, 7
-FOOTER = struct.Struct("<QQQQQQI8s")
+MAGIC, VERSION, BLOCK, BITS_PER_KEY, PROBES = b"WFSST\x00\x00\x01", 2, 64 << 10, 10, 7
+FOOTER = struct.Struct("<QQQQQQQQI8s")
 
 
 def key_bytes(identifier) -> bytes:
@@ -100,9 +103,10 @@ class Writer:
         self.block, self.first, self.last = bytearray(), b"", b""
         self.keys: list[bytes] = []
         self.index = bytearray()
-        self.blocks = self.entries = self.ids = 0
+        self.blocks = self.entries = self.ids = self.in_block = 0
+        self.places = array("q")
 
-    def add(self, key: bytes, value: bytes, n_ids: int) -> None:
+    def add(self, key: bytes, value: bytes, n_ids: int, place: int | None = None) -> None:
         shared = 0
         if self.block:
             top = min(len(key), len(self.last))
@@ -116,6 +120,9 @@ class Writer:
             self.keys.append(xxhash.xxh3_128_digest(key))
         self.last = key
         self.entries += 1
+        self.in_block += 1
+        if place is not None:
+            self.places.append(place)
         self.ids += n_ids
         if len(self.block) >= BLOCK:
             self.flush()
@@ -123,10 +130,10 @@ class Writer:
     def flush(self) -> None:
         if self.block:
             self.sink.write(bytes(self.block))
-            self.index += varint(len(self.first)) + self.first + varint(self.at) + varint(len(self.block)) + varint(zlib.crc32(self.block))
+            self.index += varint(len(self.first)) + self.first + varint(self.at) + varint(len(self.block)) + varint(zlib.crc32(self.block)) + varint(self.in_block)
             self.at += len(self.block)
             self.blocks += 1
-            self.block = bytearray()
+            self.block, self.in_block = bytearray(), 0
 
     def close(self) -> None:
         self.flush()
@@ -140,7 +147,9 @@ class Writer:
                 bloom[p >> 3] |= 1 << (p & 7)
         body = varint(bits) + bloom.tobytes()
         index = varint(self.blocks) + bytes(self.index) + varint(len(self.last)) + self.last
-        self.sink.write(body + index + FOOTER.pack(self.at, len(body), self.at + len(body), len(index), self.entries, self.ids, VERSION, MAGIC))
+        order = np.argsort(np.frombuffer(self.places, np.int64), kind="stable").astype("<u4").tobytes() if len(self.places) else b""
+        ends = self.at + len(body) + len(index)
+        self.sink.write(body + index + order + FOOTER.pack(self.at, len(body), self.at + len(body), len(index), ends, len(order), self.entries, self.ids, VERSION, MAGIC))
 
 
 class Shard:
@@ -150,21 +159,23 @@ class Shard:
         self.file = file
         size = file.size()
         raw = self._read(size - FOOTER.size, FOOTER.size)
-        f_at, f_size, i_at, i_size, self.entries, self.ids, version, magic = FOOTER.unpack(raw)
+        f_at, f_size, i_at, i_size, self.order_at, self.order_size, self.entries, self.ids, version, magic = FOOTER.unpack(raw)
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a shard of this format")
         body, index = self._read(f_at, f_size), self._read(i_at, i_size)
         self.bits, at = read_varint(body, 0)
         self.bloom = np.frombuffer(body, np.uint8, offset=at)
         n, at = read_varint(index, 0)
-        self.first, self.blocks = [], []
+        self.first, self.blocks, self.counts = [], [], []
         for _ in range(n):
             k, at = read_varint(index, at)
             self.first.append(bytes(index[at : at + k]))
             offset, at = read_varint(index, at + k)
             length, at = read_varint(index, at)
             crc, at = read_varint(index, at)
+            count, at = read_varint(index, at)
             self.blocks.append((offset, length, crc))
+            self.counts.append(count)
 
     def _read(self, at: int, n: int) -> bytes:
         self.file.seek(at)
@@ -189,6 +200,23 @@ class Shard:
         for i in range(len(self.blocks)):
             yield from self._block(i)
 
+    def order(self) -> np.ndarray:
+        """Numbers of the entries (by key) in the order their rows came in."""
+        return np.frombuffer(self._read(self.order_at, self.order_size), "<u4") if self.order_size else np.arange(self.entries, dtype="<u4")
+
+    def in_order(self, held: int = 64) -> Iterator[tuple[bytes, np.ndarray]]:
+        """(key, ids) in the order the rows came in; the last ``held`` blocks stay decoded."""
+        starts = np.concatenate([[0], np.cumsum(self.counts)])
+        decoded: dict[int, list] = {}
+        for number in self.order().tolist():
+            i = int(np.searchsorted(starts, number, "right")) - 1
+            block = decoded.pop(i, None) or list(self._block(i))
+            decoded[i] = block
+            if len(decoded) > held:
+                del decoded[next(iter(decoded))]
+            key, value = block[number - int(starts[i])]
+            yield key, unpack_ids(value)
+
     def get(self, identifier) -> list[np.ndarray]:
         """Ids of all entries of an identifier."""
         key = key_bytes(identifier)
@@ -320,23 +348,25 @@ def write_shards(
     id_col: str = "doc_id",
     text_col: str = "text",
     shard_col: str | None = None,
+    order_col: str | None = None,
 ) -> DataFrame:
     """Write all documents as shards; the manifest: shard, uri, entries, ids, first and last key, bytes.
 
-    Shards hold ranges of identifiers; where ``shard_col`` names a column of shard numbers, they hold what it says.
+    Shards hold ranges of identifiers, one for each ``PART_BYTES`` of input but as many as shuffle partitions at least;
+    where ``shard_col`` names a column of shard numbers, they hold what it says. ``order_col`` (long) names the rows'
+    order inside a shard, which the shard then keeps beside its keys.
     """
     spark = small_batches(documents).sparkSession
     folder = (where or shared_dir(spark)).rstrip("/")
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slim = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    place = (F.col(order_col) if order_col else F.lit(None)).cast("bigint").alias("place")
+    slim = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), place, *([F.col(shard_col).cast("int").alias("shard")] if shard_col else []))
     by = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
     if shard_col:
-        dealt = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(shard_col).cast("int").alias("shard"))
-        shards = 1 + (documents.agg(F.max(shard_col)).first()[0] or 0)
-        dealt = dealt.repartitionById(shards, F.col("shard")).select("id", "text")
+        shards = 1 + (slim.agg(F.max("shard")).first()[0] or 0)
+        dealt = slim.repartitionById(shards, F.col("shard")).drop("shard")
     else:
         # identifier first; the text's hash splits an identifier that many rows share
-        dealt = slim.repartitionByRange(shards, *by)
+        dealt = slim.repartitionByRange(shards or parts_for(documents), *by)
     ranged = dealt.sortWithinPartitions(*by, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,7 +380,7 @@ def write_shards(
         name = f"{folder}/shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.sst"
         for batch in batches:
             texts = (t.as_py() for t in batch.column(1))
-            for i, ids in zip(batch.column(0), encode(texts), strict=True):
+            for i, ids, place in zip(batch.column(0), encode(texts), batch.column(2).to_pylist(), strict=True):
                 if writer is None:
                     fs, path = file_system(name)
                     fs.create_dir(path.rpartition("/")[0], recursive=True)
@@ -358,7 +388,7 @@ def write_shards(
                     writer = Writer(sink)
                     first = key_bytes(i.as_py())
                 ids += end
-                writer.add(key_bytes(i.as_py()), encode.mark + ids, len(ids) // width)
+                writer.add(key_bytes(i.as_py()), encode.mark + ids, len(ids) // width, place)
         if writer is not None:
             writer.close()
             size = sink.tell()
@@ -370,28 +400,33 @@ def write_shards(
 
 
 def read_shards(manifest: DataFrame, id_col: str = "doc_id", id_type: str = "bigint") -> DataFrame:
-    """Per document, from the files: id, shard, start (ids before it), n_tokens, ids_crc32."""
-    starts = manifest.select("shard", "uri", "ids", (F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("ids")).alias("start"))
-    starts = starts.select("shard", "uri", "start")
+    """Per document, from the files: id, shard, start (ids before it), n_tokens, ids_crc32, position (in the order of the
+    shards and of their rows as they came in).
+    """
+    by_shard = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)  # a manifest row a shard
+    before = lambda c: (F.sum(c).over(by_shard) - F.col(c)).alias(f"{c}_before")
+    starts = manifest.select("shard", "uri", "ids", "entries").select("shard", "uri", before("ids"), before("entries"))
     n = max(1, manifest.count())
+    key_type = pa.string() if id_type == "string" else pa.int64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, uri, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for number, uri, start, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids, begins, sizes, crcs = [], [], [], []
-                for key, value in open_shard(uri):
+                shard = open_shard(uri)
+                for key, value in shard:
                     tokens = unpack_ids(value)
                     ids.append(identifier_of(key))
                     begins.append(start)
                     sizes.append(len(tokens))
                     crcs.append(zlib.crc32(tokens.astype("<u4").tobytes()))
                     start += len(tokens)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.string() if id_type == "string" else pa.int64()), pa.array([shard] * len(ids), pa.int64()), pa.array(begins, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())],
-                    names=[id_col, "shard", "start", "n_tokens", "ids_crc32"],
-                )
+                places = np.empty(len(ids), np.int64)
+                places[shard.order()] = np.arange(first, first + len(ids))
+                columns = [pa.array(ids, key_type), pa.array([number] * len(ids), pa.int64()), *(pa.array(c, pa.int64()) for c in (begins, sizes, crcs, places))]
+                yield pa.RecordBatch.from_arrays(columns, names=[id_col, "shard", "start", "n_tokens", "ids_crc32", "position"])
 
-    return starts.repartitionByRange(n, "shard").mapInArrow(run, f"`{id_col}` {id_type}, shard long, start long, n_tokens long, ids_crc32 long")
+    return starts.repartitionByRange(n, "shard").mapInArrow(run, f"`{id_col}` {id_type}, shard long, start long, n_tokens long, ids_crc32 long, position long")
 
 
 def lookup(manifest: DataFrame, identifiers: list) -> dict:

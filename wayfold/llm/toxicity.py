@@ -5,14 +5,16 @@ r = log((p + a) / |p|) - log((q + a) / |q|) over toxic (p) and other (q) labelle
 on the presences scaled by r, with an L2 penalty. Only buckets with |r| of at least ``MIN_RATIO`` and at least
 ``MIN_DF`` texts are kept, which leaves the n-grams that tell the classes apart.
 
-Fitting takes a sample of at most ``MAX_TOXIC`` + ``MAX_OTHER`` labelled texts, those with the least hash of their id,
+Fitting takes a sample of at most ``most_toxic`` + ``most_other`` labelled texts, those with the least hash of their id,
 in one executor task; the fitted weights (4 MB at most) are what the driver sees. Scoring is a narrow pass over all
 whole texts.
 
 Edge cases: null and empty texts have no n-grams and get the score of the intercept; documents without label are only
 scored; null labels are ignored and a document labelled twice is toxic if any label says so; with no labelled text of
-one of the classes, every score is the share of toxic labels (0.0 without labels, so predicted 0); repeated rows are
-scored each for itself.
+one of the classes, every score is the share of toxic labels (0.0 without labels, so predicted 0); texts of any length
+are hashed whole, piece by piece; a score of exactly 0.5 is predicted 1; repeated rows are scored each for itself and
+count once each in fitting; an empty table gives an empty result; columns that aren't carried are not read, and carried
+ones come in a struct ``carried``, so no name clashes.
 """
 
 from __future__ import annotations
@@ -97,12 +99,12 @@ def score(text: str | None, weights: np.ndarray, used: np.ndarray, bias: float)
     return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[bytes, float]:
-    """Fit on labelled documents; labels should hold the rows to learn from only."""
+def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = MAX_TOXIC, most_other: int = MAX_OTHER):
+    """Fit on labelled documents, at most so many of each class; labels should hold the rows to learn from only."""
     documents = small_batches(documents)
     one = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).alias("y"))
     ordered = one.orderBy(F.xxhash64("id"), "id")
-    sample = ordered.filter("y").limit(MAX_TOXIC).union(ordered.filter("not y").limit(MAX_OTHER))
+    sample = ordered.filter("y").limit(most_toxic).union(ordered.filter("not y").limit(most_other))
     texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     picked = texts.join(F.broadcast(sample), "id").select("id", "text", "y")
 
@@ -116,13 +118,17 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     return picked.repartition(1).mapInArrow(run, "at binary, w binary, b double").first()
 
 
-def score_documents(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Documents' id (and ``carry`` columns) with score (0 to 1) and predicted (1 from 0.5)."""
-    model = train(documents, labels, id_col, text_col, label_col)
+def score_documents(
+    documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", carry: tuple[str, ...] = (), most_toxic: int = MAX_TOXIC, most_other: int = MAX_OTHER
+) -> DataFrame:
+    """Documents' id with score (0 to 1) and predicted (1 from 0.5); with ``carry`` also a struct ``carried`` of those columns."""
+    model = train(documents, labels, id_col, text_col, label_col, most_toxic, most_other)
     at, values, bias = (bytes(model.at), bytes(model.w), model.b) if model else (b"", b"", -20.0)
-    slim = documents.select(*dict.fromkeys((id_col, text_col, *carry)))
-    names = [c for c in slim.columns if c == id_col or c in carry]
-    out = slim.select(*names, F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
+    extra = [c for c in dict.fromkeys(carry) if c not in (id_col, text_col)]
+    rest = [F.struct(*[F.col(f"`{c}`") for c in extra]).alias("rest")] if extra else []
+    slim = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *rest)
+    kept = slim.columns if carry else ["id"]
+    out = slim.select(*kept, F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_kept()
@@ -130,7 +136,10 @@ def score_documents(documents: DataFrame, labels: DataFrame, id_col: str = "doc_
         weights[np.frombuffer(at, np.int32)] = np.frombuffer(values, np.float32)
         used = weights != 0
         for batch in batches:
-            scores = np.array([score(t.as_py(), weights, used, bias) for t in batch.column(text_col)], np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
+            scores = np.array([score(t.as_py(), weights, used, bias) for t in batch.column("text")], np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=[*kept, "score", "predicted"])
 
-    return slim.mapInArrow(run, out)
+    scored = slim.mapInArrow(run, out)
+    held = {id_col: F.col("id"), text_col: F.col("text")} | {c: F.col(f"rest.`{c}`") for c in extra}
+    carried = [F.struct(*[held[c].alias(c) for c in carry]).alias("carried")] if carry else []
+    return scored.select(F.col("id").alias(id_col), "score", "predicted", *carried)
