@@ -2,7 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns what the next one reads. All but the last return the columns of
 documents: the first three drop rows, mixing puts the kept rows in mixed order (part files by slot, rows by slot inside
-them), and the last writes one shard of token ids for each part file and returns a row for each document read back.
+them), and the last writes one shard of token ids for each part file, which keeps the mixed order of its documents beside
+their keys, and returns a row for each document read back.
+
+Edge cases, at every stage: null and empty texts are neither toxic nor near duplicates nor contaminated and stay, as
+documents of the end id alone; texts of any length are read whole; of documents linked as near duplicates (ties
+included) the one of least id stays, and of rows that repeat an id one; rows without an id are never near duplicates and
+stay; a null source is the source ''; documents may have further columns of any name, which pass through to mixing; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,9 +22,14 @@ from wayfold.llm.common import saved, table
 from wayfold.llm.queries import END_ID, HELD_OUT, tokenizer_file
 
 
+def carried(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The documents' own columns, out of the struct in which operators carry them."""
+    return found.select(*[F.col(f"carried.`{c}`").alias(c) for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").filter(f"not ({HELD_OUT})")
-    return toxicity.score_documents(docs, labels, carry=tuple(docs.columns)).filter("predicted = 0").select(*docs.columns)
+    return carried(toxicity.score_documents(docs, labels, carry=tuple(docs.columns)).filter("predicted = 0"), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +38,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark"), carry=tuple(docs.columns))
-    return found.filter("not contaminated").select(*docs.columns)
+    return carried(found.filter("not contaminated"), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,10 +46,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of part file i go to shard i, so that shards follow the mix; within a shard they are keyed by id."""
+    """Documents of part file i go to shard i, keyed by id; their order in the file is kept as the shard's order."""
     part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).try_cast("int")
-    placed = docs.select("doc_id", "text", F.coalesce(part, F.lit(0)).alias("shard"))
-    return sstable.read_shards(sstable.write_shards(placed, tokenizer_file(), END_ID, shard_col="shard"))
+    placed = docs.select("doc_id", "text", F.coalesce(part, F.lit(0)).alias("shard"), F.col("_metadata.row_index").alias("row"))
+    return sstable.read_shards(sstable.write_shards(placed, tokenizer_file(), END_ID, shard_col="shard", order_col="row"))
 
 
 STAGES = [
