@@ -75,7 +75,7 @@ def path_length(points: str) -> Column:
 
 def middle(points: str) -> Column:
     """The middle vertex."""
-    return F.expr(f"element_at({points}, size({points}) div 2 + 1)")
+    return F.expr(f"element_at({points}, int(size({points}) div 2) + 1)")
 
 
 def opposed(dx1, dy1, dx2, dy2) -> Column:

@@ -1,4 +1,4 @@
-"""The sequential operators: chains, busiest stretches, map matching, density clusters, a permutation test.
+"""The sequential operators: busiest stretches and map matching; and a permutation test.
 
 Each works on one street, ride or region at a time (applyInPandas) and sees the rest of the network only through a
 grid join, so no task holds more than one group's neighbourhood.
@@ -15,34 +15,6 @@ from wayfold.functions import geo
 from wayfold.operators import joins, tables
 
 
-def chain_units(units: DataFrame) -> DataFrame:
-    """Chains of units (unit, name, a, b, bearing, metres) that go on from node b to node a, by name.
-
-    Walks start at units without a predecessor, then anywhere; each goes on to the unused unit with the least turn, ties
-    to the lesser unit. Per unit: name, chain, place.
-    """
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values("unit").to_dict("records")
-        after: dict = {}
-        for r in rows:
-            after.setdefault(r["a"], []).append(r)
-        ends = {r["b"] for r in rows}
-        used: set = set()
-        out = []
-        for start in [r for r in rows if r["a"] not in ends] + rows:
-            place, at = 0, start
-            while at is not None and at["unit"] not in used:
-                used.add(at["unit"])
-                out.append((at["name"], start["unit"], place, at["unit"]))
-                turn = lambda n, at=at: min((n["bearing"] - at["bearing"]) % 360, (at["bearing"] - n["bearing"]) % 360)
-                at = min((n for n in after.get(at["b"], ()) if n["unit"] not in used), key=lambda n: (turn(n), n["unit"]), default=None)
-                place += 1
-        return pd.DataFrame(out, columns=["name", "chain", "place", "unit"])
-
-    return units.groupBy("name").applyInPandas(walk, "name string, chain long, place long, unit long")
-
-
 def match_rides(fixes: DataFrame, edges: DataFrame, reach: float = 80.0, noise: float = 15.0, hop: float = 1.0, jump: float = 8.0) -> DataFrame:
     """The likeliest edge for each fix of a ride (Viterbi): fixes ride, seq, x, y; edges u, v, ax, ay, bx, by.
 
@@ -82,23 +54,6 @@ def match_rides(fixes: DataFrame, edges: DataFrame, reach: float = 80.0, noise:
     return near.groupBy("ride").applyInPandas(viterbi, "ride long, seq long, u long, v long")
 
 
-def density_clusters(points: DataFrame, radius: int, least: int) -> DataFrame:
-    """Greedy density clusters in each region: the densest point first, with its neighbours that no cluster has yet."""
-    inside = joins.within(points, points, radius, F.col("l.region") == F.col("r.region")).select(F.col("l.region").alias("region"), F.col("l.id").alias("id"), F.col("r.id").alias("near"))
-
-    def assign(group: pd.DataFrame) -> pd.DataFrame:
-        near = group.groupby("id").near.apply(list)
-        order = sorted(near.index, key=lambda i: (-len(near[i]), i))
-        taken: dict = {}
-        for i in order:
-            free = [j for j in near[i] if j not in taken]
-            if i not in taken and len(free) >= least:
-                taken.update(dict.fromkeys(free, i))
-        return pd.DataFrame([(group.region.iloc[0], i, c) for i, c in sorted(taken.items())], columns=["region", "id", "cluster"])
-
-    return inside.groupBy("region").applyInPandas(assign, "region long, id long, cluster long")
-
-
 def permutation_test(events: DataFrame, trials: int) -> DataFrame:
     """observed (median value of all events), p (share of trials with no larger median).
 
@@ -151,24 +106,3 @@ def busiest_stretches(features: DataFrame, keep: float = 0.8, least_m: float = 5
         return pd.DataFrame({"name": pd.Series(dtype=str), "n": pd.Series(dtype="int64"), "metres": pd.Series(dtype="int64")})
 
     return rows.groupBy("name").applyInPandas(walk, "name string, n long, metres long").orderBy(F.desc("n"), F.desc("metres"), "name").limit(top)
-
-
-def pick_stations(clusters: DataFrame, spacing: float = 480.0, least: int = 9) -> DataFrame:
-    """Stations of each region from its trip-end clusters (region, id, x, y, n): the heaviest first.
-
-    A cluster nearer than ``spacing`` to a station adds its weight to the first such one; ties of weight go by id. Stations
-    of less than ``least`` ends go. Rows are clusters, so a region's group is bounded by its area, not by its trips.
-    """
-
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        taken: list[dict] = []
-        for c in group.sort_values(["n", "id"], ascending=[False, True]).to_dict("records"):
-            close = [s for s in taken if np.hypot(s["x"] - c["x"], s["y"] - c["y"]) < spacing]
-            if close:
-                close[0]["n"] += c["n"]
-                close[0]["absorbed"].append(c["id"])
-            else:
-                taken.append({**c, "absorbed": []})
-        return pd.DataFrame([s for s in taken if s["n"] >= least], columns=["region", "id", "x", "y", "n", "absorbed"])
-
-    return clusters.select("region", "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("n").cast("long").alias("n")).groupBy("region").applyInPandas(pick, "region long, id long, x double, y double, n long, absorbed array<long>")

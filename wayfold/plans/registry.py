@@ -8,34 +8,10 @@ from pyspark.sql import functions as F
 from wayfold.functions import geo, text
 from wayfold.operators import corridors, graph, joins, tables, traces
 from wayfold.plans import roles
+from wayfold.plans.catalog import oracle_sql, queries, query  # noqa: F401
 from wayfold.plans.roles import sql, table
 from wayfold.sources import writers
 
-_queries: dict = {}
-_sql: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    def add(f):
-        _queries[f.__name__] = f
-        if oracle:
-            _sql[f.__name__] = oracle
-        return f
-
-    return add
-
-
-def queries() -> dict:
-    return dict(_queries)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
-
-
-LAG = "lag({0}) OVER (PARTITION BY ride ORDER BY seq)"
-
-
 @query(sql("SELECT ride, n, start, duration, round(distance, 3) AS distance FROM (SELECT ride, count(*) AS n, min(t) AS start, arg_max(t, seq) - arg_min(t, seq) AS duration, sum(d) AS distance FROM (SELECT *, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS d FROM fixes WINDOW w AS (PARTITION BY ride ORDER BY seq)) GROUP BY ride) WHERE n >= 2", "fixes"))
 def q_ride_stats(spark: SparkSession, d: str) -> DataFrame:
     return traces.ride_stats(roles.fixes(spark, d)).withColumn("distance", F.round("distance", 3))
@@ -510,12 +486,6 @@ def q_components(spark, d):
     return tables.components(links)
 
 
-@query()
-def q_chain_units(spark, d):
-    e = roles.edges(spark, d).selectExpr("edge as unit", "brand as name", "chunk as a", "(chunk + edge % 3) % 50 as b", "double(edge % 360) as bearing", "double(metres) as metres")
-    return graph.chain_units(e)
-
-
 @query()
 def q_hmm_grid(spark, d):
     nodes = spark.range(0, 441).selectExpr("id", "double(id % 21) * 100 as x", "double(id div 21) * 100 as y")
@@ -525,11 +495,6 @@ def q_hmm_grid(spark, d):
     return graph.match_rides(fixes, right.union(up))
 
 
-@query()
-def q_od_clusters(spark, d):
-    return graph.density_clusters(roles.fixes(spark, d).selectExpr("seq as id", "ride % 8 as region", "x", "y"), 100, 5)
-
-
 @query()
 def q_permutation(spark, d):
     f = roles.fixes(spark, d)
@@ -567,11 +532,3 @@ def q_export_features(spark, d):
 @query()
 def q_merge_audit(spark, d):
     return corridors.audit(_streets(spark, d)[0])
-
-
-@query()
-def q_stations(spark, d):
-    ends = roles.fixes(spark, d).selectExpr("seq as id", "ride % 8 as region", "x", "y")
-    found = graph.density_clusters(ends, 100, 5).join(ends, ["region", "id"])
-    clusters = found.groupBy("region", F.col("cluster").alias("id")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n"))
-    return graph.pick_stations(clusters).select("region", "id", "n", F.size("absorbed").alias("absorbed"))
