@@ -6,7 +6,7 @@ import math
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo, text
-from wayfold.operators import graph, joins, tables, traces
+from wayfold.operators import areas, graph, joins, rankings, tables, traces
 from wayfold.sources import readers, writers
 from wayfold.streaming import ingest
 
@@ -58,7 +58,7 @@ def test_points_in_rings_with_hole(spark):
     square = lambda a, lo, hi: [(a, lo, lo, hi, lo), (a, hi, lo, hi, hi), (a, hi, hi, lo, hi), (a, lo, hi, lo, lo)]
     rings = spark.createDataFrame([(r[0], *map(float, r[1:])) for r in square("A", 0, 500) + square("A", 200, 300) + square("B", 600, 1100)], "area string, ax double, ay double, bx double, by double")
     points = spark.createDataFrame([(1, 100.0, 100.0), (2, 250.0, 250.0), (3, 800.0, 900.0), (4, 5000.0, 10.0)], "point long, x double, y double")
-    assert sorted(map(tuple, joins.in_rings(points, rings, 50).collect())) == [(1, "A"), (3, "B")]
+    assert sorted(map(tuple, areas.inside(points, rings, 50).collect())) == [(1, "A"), (3, "B")]
 
 
 def test_components_and_upsert(spark):
@@ -77,7 +77,7 @@ def test_match_rides_on_a_street(spark):
 
 def test_chains(spark):
     units = spark.createDataFrame([(1, "k", 0, 1, 90.0, 1.0), (2, "k", 1, 2, 90.0, 1.0), (3, "k", 1, 9, 0.0, 1.0)], "unit long, name string, a long, b long, bearing double, metres double")
-    assert sorted((r.chain, r.place, r.unit) for r in graph.chain_units(units).collect()) == [(1, 0, 1), (1, 1, 2), (3, 0, 3)]
+    assert sorted((r.chain, r.place, r.unit) for r in rankings.chain_units(units).collect()) == [(1, 0, 1), (1, 1, 2), (3, 0, 3)]
 
 
 def test_readers(spark, tmp_path):
@@ -110,4 +110,4 @@ def test_whole_names_read_behind_80_characters(spark, tmp_path):
     from wayfold.plans import registry
 
     spark.createDataFrame([(1, "x " * 100 + " on  5 Av")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    assert registry.queries()["q_norm_names_whole"](spark, str(tmp_path)).first().name == "x " * 100 + "on 5 Ave"
+    assert registry.queries()["q_norm_names"](spark, str(tmp_path)).first().name == "x " * 100 + "on 5 Ave"

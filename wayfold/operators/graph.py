@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo
@@ -54,18 +54,20 @@ def match_rides(fixes: DataFrame, edges: DataFrame, reach: float = 80.0, noise:
     return near.groupBy("ride").applyInPandas(viterbi, "ride long, seq long, u long, v long")
 
 
-def permutation_test(events: DataFrame, trials: int) -> DataFrame:
+def permutation_test(events: DataFrame, pools: DataFrame, trials: int) -> DataFrame:
     """observed (median value of all events), p (share of trials with no larger median).
 
-    events: id, value, pool (array). A trial draws one member of each event's own pool by a hash of trial and event;
-    trials are dealt over the cluster. Events with an empty or null pool are left out.
+    events: id, value, pool; pools: pool, value, one row a member. A trial draws one member of each event's own pool, by a
+    hash of trial and event; members are numbered inside their pool and met by number, so a pool is never gathered in a
+    row, and trials are dealt over the cluster. Events whose pool is empty are left out.
     """
-    fit = events.filter("size(pool) > 0")
-    drawn = fit.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
-    at = F.pmod(F.xxhash64("trial", "id"), F.size("pool").cast("long")) + 1
-    medians = drawn.groupBy("trial").agg(F.median(F.element_at("pool", at.cast("int"))).alias("m"))
-    observed = fit.agg(F.median("value").alias("observed")).first().observed
-    return medians.agg(F.lit(observed).cast("double").alias("observed"), F.avg((F.col("m") <= F.lit(observed)).cast("double")).alias("p"))
+    sizes = pools.groupBy("pool").agg(F.count("*").alias("size"))
+    members = pools.select("pool", (F.row_number().over(Window.partitionBy("pool").orderBy("value")) - 1).alias("at"), F.col("value").alias("drawn"))
+    fit = events.join(sizes, "pool")
+    drawn = fit.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials)))).withColumn("at", F.pmod(F.xxhash64("trial", "id"), F.col("size")).cast("int"))
+    medians = drawn.select("trial", "pool", "at").join(members, ["pool", "at"]).groupBy("trial").agg(F.median("drawn").alias("m"))
+    observed = fit.agg(F.median("value").alias("observed"))  # one row
+    return medians.join(F.broadcast(observed)).agg(F.max("observed").alias("observed"), F.avg((F.col("m") <= F.col("observed")).cast("double")).alias("p"))
 
 
 def busiest_stretches(features: DataFrame, keep: float = 0.8, least_m: float = 50.0, meet: int = 6, top: int = 8) -> DataFrame:

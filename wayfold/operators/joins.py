@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfold.operators.state import cut
+
 
 def overlap(left: DataFrame, right: DataFrame, least: int, bucket: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of intervals (s, e as whole seconds, half-open) that overlap by ``least`` at least.
@@ -18,6 +20,35 @@ def overlap(left: DataFrame, right: DataFrame, least: int, bucket: int, keys: tu
     return pairs.filter((F.floor(begin / bucket) == F.col("b")) & (end - begin >= least)).withColumn("overlap", end - begin).drop("b")
 
 
+def count_overlaps(left: DataFrame, right: DataFrame, least: int, bucket: int, id_col: str = "id") -> DataFrame:
+    """id, n: how many right intervals (id, s, e) each left one overlaps by ``least`` at least; its own id doesn't count.
+
+    No pairs are made. An interval of ``least`` or more overlaps another one unless the other begins too late or ends too
+    early, so n is the starts up to e - least without the ends before s + least. Both are running counts of the times in
+    order: inside a bucket by a window, before it by the buckets' totals (one row a bucket).
+    """
+    fit = right.filter(F.col("e") - F.col("s") >= least)
+    asked = left.filter(F.col("e") - F.col("s") >= least)
+    # at one time, starts come before who asks for them, and ends after
+    marks = fit.select(F.col("s").alias("at"), F.lit(0).alias("turn"), F.lit(1).alias("sign"), F.lit(None).alias(id_col))
+    marks = marks.union(asked.select(F.col("e") - least, F.lit(1), F.lit(0), id_col))
+    ends = fit.select(F.col("e").alias("at"), F.lit(1).alias("turn"), F.lit(1).alias("sign"), F.lit(None).alias(id_col))
+    ends = ends.union(asked.select(F.col("s") + least, F.lit(0), F.lit(0), id_col))
+
+    def running(rows: DataFrame, name: str) -> DataFrame:
+        dealt = rows.withColumn("b", F.floor(F.col("at") / bucket))
+        totals = dealt.groupBy("b").agg(F.sum("sign").alias("total"))
+        before = totals.select("b", F.coalesce(F.sum("total").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+        inside = F.sum("sign").over(Window.partitionBy("b").orderBy("at", "turn").rangeBetween(Window.unboundedPreceding, 0))
+        counted = dealt.withColumn("inside", inside).filter(F.col(id_col).isNotNull())
+        return counted.join(before, "b").select(id_col, (F.col("inside") + F.col("before")).alias(name))
+
+    own = left.select(id_col, "s", "e").join(right.select(id_col, F.col("s").alias("s2"), F.col("e").alias("e2")), id_col)
+    own = own.filter(F.least("e", "e2") - F.greatest("s", "s2") >= least).groupBy(id_col).agg(F.count("*").alias("own"))
+    sums = running(marks, "begun").join(running(ends, "ended"), id_col).join(own, id_col, "left")
+    return sums.select(id_col, (F.col("begun") - F.col("ended") - F.coalesce("own", F.lit(0))).alias("n"))
+
+
 def longest_overlap(left: DataFrame, right: DataFrame, least: int, bucket: int, left_id: str, right_id: str, keep: Column | None = None) -> DataFrame:
     """For each left row the right row of longest overlap; of equal ones that of least id; null where none is."""
     pairs = overlap(left, right, least, bucket)
@@ -26,10 +57,42 @@ def longest_overlap(left: DataFrame, right: DataFrame, least: int, bucket: int,
     return left.select(left_id).join(best.select(left_id, (-F.col("top.m")).alias("match"), F.col("top.overlap").alias("overlap")), left_id, "left")
 
 
-def valid_at(facts: DataFrame, versions: DataFrame, key: str, day: str) -> DataFrame:
-    """Facts with the versions (inst, ret) that stand on their day: inst <= day < ret."""
-    d = F.col(day)
-    return facts.join(versions, key).filter((F.col("inst") <= d) & (F.col("ret").isNull() | (F.col("ret") > d)))
+def as_of(left: DataFrame, right: DataFrame, keys: tuple[str, ...], left_at: Column, right_at: Column, segment: float, later: bool = False, tie: str | None = None) -> DataFrame:
+    """l, r: each left row with the latest right row of its keys at or before its time; with ``later``, the earliest at or after.
+
+    Times are numbers. Rows are dealt by key and time segment: a window finds the match inside a segment, and what a
+    segment ends with is carried to the next one that has rows, by one row a segment. So a hot key is split by time. Of
+    right rows of one time, the greatest ``tie`` is the latest. r is null where there is none.
+    """
+    sign = -1 if later else 1
+    order = F.col(f"r.{tie}") if tie else F.lit(0)
+    shape = F.struct(*right.columns)
+    r = right.select(*keys, (sign * right_at).alias("at"), F.lit(0).alias("kind"), shape.alias("r"))
+    l = left.select(*keys, (sign * left_at).alias("at"), F.lit(1).alias("kind"), F.struct(*left.columns).alias("l"))  # noqa: E741
+    rows = l.unionByName(r, allowMissingColumns=True).withColumn("segment", F.floor(F.col("at") / segment))
+    inside = Window.partitionBy(*keys, "segment").orderBy("at", "kind", order).rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("near", F.last("r", ignorenulls=True).over(inside))
+    ends = rows.groupBy(*keys, "segment").agg(F.max_by("r", F.when(F.col("kind") == 0, F.struct(F.col("at"), order))).alias("end"))
+    before = Window.partitionBy(*keys).orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("carried", F.last("end", ignorenulls=True).over(before)).drop("end")
+    both = found.filter("kind = 1").join(carried, [*keys, "segment"], "left")
+    return both.select("l", F.coalesce("near", "carried").alias("r"))
+
+
+def valid_at(facts: DataFrame, versions: DataFrame, key: str, day: str, segment_days: int = 365) -> DataFrame:
+    """Facts with the version (inst, ret) that stands on their day: inst <= day < ret; a key's versions don't overlap."""
+    known = versions.withColumn("until", F.coalesce("ret", F.lit("9999-12-31").cast("date")))
+    met = as_of(facts, known, (key,), F.unix_date(F.col(day)), F.unix_date("inst"), segment_days, tie="until")
+    columns = [c for c in versions.columns if c != key]
+    return met.filter(F.col("r.until") > F.col(f"l.{day}")).select("l.*", *[F.col(f"r.{c}").alias(c) for c in columns])
+
+
+def first_within(versions: DataFrame, facts: DataFrame, key: str, day: str, segment_days: int = 365) -> DataFrame:
+    """Versions with first_day: the first fact day of the key at or after inst and before ret; null for none."""
+    days = facts.select(key, F.col(day).alias("day")).distinct()
+    met = as_of(versions, days, (key,), F.unix_date("inst"), F.unix_date("day"), segment_days, later=True)
+    inside = F.col("l.ret").isNull() | (F.col("r.day") < F.col("l.ret"))
+    return met.select("l.*", F.when(inside, F.col("r.day")).alias("first_day"))
 
 
 def _cells(df: DataFrame, size: int, spread: bool) -> DataFrame:
@@ -41,15 +104,53 @@ def _cells(df: DataFrame, size: int, spread: bool) -> DataFrame:
 
 
 def within(left: DataFrame, right: DataFrame, radius: int, keep: Column | None = None) -> DataFrame:
-    """Pairs (l, r) of points at most ``radius`` apart, with their squared distance."""
-    # plain columns let the join test the distance itself; many rows share a cell, for which hashing beats merging
+    """Pairs (l, r) of points at most ``radius`` apart, with their squared distance.
+
+    Plain columns let the join test the distance itself. Sort-merge spills where a cell is dense, and AQE splits it.
+    """
     a = _cells(left, radius, False).select("cx", "cy", F.struct(*left.columns).alias("l"), F.col("x").alias("ax"), F.col("y").alias("ay"))
     b = _cells(right, radius, True).select("cx", "cy", F.struct(*right.columns).alias("r"), F.col("x").alias("bx"), F.col("y").alias("by"))
     dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
-    pairs = a.join(b.hint("shuffle_hash"), ["cx", "cy"]).filter(dx * dx + dy * dy <= radius * radius).select("l", "r", (dx * dx + dy * dy).alias("d2"))
+    pairs = a.join(b, ["cx", "cy"]).filter(dx * dx + dy * dy <= radius * radius).select("l", "r", (dx * dx + dy * dy).alias("d2"))
     return pairs.filter(keep) if keep is not None else pairs
 
 
+def pairs_within(points: DataFrame, radius: int, id_col: str, keep: Column | None = None) -> DataFrame:
+    """Pairs (l, r) of points of one table at most ``radius`` apart, each once, with their squared distance.
+
+    A point meets its own cell and the four that follow it (half of the cells around), so half the copies are made; in
+    its own cell it meets the greater ids only.
+    """
+    ahead = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
+    cells = _cells(points, radius, False)
+    a = cells.select("cx", "cy", F.struct(*points.columns).alias("l"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col(id_col).alias("ia"))
+    moved = cells.withColumn("o", F.explode(ahead))
+    b = moved.select((F.col("cx") - F.col("o.i")).alias("cx"), (F.col("cy") - F.col("o.j")).alias("cy"), F.struct(*points.columns).alias("r"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col(id_col).alias("ib"), (F.col("o.i") + F.col("o.j") * 3 == 0).alias("own"))
+    dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
+    once = ~F.col("own") | (F.col("ia") < F.col("ib"))
+    pairs = a.join(b, ["cx", "cy"]).filter(once & (dx * dx + dy * dy <= radius * radius)).select("l", "r", (dx * dx + dy * dy).alias("d2"))
+    return pairs.filter(keep) if keep is not None else pairs
+
+
+def nearest_one(left: DataFrame, right: DataFrame, radius: int, left_id: str, right_id: str, start: int = 8, keep: Column | None = None) -> DataFrame:
+    """id, near, d2: the nearest right point within ``radius`` of each left point, ties to the least id; points without one are left out.
+
+    The search widens: all points look within ``start``, and who found none looks within twice that, up to the radius.
+    What is found within a ring is the nearest of all, so only few points ever look far, however wide the radius is.
+    """
+    open_, found, reach = left, None, min(start, radius)
+    while True:
+        near = within(open_, right, reach, keep).groupBy(F.col(f"l.{left_id}").alias("id")).agg(F.min(F.struct("d2", F.col(f"r.{right_id}").alias("near"))).alias("m"))
+        hit = cut(near.select("id", "m.near", "m.d2"))
+        found = hit if found is None else found.union(hit)
+        if reach >= radius:
+            return found
+        open_ = cut(open_.join(hit.select(F.col("id").alias(left_id)), left_id, "left_anti"))
+        if open_.isEmpty():
+            return found
+        reach = min(2 * reach, radius)
+
+
 def nearest(left: DataFrame, right: DataFrame, radius: int, k: int, left_id: str, right_id: str, keep: Column | None = None) -> DataFrame:
     """The k nearest right points within a radius, ties by id."""
     pairs = within(left, right, radius, keep).select(F.col(f"l.{left_id}").alias("id"), F.col(f"r.{right_id}").alias("near"), "d2")
@@ -62,16 +163,3 @@ def in_boxes(points: DataFrame, boxes: DataFrame, size: int) -> DataFrame:
     cover = boxes.withColumn("cx", F.explode(F.sequence(F.floor(F.col("x0") / size), F.floor((F.col("x1") - 1) / size)))).withColumn("cy", F.explode(F.sequence(F.floor(F.col("y0") / size), F.floor((F.col("y1") - 1) / size))))
     held = (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1"))
     return _cells(points, size, False).join(cover, ["cx", "cy"]).filter(held).drop("cx", "cy")
-
-
-def in_rings(points: DataFrame, rings: DataFrame, size: int, id_col: str = "point") -> DataFrame:
-    """Points with the polygons that hold them: parity of crossed edges.
-
-    rings: area and the edges' ax, ay, bx, by, one row an edge, of outer rings and holes alike. An edge is dealt to the
-    rows of cells it spans; each point counts the edges to its right on its row.
-    """
-    rows = rings.withColumn("cy", F.explode(F.sequence(F.floor(F.least("ay", "by") / size), F.floor(F.greatest("ay", "by") / size))))
-    placed = points.withColumn("cy", F.floor(F.col("y") / size))
-    crosses = ((F.col("ay") > F.col("y")) != (F.col("by") > F.col("y"))) & (F.col("x") < (F.col("bx") - F.col("ax")) * (F.col("y") - F.col("ay")) / (F.col("by") - F.col("ay")) + F.col("ax"))
-    hit = placed.join(rows, "cy").filter(crosses).groupBy(id_col, "area").agg(F.count("*").alias("n"))
-    return hit.filter("n % 2 = 1").select(id_col, "area")

@@ -81,7 +81,9 @@ def q_new_files_anti(spark, d):
 @query(sql("SELECT ride, seq, kind, dup FROM (SELECT *, row_number() OVER (PARTITION BY ride, kind ORDER BY seq) AS k, count(*) OVER (PARTITION BY ride, kind) - 1 AS dup FROM fixes) WHERE k = 1", "fixes"))
 def q_dedupe_first(spark, d):
     f = roles.fixes(spark, d)
-    return f.groupBy("ride", "kind").agg(F.min("seq").alias("seq"), (F.count("*") - 1).alias("dup"))
+    first = tables.first_wins(f.select(F.struct("ride", "kind").alias("key"), "seq"), "key", "seq")
+    copies = f.groupBy("ride", "kind").agg((F.count("*") - 1).alias("dup"))
+    return first.select("key.ride", "key.kind", "seq").join(copies, ["ride", "kind"])
 
 
 @query("SELECT coalesce(n.key, o.key) AS key, coalesce(n.v, o.v) AS v, CASE WHEN o.key IS NULL THEN 'added' WHEN n.key IS NULL THEN 'kept' ELSE 'replaced' END AS state FROM (SELECT c_custkey AS key, c_name AS v FROM customer) o FULL JOIN (SELECT s_suppkey * 29 AS key, s_name AS v FROM supplier) n ON o.key = n.key")
@@ -93,7 +95,7 @@ def q_upsert_merge(spark, d):
 @query(sql("SELECT a.trip, count(*) AS n FROM trips a JOIN trips b ON a.trip <> b.trip AND least(a.e, b.e) - greatest(a.s, b.s) >= 60 GROUP BY a.trip", "trips"))
 def q_overlap_count(spark, d):
     t = roles.trips(spark, d).select("trip", "s", "e")
-    return joins.overlap(t, t, 60, 3600).filter("l.trip <> r.trip").groupBy(F.col("l.trip").alias("trip")).agg(F.count("*").alias("n"))
+    return joins.count_overlaps(t, t, 60, 3600, "trip").filter("n > 0")
 
 
 @query(sql("SELECT a.trip, m.match, m.overlap FROM trips a LEFT JOIN (SELECT * FROM (SELECT a.trip, b.trip AS match, least(a.e, b.e) - greatest(a.s, b.s) AS overlap, row_number() OVER (PARTITION BY a.trip ORDER BY least(a.e, b.e) - greatest(a.s, b.s) DESC, b.trip) AS k FROM trips a JOIN trips b ON a.trip <> b.trip AND least(a.e, b.e) - greatest(a.s, b.s) >= 60) WHERE k = 1) m ON a.trip = m.trip", "trips"))
@@ -285,8 +287,7 @@ def q_validity_join(spark, d):
 @query(f"WITH {VERSIONS} SELECT version, min(CASE WHEN day >= inst AND (ret IS NULL OR day < ret) THEN day END) AS first_day FROM v LEFT JOIN fact USING (key) GROUP BY version")
 def q_first_in_lifetime(spark, d):
     v, fact = _versions(spark, d)
-    stands = (F.col("day") >= F.col("inst")) & (F.col("ret").isNull() | (F.col("day") < F.col("ret")))
-    return v.join(fact.select("key", "day"), "key", "left").groupBy("version").agg(F.min(F.when(stands, F.col("day"))).alias("first_day"))
+    return joins.first_within(v, fact, "key", "day").select("version", "first_day")
 
 
 @query(f"WITH {VERSIONS} SELECT cast(year(day) AS int) AS year, sum(m) AS metres, sum(CASE WHEN share >= 0.5 THEN m ELSE 0 END) AS on_lane FROM (SELECT f, day, count(*) AS m, avg(CASE WHEN version % 3 = 0 THEN 1.0 ELSE 0.0 END) AS share FROM fact JOIN v USING (key) WHERE inst <= day AND (ret IS NULL OR ret > day) GROUP BY f, day) GROUP BY 1")
@@ -317,13 +318,17 @@ def q_upper_median(spark, d):
 
 @query(sql("SELECT dir, round(median(cents), 3) AS med, round(quantile_cont(cents, 0.25), 3) AS q1, round(quantile_cont(cents, 0.9), 3) AS q9 FROM er GROUP BY dir", "er"))
 def q_quantiles(spark, d):
-    return roles.edge_rides(spark, d).groupBy("dir").agg(F.round(F.median("cents"), 3).alias("med"), F.round(F.percentile("cents", 0.25), 3).alias("q1"), F.round(F.percentile("cents", 0.9), 3).alias("q9"))
+    found = tables.quantiles(roles.edge_rides(spark, d), "dir", "cents", [0.25, 0.5, 0.9])
+    at = lambda f, name: F.round(F.max(F.when(F.col("fraction") == f, F.col("quantile"))), 3).alias(name)
+    return found.groupBy("dir").agg(at(0.5, "med"), at(0.25, "q1"), at(0.9, "q9"))
 
 
 @query(sql("SELECT a.seq, count(*) AS n FROM fixes a JOIN fixes b ON a.seq <> b.seq AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 900 GROUP BY a.seq", "fixes"))
 def q_grid_radius(spark, d):
     f = roles.fixes(spark, d).select("seq", "x", "y")
-    return joins.within(f, f, 30, F.col("l.seq") != F.col("r.seq")).groupBy(F.col("l.seq").alias("seq")).agg(F.count("*").alias("n"))
+    near = joins.pairs_within(f, 30, "seq")
+    each = near.select(F.explode(F.array("l.seq", "r.seq")).alias("seq"))
+    return each.groupBy("seq").agg(F.count("*").alias("n"))
 
 
 KNN = "SELECT {2} FROM (SELECT a.seq AS id, b.seq AS near, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2, row_number() OVER (PARTITION BY a.seq ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.seq) AS rank FROM fixes a JOIN fixes b ON a.seq <> b.seq AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {0}) WHERE rank <= {1}"
@@ -335,11 +340,10 @@ def q_knn_bounded(spark, d):
     return joins.nearest(f, f, 25, 4, "seq", "seq", F.col("l.seq") != F.col("r.seq"))
 
 
-@query(sql(KNN.format(3025, 1, "id, near, d2"), "fixes"))
+@query(sql(KNN.format(160000, 1, "id, near, d2"), "fixes"))
 def q_nearest_min_by(spark, d):
     f = roles.fixes(spark, d).select("seq", "x", "y")
-    near = joins.within(f, f, 55, F.col("l.seq") != F.col("r.seq"))
-    return near.groupBy(F.col("l.seq").alias("id")).agg(F.min(F.struct("d2", F.col("r.seq").alias("s"))).alias("m")).select("id", F.col("m.s").alias("near"), F.col("m.d2").alias("d2"))
+    return joins.nearest_one(f, f, 400, "seq", "seq", keep=F.col("l.seq") != F.col("r.seq"))
 
 
 @query(sql("SELECT a.ride AS fid, b.ride AS fid2, count(DISTINCT a.seq) AS hits FROM h a JOIN h b ON a.ride < b.ride AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 400 AND pow(a.dx * b.dx + a.dy * b.dy, 2) >= 0.75 * (a.dx * a.dx + a.dy * a.dy) * (b.dx * b.dx + b.dy * b.dy) GROUP BY 1, 2", "fixes", also="h AS (SELECT ride, seq, x, y, last_value(x) OVER w - first_value(x) OVER w AS dx, last_value(y) OVER w - first_value(y) OVER w AS dy FROM fixes WINDOW w AS (PARTITION BY ride ORDER BY seq ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))"))
@@ -348,8 +352,11 @@ def q_self_parallel(spark, d):
     dot = F.col("l.dx") * F.col("r.dx") + F.col("l.dy") * F.col("r.dy")
     square = lambda s: F.col(f"{s}.dx") * F.col(f"{s}.dx") + F.col(f"{s}.dy") * F.col(f"{s}.dy")
     along = F.pow(dot.cast("double"), 2) >= 0.75 * square("l") * square("r")
-    pairs = joins.within(h, h, 20, (F.col("l.ride") < F.col("r.ride")) & along)
-    return pairs.groupBy(F.col("l.ride").alias("fid"), F.col("r.ride").alias("fid2")).agg(F.countDistinct("l.seq").alias("hits"))
+    pairs = joins.pairs_within(h, 20, "seq", (F.col("l.ride") != F.col("r.ride")) & along)
+    # the sample of the lesser ride counts
+    lesser = F.col("l.ride") < F.col("r.ride")
+    hits = pairs.select(F.least("l.ride", "r.ride").alias("fid"), F.greatest("l.ride", "r.ride").alias("fid2"), F.when(lesser, F.col("l.seq")).otherwise(F.col("r.seq")).alias("seq"))
+    return hits.distinct().groupBy("fid", "fid2").agg(F.count("*").alias("hits"))
 
 
 BOXES = "SELECT n_nationkey AS area, (n_nationkey * 311) % 1800 AS x0, (n_nationkey * 173) % 1800 AS y0, (n_nationkey * 311) % 1800 + 150 AS x1, (n_nationkey * 173) % 1800 + 170 AS y1 FROM nation"
@@ -422,13 +429,8 @@ def q_year_recap(spark, d):
     return y.withColumn("change", F.col("n") - F.lag("n").over(Window.orderBy("year")))
 
 
-@query(r"SELECT doc_id, regexp_replace(trim(regexp_replace(substr(text, 1, 80), '\s+', ' ', 'g')), '\bAv\b', 'Ave', 'g') AS name FROM documents")
-def q_norm_names(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.norm_name(F.substring("text", 1, 80)).alias("name"))
-
-
 @query(r"SELECT doc_id, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '\bAv\b', 'Ave', 'g') AS name FROM documents")
-def q_norm_names_whole(spark, d):
+def q_norm_names(spark, d):
     return table(spark, d, "documents").select("doc_id", text.norm_name("text").alias("name"))
 
 
@@ -498,9 +500,8 @@ def q_hmm_grid(spark, d):
 @query()
 def q_permutation(spark, d):
     f = roles.fixes(spark, d)
-    pools = f.groupBy("kind", "day").agg(F.collect_list("cents").alias("pool"))
-    first = f.groupBy("ride").agg(F.min_by(F.struct("kind", "day", "cents"), "seq").alias("e"))
-    return graph.permutation_test(first.selectExpr("ride as id", "e.kind", "e.day", "e.cents as value").join(pools, ["kind", "day"]).select("id", "value", F.array_sort("pool").alias("pool")), 1000)
+    first = f.groupBy("ride").agg(F.min_by(F.struct("kind", "day", "cents"), "seq").alias("e")).selectExpr("ride as id", "e.cents as value", "concat(e.kind, ' ', e.day) as pool")
+    return graph.permutation_test(first, f.selectExpr("concat(kind, ' ', day) as pool", "cents as value"), 20_000)
 
 
 def _streets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -1,0 +1,184 @@
+"""Queries of dock trips, recordings and daily summaries: events as trips, orders as rides and days."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wayfold.functions import text
+from wayfold.operators import daily, joins, trips
+from wayfold.plans.catalog import query
+from wayfold.plans.roles import T, table
+
+#: id, t, dur (ms), a, b, bike, ebike.
+TRIPS = "trip AS (SELECT event_id AS id, epoch_us(ts) // 1000000 * 1000 AS t, (event_id % 30 + 1) * 60000 AS dur, 'dock ' || event_id % 4 AS a, 'dock ' || event_id * 7 % 4 AS b, 'b' || user_id AS bike, event_id % 3 = 0 AS ebike FROM events)"
+MARKED = f"""{TRIPS}, marked AS (SELECT *, coalesce(left_at = a AND t - left_t <= 48 * 3600000, false) AS resume FROM (SELECT *, lag(b) OVER w AS left_at, lag(t + dur) OVER w AS left_t, lead(t) OVER w AS next_t, lead(id) OVER w AS next_id FROM trip WINDOW w AS (PARTITION BY bike ORDER BY t, id)))"""
+REPLAY = f"""{MARKED}, dock AS (SELECT 'dock ' || k AS name, -74.0 + k * 0.01 AS lon, 40.7 + k * 0.005 AS lat FROM (SELECT unnest(range(0, 3)) AS k)),
+replay AS (SELECT d.id AS draw, d.a AS dock, d.ebike, s.bike, (d.t - (s.t + s.dur)) / 86400000.0 AS age, s.bike = d.bike AS hit, s.b AS left_at FROM marked d JOIN marked s ON (s.t < d.t OR s.t = d.t AND s.id < d.id) AND (s.next_t IS NULL OR s.next_t > d.t OR s.next_t = d.t AND s.next_id >= d.id) WHERE NOT d.resume)"""
+
+
+def _trips(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").selectExpr("event_id as id", f"{T} * 1000 as t", "(event_id % 30 + 1) * 60000 as dur", "concat('dock ', event_id % 4) as a", "concat('dock ', event_id * 7 % 4) as b", "concat('b', user_id) as bike", "event_id % 3 = 0 as ebike")
+
+
+def _docks(spark) -> DataFrame:
+    return spark.range(3).selectExpr("concat('dock ', id) as name", "-74D + id * 0.01D as lon", "40.7D + id * 0.005D as lat")
+
+
+def _replay(spark, d) -> DataFrame:
+    return trips.replay(_trips(spark, d), _docks(spark))
+
+
+@query("SELECT coalesce('r' || f, 'r' || c) AS key, CASE WHEN c IS NULL THEN 'added' WHEN f IS NULL THEN 'kept' ELSE 'replaced' END AS state, coalesce(f * 2, c) AS v FROM (SELECT event_id AS c FROM events WHERE event_id % 2 = 0) FULL JOIN (SELECT event_id AS f FROM events WHERE event_id % 3 = 0) ON c = f")
+def q_trip_merge(spark, d):
+    e = table(spark, d, "events")
+    cached = e.filter("event_id % 2 = 0").selectExpr("if(event_id % 4 = 0, null, concat('r', event_id)) as id", "event_id * 1000 as t", "event_id as v")
+    fresh = e.filter("event_id % 3 = 0").selectExpr("concat('r', event_id) as id", "event_id * 1000 as t", "event_id * 2 as v")
+    return trips.merge(cached, fresh).select(F.coalesce("id", F.concat(F.lit("r"), (F.col("t") / 1000).cast("bigint"))).alias("key"), "state", "v")
+
+
+@query(f"WITH {TRIPS} SELECT cast(to_timestamp(min(t) / 1000) AT TIME ZONE 'UTC' AS date) AS first, cast(to_timestamp(max(t) / 1000) AT TIME ZONE 'UTC' AS date) AS last, max(t) AS since FROM trip")
+def q_trip_span(spark, d):
+    return trips.span(_trips(spark, d))
+
+
+@query("SELECT 'Dock' || chr(9) || p_partkey || ' Av' AS name, CASE WHEN p_partkey % 2 = 0 THEN p_partkey * 2 WHEN p_partkey % 3 = 0 THEN p_partkey * 5 END AS lon FROM part")
+def q_placed_docks(spark, d):
+    k = table(spark, d, "part").select(F.col("p_partkey").alias("k"))
+    name = "concat('Dock\\t', k, ' Av') as name"
+    stations = k.filter("k % 2 = 0").selectExpr("concat('Dock ', k, ' Ave') as name", "k * 2 as lon", "k as lat")
+    return trips.placed_docks(k.selectExpr(name), stations, k.filter("k % 3 = 0").selectExpr(name, "k * 5 as lon", "k as lat")).select("name", "lon")
+
+
+@query("SELECT o_orderkey AS ride, coalesce(n.n_nationkey, -1) AS at FROM orders LEFT JOIN nation n ON o_orderkey = n_nationkey * 100")
+def q_cite(spark, d):
+    index = table(spark, d, "nation").selectExpr("cast(n_nationkey as bigint) * 100 as ride", "n_nationkey as index")
+    return trips.cite(table(spark, d, "orders").selectExpr("o_orderkey as ride"), index)
+
+
+@query("WITH i AS (SELECT o_orderkey AS index, o_orderkey * 7 % 50000 AS minute FROM orders WHERE o_orderkey % 3 = 0), r AS (SELECT o_orderkey AS ride, o_orderkey * 11 % 50000 AS minute FROM orders) SELECT ride, (SELECT arg_min(index, least(100, list_position([0, 1, -1, 2, -2], i.minute - r.minute)) * 1000000 + index) FROM i WHERE i.minute BETWEEN r.minute - 2 AND r.minute + 2) AS found FROM r")
+def q_nearby_minute(spark, d):
+    o = table(spark, d, "orders")
+    return trips.nearby_minute(o.selectExpr("o_orderkey as ride", "o_orderkey * 11 % 50000 as minute"), o.filter("o_orderkey % 3 = 0").selectExpr("o_orderkey as index", "o_orderkey * 7 % 50000 as minute"))
+
+
+@query(f"WITH {TRIPS}, r AS (SELECT id AS ride, t + 30000000 AS s, t + 30000000 + dur * 2 AS e FROM trip WHERE id % 5 = 0), x AS (SELECT t AS s, t + dur AS e FROM trip WHERE id % 5 <> 0) SELECT ride, CASE WHEN s BETWEEN (SELECT min(s) FROM x) AND (SELECT max(e) FROM x) THEN (SELECT count(*) FROM x WHERE least(x.e, r.e) - greatest(x.s, r.s) >= 60000) ELSE -1 END AS source FROM r")
+def q_ride_sources(spark, d):
+    t = _trips(spark, d)
+    rides = trips.windows(t.filter("id % 5 = 0").selectExpr("id as ride", "t + 30000000 as start", "dur * 2 as duration"))
+    other = t.filter("id % 5 <> 0").selectExpr("id as trip", "t as s", "t + dur as e")
+    return trips.sources(rides, joins.count_overlaps(rides.withColumnRenamed("ride", "id"), other.withColumnRenamed("trip", "id"), 60_000, 3_600_000).withColumnRenamed("id", "ride"), other)
+
+
+@query(f"WITH {MARKED} SELECT bike, count(*) AS encounters, array_to_string(list(cast(round_even((nt - t) / 86400000.0, 0) AS bigint) ORDER BY t, id) FILTER (nt IS NOT NULL), ',') AS gaps FROM (SELECT *, lead(t) OVER (PARTITION BY bike ORDER BY t, id) AS nt FROM marked WHERE NOT resume) GROUP BY bike HAVING count(*) > 1")
+def q_met_again(spark, d):
+    met = trips.met_again(trips.resumed(_trips(spark, d)))
+    return met.select("bike", "encounters", F.array_join(F.col("gaps").cast("array<string>"), ",").alias("gaps"))
+
+
+@query(f"WITH {REPLAY} SELECT draw, count(*) FILTER (NOT hit) AS exposure, bool_or(hit) AS met, cast(round(sum(age * 86400000)) AS bigint) AS age_ms FROM replay GROUP BY draw")
+def q_replay(spark, d):
+    return _replay(spark, d).groupBy("draw").agg(F.count_if(~F.col("hit")).alias("exposure"), F.max("hit").alias("met"), F.round(F.sum(F.col("age") * trips.DAY_MS)).cast("bigint").alias("age_ms"))
+
+
+@query(f"WITH {REPLAY} SELECT cast(w AS int) AS window, exposure, met, round(exposure / met, 3) AS pool, round(exposure / (met + 1.96 * sqrt(met)), 3) AS low FROM (SELECT w, count(*) FILTER (NOT hit) AS exposure, count(*) FILTER (hit) AS met FROM replay, (SELECT unnest([1, 2, 7, NULL]) AS w) WHERE w IS NULL OR age <= w GROUP BY w) WHERE met > 0")
+def q_implied_pool(spark, d):
+    odds = trips.implied_pool(_replay(spark, d), (1, 2, 7, None))
+    return odds.select("window", "exposure", "met", F.round("pool", 3).alias("pool"), F.round("low", 3).alias("low"))
+
+
+@query(f"WITH {REPLAY}, per AS (SELECT m.id, m.a AS dock, count(r.draw) FILTER (NOT hit) AS x, coalesce(max(hit::int), 0) AS met FROM marked m LEFT JOIN replay r ON r.draw = m.id WHERE NOT m.resume GROUP BY m.id, m.a) SELECT dock, count(*) AS draws, sum(met) AS met, round(sum(sum(met)) OVER () * sum(x) / sum(sum(x)) OVER (), 3) AS expected FROM per GROUP BY dock")
+def q_meetings_by_dock(spark, d):
+    draws = trips.resumed(_trips(spark, d)).filter("not resume").selectExpr("id as draw", "a as dock")
+    return trips.by_dock(draws, _replay(spark, d)).select("dock", "draws", "met", F.round("expected", 3).alias("expected"))
+
+
+@query(f"WITH {REPLAY}, el AS (SELECT DISTINCT bike FROM trip WHERE ebike), per AS (SELECT m.id, m.ebike, count(r.draw) FILTER (NOT hit) AS x, count(r.draw) FILTER (NOT hit AND r.bike IN (SELECT bike FROM el)) AS ex, coalesce(max(hit::int), 0) AS met FROM marked m LEFT JOIN replay r ON r.draw = m.id WHERE NOT m.resume GROUP BY m.id, m.ebike) SELECT ebike, count(*) AS draws, sum(met) AS met, sum(CASE WHEN ebike THEN ex ELSE x END) AS exposure FROM per GROUP BY ebike")
+def q_ebike_odds(spark, d):
+    t = _trips(spark, d)
+    draws = trips.resumed(t).filter("not resume").selectExpr("id as draw", "ebike")
+    return trips.ebike_odds(_replay(spark, d), draws, t.filter("ebike").select("bike").distinct())
+
+
+@query(f"WITH {TRIPS} SELECT name, o AS out, i AS \"in\", cast(row_number() OVER (ORDER BY o + i DESC, name) - 1 AS int) AS index, CASE WHEN name <> 'dock 3' THEN -74.0 + cast(right(name, 1) AS int) * 0.01 END AS lon FROM (SELECT name, sum(o) AS o, sum(i) AS i FROM (SELECT a AS name, 1 AS o, 0 AS i FROM trip UNION ALL SELECT b, 0, 1 FROM trip) GROUP BY name)")
+def q_docks_used(spark, d):
+    return trips.docks_used(_trips(spark, d), _docks(spark)).drop("lat")
+
+
+@query(f"WITH {TRIPS} SELECT count(*) AS trips, round(sum(dur / 60000.0) / 60, 1) AS hours, round(median(dur / 60000.0), 1) AS median_min, count(*) FILTER (ebike) AS ebike_min, (SELECT count(*) FROM orders) AS own_rides, (SELECT round(median((o_orderkey % 90) / 60.0), 1) FROM orders) AS own_median_min, (SELECT count(DISTINCT cast(o_orderdate AS date)) FROM orders) AS own_days FROM trip")
+def q_trip_block(spark, d):
+    own = table(spark, d, "orders").selectExpr("o_orderkey as ride", "o_orderkey % 90 as duration", "to_date(o_orderdate) as day")
+    return trips.trip_block(_trips(spark, d), own).select("trips", "hours", "median_min", "ebike_min", "own_rides", "own_median_min", "own_days")
+
+
+@query(f"WITH {TRIPS} SELECT cast((to_timestamp(t / 1000) AT TIME ZONE 'UTC' AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS date) AS day, count(*) AS n FROM trip GROUP BY 1")
+def q_local_dates(spark, d):
+    return _trips(spark, d).groupBy(trips.local_date("t").alias("day")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT ride, substr(ride, 1, 4) AS year, CASE WHEN length(ride) >= 16 THEN substr(ride, 12, 2) || ':' || substr(ride, 15, 2) ELSE '' END AS clock FROM (SELECT CASE WHEN o_orderkey % 4 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m-%d_%H-%M-%S') END AS ride FROM orders)")
+def q_ride_clock(spark, d):
+    names = table(spark, d, "orders").select(F.when(F.expr("o_orderkey % 4 = 0"), F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd_HH-mm-ss")).alias("ride"))
+    year, _, clock = trips.ride_clock("ride")
+    return names.select("ride", year.alias("year"), clock.alias("clock"))
+
+
+STATS = "stats AS (SELECT ts AS start, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 97 * 60 END AS duration, cast(event_id % 1000 AS double) AS dist FROM events)"
+
+
+@query(f"WITH {STATS} SELECT count(*) AS rides, round(sum(dist) / 1000, 1) AS km, round(sum(duration) / 3600, 1) AS hours, round(sum(dist) / 1000 / (sum(duration) / 3600), 1) AS kmh, round(max(dist) / 1000, 1) AS longest, (SELECT string_agg(coalesce(n, 0), ',' ORDER BY k) FROM (SELECT unnest(range(0, 24)) AS k) LEFT JOIN (SELECT hour(start) AS k, count(*) AS n FROM stats GROUP BY 1) USING (k)) AS by_hour, (SELECT string_agg(coalesce(n, 0), ',' ORDER BY k) FROM (SELECT unnest(range(0, 7)) AS k) LEFT JOIN (SELECT isodow(start) - 1 AS k, count(*) AS n FROM stats GROUP BY 1) USING (k)) AS by_weekday FROM stats")
+def q_riding_summary(spark, d):
+    stats = table(spark, d, "events").selectExpr("cast(ts as timestamp) as start", "if(event_id % 5 = 0, null, event_id % 97 * 60) as duration", "double(event_id % 1000) as dist")
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return daily.riding(stats).select("rides", "km", "hours", "kmh", "longest", joined("by_hour"), joined("by_weekday"))
+
+
+WEATHER = """w AS (SELECT cast(o_orderdate AS date) AS day, count(*) * 4.0 AS tmax FROM orders GROUP BY 1), r AS (SELECT cast(l_shipdate AS date) AS day, sum(l_quantity) AS miles FROM lineitem WHERE l_linenumber = 1 GROUP BY 1),
+b AS (SELECT CASE WHEN tmax < 32 THEN 0 WHEN tmax < 50 THEN 1 WHEN tmax < 65 THEN 2 WHEN tmax < 80 THEN 3 ELSE 4 END AS band, miles FROM w LEFT JOIN r USING (day)),
+g AS (SELECT band, count(b.band) AS days, count(miles) AS ride_days, coalesce(sum(miles), 0) AS miles FROM (SELECT unnest(range(0, 5)) AS band) LEFT JOIN b USING (band) GROUP BY band),
+s AS (SELECT cast(band AS int) AS band, days, ride_days, miles, 100.0 * ride_days / sum(ride_days) OVER () AS share, 100.0 * days / sum(days) OVER () AS expected FROM g)"""
+
+
+def _bands(spark, d, f=daily.weather_bands) -> DataFrame:
+    w = table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg((F.count("*") * 4.0).alias("tmax"))
+    r = table(spark, d, "lineitem").filter("l_linenumber = 1").groupBy(F.to_date("l_shipdate").alias("day")).agg(F.sum("l_quantity").alias("miles"))
+    return f(w, r, text.band("tmax", list(daily.TEMPERATURE)), 5)
+
+
+@query(f"WITH {WEATHER} SELECT band, days, ride_days, round(miles, 1) AS miles, round(share, 1) AS share, round(expected, 1) AS expected, coalesce(round(100.0 * ride_days / nullif(days, 0), 1), 0) AS pct, coalesce(round(miles / nullif(ride_days, 0), 1), 0) AS avg_miles FROM s")
+def q_weather_summary(spark, d):
+    return _bands(spark, d, daily.weather_summary)
+
+
+@query(f"WITH {WEATHER} SELECT band, round(off, 6) AS off FROM (SELECT band, share / expected - 1 AS off FROM s WHERE expected > 0) ORDER BY abs(off) DESC, band LIMIT 1")
+def q_weather_note(spark, d):
+    return daily.weather_note(_bands(spark, d), 0).select("band", F.round("off", 6).alias("off"))
+
+
+@query("WITH r AS (SELECT l_partkey AS edge, min(cast(l_shipdate AS date)) AS first FROM lineitem WHERE l_quantity >= 45 GROUP BY 1), e AS (SELECT p_size AS metres, p_type NOT LIKE 'LARGE%' AS covered, first FROM part LEFT JOIN r ON p_partkey = edge) SELECT sum(metres) FILTER (covered) AS network, sum(metres) FILTER (covered AND first IS NOT NULL) AS ridden, round(100.0 * sum(metres) FILTER (covered AND first IS NOT NULL) / sum(metres) FILTER (covered), 1) AS pct FROM e")
+def q_coverage_block(spark, d):
+    first = table(spark, d, "lineitem").filter("l_quantity >= 45").groupBy(F.col("l_partkey").alias("edge")).agg(F.min(F.to_date("l_shipdate")).alias("first"))
+    edges = table(spark, d, "part").selectExpr("p_partkey as edge", "p_size as metres", "p_type as tag", "p_type not like 'LARGE%' as covered")
+    return daily.coverage(edges, first).select("network", "ridden", "pct")
+
+
+@query("WITH d AS (SELECT l_suppkey AS feature, cast(l_shipdate AS date) AS day, count(*) AS n FROM lineitem GROUP BY 1, 2), c AS (SELECT feature, day, sum(n) OVER (PARTITION BY feature ORDER BY day) AS n FROM d) SELECT feature, day, n, round(sqrt(n / (SELECT max(n) FROM c)), 6) AS shade FROM c")
+def q_time_lapse(spark, d):
+    passes = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("feature"), F.to_date("l_shipdate").alias("day"), F.lit(1).alias("n"))
+    return daily.time_lapse(passes).withColumn("shade", F.round("shade", 6))
+
+
+@query("WITH r AS (SELECT o_orderdate AS start, o_orderkey % 100 AS km, cast(year(o_orderdate) AS int) AS year FROM orders), s AS (SELECT year, count(*) AS rides, sum(km) AS km, max(km) AS longest FROM r GROUP BY 1) SELECT s.*, round(100.0 * (km - lag(km) OVER (ORDER BY year)) / lag(km) OVER (ORDER BY year), 6) AS change, (SELECT cast(month(start) AS int) FROM r WHERE r.year = s.year GROUP BY month(start) ORDER BY count(*) DESC, month(start) LIMIT 1) AS month, (SELECT cast(isodow(start) - 1 AS int) FROM r WHERE r.year = s.year GROUP BY isodow(start) ORDER BY count(*) DESC, isodow(start) LIMIT 1) AS weekday FROM s")
+def q_year_table(spark, d):
+    return daily.year_recap(table(spark, d, "orders").selectExpr("cast(o_orderdate as timestamp) as start", "o_orderkey % 100 as km")).drop("hour").withColumn("change", F.round("change", 6))
+
+
+@query("WITH m AS (SELECT year(o_orderdate) AS year, month(o_orderdate) AS month, count(*) AS rides, sum(o_orderkey % 100) AS km FROM orders WHERE o_orderkey % 500 = 0 GROUP BY 1, 2) SELECT cast(g.year AS int) AS year, cast(g.month AS int) AS month, coalesce(rides, 0) AS rides, coalesce(km, 0) AS km, round(sqrt(coalesce(rides, 0) / max(rides) OVER ()), 6) AS shade FROM (SELECT y AS year, unnest(range(1, 13)) AS month FROM (SELECT unnest(range(min(year), max(year) + 1)) AS y FROM m)) g LEFT JOIN m ON m.year = g.year AND m.month = g.month")
+def q_month_calendar(spark, d):
+    rides = table(spark, d, "orders").filter("o_orderkey % 500 = 0").selectExpr("cast(o_orderdate as timestamp) as start", "o_orderkey % 100 as km")
+    return daily.month_calendar(rides).withColumn("shade", F.round("shade", 6))
+
+
+@query("SELECT p_partkey AS name, round(p_size * 0.621371, 1) AS mph, round(p_retailprice / 1000 * 0.621371, 2) AS miles FROM part")
+def q_converted(spark, d):
+    return daily.converted(table(spark, d, "part").selectExpr("p_partkey as name", "p_size as kmh", "p_retailprice as m"))

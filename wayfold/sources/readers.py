@@ -58,7 +58,7 @@ def trips(spark: SparkSession, path: str) -> DataFrame:
 
 
 def rings(spark: SparkSession, path: str, name: str = "name") -> DataFrame:
-    """area, ring, ax, ay, bx, by: the edges of (multi)polygons in a feature collection, for joins.in_rings."""
+    """area, ring, ax, ay, bx, by: the edges of (multi)polygons in a feature collection, for areas.inside."""
     found = spark.read.schema(FEATURES).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
     shape = "array<array<array<array<double>>>>"
     parsed = F.when(F.col("f.geometry.type") == "Polygon", F.array(F.from_json(F.col("f.geometry.coordinates"), "array<array<array<double>>>"))).otherwise(F.from_json(F.col("f.geometry.coordinates"), shape))
