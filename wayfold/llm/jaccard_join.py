@@ -450,7 +450,7 @@ def still_open(lists: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 #: Sets and elements of a block, about, and elements that are compared at once.
-BLOCK_SETS, BLOCK_TOKENS, COLUMNS = 256, 1 << 18, 4096
+BLOCK_SETS, BLOCK_TOKENS, COLUMNS = 64, 1 << 18, 4096
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
