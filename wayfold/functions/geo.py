@@ -25,7 +25,7 @@ def _c(x) -> Column:
 def haversine(lat1, lon1, lat2, lon2, radius: float = EARTH_M) -> Column:
     p1, p2 = F.radians(_c(lat1)), F.radians(_c(lat2))
     h = F.pow(F.sin((p2 - p1) / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin((F.radians(_c(lon2)) - F.radians(_c(lon1))) / 2), 2)
-    return 2 * radius * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    return 2 * radius * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))  # least() would take null for 1
 
 
 def planar(lat1, lon1, lat2, lon2) -> Column:
@@ -108,3 +108,22 @@ def _corners(line: np.ndarray, tolerance: float) -> list[int]:
             kept.add(middle)
             spans += [(a, middle), (middle, b)]
     return sorted(kept)
+
+
+def rotated(x, y, degrees: float = 29.0, stretch: float = 1.0) -> tuple[Column, Column]:
+    """A plane point turned clockwise, and stretched along the new y: a street grid drawn upright."""
+    a = math.radians(degrees)
+    return _c(x) * math.cos(a) + _c(y) * math.sin(a), (_c(y) * math.cos(a) - _c(x) * math.sin(a)) * stretch
+
+
+def gridded(value, cell: float) -> Column:
+    """The nearest multiple of a cell's size."""
+    return F.round(_c(value) / cell) * cell
+
+
+def bounding_box(rows, box: tuple[float, float, float, float], margin: float = 0.005):
+    """west, south, east, north of points (lon, lat) inside a box, with a margin: one row."""
+    west, south, east, north = box
+    return rows.agg(
+        (F.greatest(F.min("lon"), F.lit(west)) - margin).alias("west"), (F.greatest(F.min("lat"), F.lit(south)) - margin).alias("south"), (F.least(F.max("lon"), F.lit(east)) + margin).alias("east"), (F.least(F.max("lat"), F.lit(north)) + margin).alias("north")
+    )

@@ -36,6 +36,12 @@ def numbered(rows: DataFrame, *order: str, name: str = "index") -> DataFrame:
     return dealt.withColumn("in_", inside).join(F.broadcast(before), "range_").withColumn(name, F.col("before_") + F.col("in_") - 1).drop("range_", "in_", "before_")
 
 
+def striped(rows: DataFrame, n: int, size: str = "size", key: str = "ride") -> DataFrame:
+    """Rows with stripe (0 to n - 1), dealt in turn from the largest on, so that stripes are alike."""
+    ranked = numbered(rows.withColumn("neg_", -F.col(size)), "neg_", key, name="rank_")
+    return ranked.withColumn("stripe", (F.col("rank_") % n).cast("int")).drop("neg_", "rank_")
+
+
 def dictionary(rows: DataFrame, column: str) -> DataFrame:
     """Distinct values and their index in sorted order, numbered by ranges."""
     return numbered(rows.select(column).distinct(), column).withColumn("index", F.col("index").cast("int"))

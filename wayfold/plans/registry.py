@@ -75,7 +75,7 @@ def q_new_files_anti(spark, d):
     from wayfold.operators.state import pending
 
     done = table(spark, d, "lineitem").filter("l_quantity > 40").selectExpr("l_orderkey as ride")
-    return pending(table(spark, d, "orders").selectExpr("o_orderkey as ride"), done, "ride")
+    return pending(table(spark, d, "orders").selectExpr("o_orderkey as ride"), done)
 
 
 @query(sql("SELECT ride, seq, kind, dup FROM (SELECT *, row_number() OVER (PARTITION BY ride, kind ORDER BY seq) AS k, count(*) OVER (PARTITION BY ride, kind) - 1 AS dup FROM fixes) WHERE k = 1", "fixes"))

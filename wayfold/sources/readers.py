@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import text
+from wayfold.operators import network as graph
 
 RIDE_CSV = "longitude string, latitude string, timestamp string"
 TRIPS_JSON = (
@@ -80,3 +81,94 @@ def ride_name(ts: Column, zone: str = "America/New_York") -> Column:
     sign = F.when(minutes < 0, "-").otherwise("+")
     size = F.abs(minutes)
     return F.concat(F.date_format(local, "yyyy-MM-dd_HH-mm-ss"), F.lit("_"), sign, F.lpad(F.floor(size / 60).cast("string"), 2, "0"), F.lpad((size % 60).cast("string"), 2, "0"), F.lit(".csv"))
+
+
+def ride_ends(fixes: DataFrame) -> DataFrame:
+    """ride, lon0, lat0, lon1, lat1: first and last fix of rides with two fixes at least. fixes: ride, seq, lon, lat."""
+    at = F.struct("lon", "lat")
+    ends = fixes.groupBy("ride").agg(F.min_by(at, "seq").alias("a"), F.max_by(at, "seq").alias("b"), F.count("*").alias("n")).filter("n >= 2")
+    return ends.select("ride", F.col("a.lon").alias("lon0"), F.col("a.lat").alias("lat0"), F.col("b.lon").alias("lon1"), F.col("b.lat").alias("lat1"))
+
+
+#: Kinds of activities without a street.
+INDOOR = ("indoor_cycling", "virtual_ride", "indoor_biking", "spinning")
+
+
+def outdoor(activities: DataFrame) -> DataFrame:
+    """Activities with an id that aren't indoors; those of unknown kind stay."""
+    return activities.filter(F.col("id").isNotNull() & ~F.coalesce(F.col("type").isin(*INDOOR), F.lit(False)))
+
+
+def new_rides(listed: DataFrame, processed: DataFrame, skipped: DataFrame, sample: int | None = None) -> DataFrame:
+    """Rides of a listing that were neither processed nor skipped; a sample is the first of them by name."""
+    left = listed.join(processed.select("ride"), "ride", "left_anti").join(skipped.select("ride"), "ride", "left_anti")
+    return left.orderBy("ride").limit(sample) if sample else left
+
+
+def stations(spark: SparkSession, path: str) -> DataFrame:
+    """name, lon, lat of a station feed; stations without a name or a place are left out."""
+    shape = "data struct<stations: array<struct<name: string, lat: double, lon: double>>>"
+    rows = spark.read.schema(shape).option("multiLine", True).json(path).select(F.explode("data.stations").alias("s")).select("s.name", "s.lon", "s.lat")
+    return rows.filter("name is not null and name <> '' and lon is not null and lat is not null")
+
+
+def lanes(spark: SparkSession, path: str) -> DataFrame:
+    """The columns that lanes.normalised takes, of a feature collection of lines and multi-lines."""
+    found = spark.read.schema(FEATURES).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
+    point = lambda line: F.transform(line, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    one = F.array(point(F.from_json("f.geometry.coordinates", "array<array<double>>")))
+    many = F.transform(F.from_json("f.geometry.coordinates", "array<array<array<double>>>"), point)
+    parts = F.when(F.col("f.geometry.type") == "LineString", one).when(F.col("f.geometry.type") == "MultiLineString", many)
+    names = ("bikeid", "prevbikeid", "facilitycl", "ft_facilit", "tf_facilit", "instdate", "ret_date", "street")
+    return found.select(*[F.col("f.properties")[n].alias(n) for n in names], parts.alias("parts"))
+
+
+def trip_cache(spark: SparkSession, path: str) -> DataFrame | None:
+    """The cached trips; None where the file is of another format or holds none."""
+    shape = "format int, trips array<struct<id: string, t: bigint, dur: bigint, a: string, b: string, bike: string, paid: double, gross: double, credit: double, ebike: boolean>>"
+    rows = spark.read.schema(shape).option("multiLine", True).json(path).filter("format = 2").select(F.explode("trips").alias("t")).select("t.*")
+    return None if rows.isEmpty() else rows
+
+
+def export_rides(spark: SparkSession, path: str) -> DataFrame:
+    """day, miles: of a map export, whose rides cite days by index; a ride without a distance counts none."""
+    shape = "properties struct<dates: array<string>, rides: array<array<string>>>"
+    head = spark.read.schema(shape).option("multiLine", True).json(path).select("properties.*")
+    rides = head.select("dates", F.explode("rides").alias("r"))
+    day = F.to_date(F.element_at("dates", F.element_at("r", 1).cast("int") + 1))
+    return rides.groupBy(day.alias("day")).agg(F.sum(F.coalesce(F.element_at("r", 3).try_cast("double"), F.lit(0.0)) * 0.621371).alias("miles"))
+
+
+def fitted_network(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(stops: line, place, station; stations: id, name, x, y, n) of a fitted network's file; compressed files are read as they are."""
+    shape = "stations array<struct<near: string, at: array<double>, n: bigint>>, lines array<array<bigint>>"
+    head = spark.read.schema(shape).option("multiLine", True).json(path)
+    stops = head.select(F.posexplode("lines").alias("line", "s")).select("line", F.posexplode("s").alias("place", "station"))
+    listed = head.select(F.posexplode("stations").alias("id", "s"))
+    return stops, listed.select(F.col("id").cast("bigint").alias("id"), F.col("s.near").alias("name"), F.col("s.at")[0].alias("x"), F.col("s.at")[1].alias("y"), F.col("s.n").alias("n"))
+
+
+def network(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of several networks (folders with nodes and edges tables) as one, without edges that others cover."""
+    nodes = graph.compose(*[spark.read.parquet(f"{p}/nodes") for p in paths], keys=("id",))
+    edges = graph.compose(*[spark.read.parquet(f"{p}/edges") for p in paths])
+    return nodes, graph.without_subsumed(nodes, edges)
+
+
+#: What marks a cached answer as one of a network.
+MARKERS = {"bike": '"cycleway"', "drive": '"motorway"', "walk": '"footway"'}
+
+
+def responses(spark: SparkSession, path: str) -> DataFrame:
+    """path, kind, fingerprint: cached answers by the marker they hold most of, the newest of each fingerprint.
+
+    The fingerprint is of the size and of two pieces of a mebibyte, one at the start and one in the middle.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    body = F.decode("content", "UTF-8")
+    counted = F.array(*[F.struct(F.regexp_count(body, F.lit(mark)).alias("n"), F.lit(kind).alias("kind")) for kind, mark in MARKERS.items()])
+    piece = lambda at: F.substring("content", at, 1 << 20)
+    middle = F.expr(f"substring(content, int(length / 2) + 1, {1 << 20})")
+    marked = files.select("path", "modificationTime", F.array_max(counted)["kind"].alias("kind"), F.sha2(F.concat(F.col("length").cast("string").cast("binary"), piece(1), middle), 256).alias("fingerprint"))
+    newest = Window.partitionBy("fingerprint").orderBy(F.desc("modificationTime"), "path")
+    return marked.withColumn("k", F.row_number().over(newest)).filter("k = 1").select("path", "kind", "fingerprint")

@@ -42,14 +42,20 @@ def export_parts(lines: DataFrame, passes: DataFrame, rides: DataFrame) -> tuple
     return both.select(F.to_json(F.struct("*")).alias("value")), features(shown.orderBy("n", "fid").select("points", "name", "rides"))
 
 
-def write_tables(frames: dict[str, DataFrame], path: str, run: str) -> None:
-    """Tables of a run below its own folder; the manifest that names the run is written last."""
-    for name, frame in frames.items():
-        frame.write.mode("overwrite").parquet(f"{path}/{run}/{name}")
-    spark = next(iter(frames.values())).sparkSession
-    spark.range(1).select(F.lit(run).alias("run"), F.array(*map(F.lit, sorted(frames))).alias("tables")).write.mode("overwrite").parquet(f"{path}/manifest")
+def write_trips(trips: DataFrame, docks: DataFrame, path: str, source: str) -> None:
+    """The trip cache as tables: trips and docks, with the export's name."""
+    trips.withColumn("source", F.lit(source)).write.mode("overwrite").parquet(f"{path}/trips")
+    docks.write.mode("overwrite").parquet(f"{path}/docks")
 
 
-def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    run = spark.read.parquet(f"{path}/manifest").first().run
-    return spark.read.parquet(f"{path}/{run}/{name}")
+def shades(features: DataFrame, view: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """Features (fid, points, n) with shade, the root of n over the most, rare ones first; a view keeps those inside it.
+
+    The scale is that of all features, whatever the view shows.
+    """
+    top = features.agg(F.max("n").alias("top"))  # one row
+    shaded = features.join(F.broadcast(top)).withColumn("shade", F.sqrt(F.col("n") / F.col("top"))).drop("top")
+    if view:
+        west, south, east, north = view
+        shaded = shaded.filter(F.exists("points", lambda p: p["x"].between(west, east) & p["y"].between(south, north)))
+    return shaded.orderBy("n", "fid")
