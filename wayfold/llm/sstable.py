@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -238,7 +238,7 @@ def open_shard(uri: str) -> Shard:
 
 
 #: Pieces of text whose ids a worker remembers (some 200 bytes each), and code points that are encoded at once.
-REMEMBERED, TOGETHER = 800_000, 1 << 20
+REMEMBERED, TOGETHER = 800_000, 1 << 21
 #: All white space: beside it, a space does not start a piece. BORDER drops the space before a piece.
 SPACES = "".join(filter(str.isspace, map(chr, range(0x3001))))
 BORDER = re.compile(r"(?<=\S)\x20(?=\S)")
@@ -285,36 +285,61 @@ class Encoder:
         at = (starts * width).tolist()
         return [raw[i:j] for i, j in zip(at, [*at[1:], len(raw)], strict=True)]
 
-    def _cut(self, text: str) -> list[str]:
-        if any(c in text and (" " + c in text or c + " " in text) for c in SPACES):
-            return BORDER.split(text)
-        return text.split(" ")
+    def _odd(self, text: str) -> bool:
+        """White space stands beside a space, so not every space begins a piece."""
+        return any(c in text and (" " + c in text or c + " " in text) for c in SPACES)
 
-    def _some(self, texts: list[str]) -> list[bytes]:
-        parts = [self._cut(t) if self.cut and not any(s in t for s in self.special) else None for t in texts]
-        first = dict.fromkeys(p[0] for p in parts if p)
-        whole = [t for t, p in zip(texts, parts, strict=True) if p is None]
-        done = iter(self._encode([*first, *whole]))
-        first = {k: next(done) for k in first}
-        known = [list(map(self.memory.get, p[1:])) if p else None for p in parts]
-        new = {x for p, got in zip(parts, known, strict=True) if p for x, ids in zip(p[1:], got, strict=True) if ids is None}
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces with a space before each; new ones are encoded and remembered."""
+        found = list(map(self.memory.get, pieces))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        if not new:
+            return found
         # white space at a piece's end would change the cut of its neighbour
-        plain = [x for x in new if x and not x[0].isspace() and not x[-1].isspace()]
-        made = dict(zip(plain, self._pieces(plain), strict=True))
-        odd = [x for x in new if x not in made]
-        made.update(zip(odd, self._encode([" " + x for x in odd]), strict=True))
+        plain = [i for i in new if (x := pieces[i]) and not x[0].isspace() and not x[-1].isspace()]
+        for i, ids in zip(plain, self._pieces([pieces[i] for i in plain]), strict=True):
+            found[i] = ids
+        odd = [i for i in new if found[i] is None]
+        for i, ids in zip(odd, self._encode([" " + pieces[i] for i in odd]), strict=True):
+            found[i] = ids
         if len(self.memory) < REMEMBERED:
-            self.memory.update(made)
+            self.memory.update((pieces[i], found[i]) for i in new)
         else:
             self.missed += len(new)
             if self.missed > 20 * REMEMBERED:  # the texts have changed: learn anew
                 self.memory, self.missed = {}, 0
-        out = []
-        for p, got in zip(parts, known, strict=True):
-            if p is None:
-                out.append(next(done))
-            else:
-                out.append(first[p[0]] + b"".join([made[x] if ids is None else ids for x, ids in zip(p[1:], got, strict=True)]))
+        return found
+
+    def _joined(self, lists: pa.Array) -> list[bytes]:
+        """Ids of texts that are lists of pieces: each distinct piece is looked up once, the rest is gathering."""
+        cuts = lists.offsets.to_numpy()
+        pieces = lists.values.slice(cuts[0], cuts[-1] - cuts[0])
+        cuts = cuts - cuts[0]
+        coded = pieces.dictionary_encode()
+        first = pieces.take(pa.array(cuts[:-1])).dictionary_encode()  # no space stands before them
+        ids = self._known(coded.dictionary.to_pylist()) + self._encode(first.dictionary.to_pylist())
+        at = coded.indices.to_numpy().astype(np.int64)
+        at[cuts[:-1]] = first.indices.to_numpy().astype(np.int64) + len(coded.dictionary)
+        gathered = pa.array(ids, pa.large_binary()).take(pa.array(at))
+        _, offsets, data = gathered.buffers()
+        ends = np.frombuffer(offsets, np.int64, len(gathered) + 1)[cuts].tolist()
+        raw = memoryview(data) if data is not None else memoryview(b"")
+        return [bytes(raw[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+    def _some(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(texts)
+        whole, plain, odd = [], [], []
+        for i, t in enumerate(texts):
+            (whole if not self.cut or any(s in t for s in self.special) else odd if self._odd(t) else plain).append(i)
+        if whole:
+            for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
+                out[i] = ids
+        if plain:
+            for i, ids in zip(plain, self._joined(pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")), strict=True):
+                out[i] = ids
+        if odd:
+            for i, ids in zip(odd, self._joined(pa.array([BORDER.split(texts[i]) for i in odd], pa.large_list(pa.large_string()))), strict=True):
+                out[i] = ids
         return out
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
