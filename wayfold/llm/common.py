@@ -53,10 +53,14 @@ PART_BYTES = 128 << 20
 
 
 def parts_for(df: DataFrame) -> int:
-    """Parts to write a frame in: the session's shuffle partitions, or more where the plan's size estimate asks for it."""
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(estimate // PART_BYTES, 1_000_000))
+    """Parts to write a frame in: the session's shuffle partitions, or more where the files it reads are large.
+
+    Sources of unknown size (local rows, checkpoints) count nothing, so the session's number holds for them.
+    """
+    unknown = int(df.sparkSession.conf.get("spark.sql.defaultSizeInBytes", str((1 << 63) - 1)))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), sum(s for s in sizes if s < unknown) // PART_BYTES)
 
 
 #: Rows of an Arrow batch: texts can be long, and a batch is held whole by the executor and by its Python worker.

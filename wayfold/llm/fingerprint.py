@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K, WORDS = 128, 5
-BLANK = r" \t\n\u000b\f\r"
+BLANK = r" \t\n\u000b\u000c\r"  # SQL knows no \f
 
 
 def _let(value: str, name: str, body: str) -> str:
