@@ -32,6 +32,7 @@ import zlib
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -239,8 +240,10 @@ def open_shard(uri: str) -> Shard:
 
 #: Pieces of text whose ids a worker remembers (some 200 bytes each), and code points that are encoded at once.
 REMEMBERED, TOGETHER = 800_000, 1 << 21
-#: All white space: beside it, a space does not start a piece. BORDER drops the space before a piece.
-SPACES = "".join(filter(str.isspace, map(chr, range(0x3001))))
+#: Pieces that are encoded as one string; marks, and some letters that the tokenizer's rule parts from them.
+CHUNK, MARKS, LETTERS = 64, ".,;:!?", "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u0400-\u0481"
+#: White space but spaces and new lines. BORDER drops the space before a piece.
+OTHER_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 BORDER = re.compile(r"(?<=\S)\x20(?=\S)")
 
 
@@ -248,9 +251,10 @@ class Encoder:
     """Encodes whole texts with the tokenizers library, each distinct piece of some texts once.
 
     A byte-level BPE tokenizer never joins a word with the space that follows it, so a text may be cut before a single
-    space between two non-spaces without changing its ids. Unknown pieces are encoded as one text and cut again before
-    the ids that start with a space; if that does not give one part a piece, they are encoded one by one. Texts that
-    hold a special token's string are encoded whole.
+    space between two non-spaces without changing its ids; nor a letter with the mark behind it, nor anything with a
+    new line between two non-spaces. Unknown parts are encoded some at a time as one text and cut again before the ids that
+    start with a space or a new line; if that does not give one part a piece, they are encoded one by one. Texts that hold
+    a special token's string are encoded whole.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -264,6 +268,8 @@ class Encoder:
         self.dtype, self.mark = ("<u4", b"\x04") if top > 65535 else ("<u2", b"\x02")
         self.leads = np.zeros(top + 1, np.bool_)
         self.leads[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # how byte-level BPE writes a space
+        self.lines = np.zeros(top + 1, np.bool_)
+        self.lines[[i for t, i in vocabulary.items() if t.startswith("\u010a")]] = True  # a new line
         whole = json.loads(self.tokenizer.to_str())
         pre = whole.get("pre_tokenizer") or {}
         self.cut = not whole.get("normalizer") and pre.get("type") == "ByteLevel" and bool(pre.get("use_regex", True)) and not pre.get("add_prefix_space")
@@ -273,35 +279,45 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece with a space before it."""
-        if not pieces:
+    def _joined_ids(self, strings: list[str], leads: np.ndarray) -> list[bytes]:
+        """Ids of strings that begin with a mark of which each id that ``leads`` names begins one; encoded together."""
+        if not strings:
             return []
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0].ids, self.dtype)
-        starts = np.flatnonzero(self.leads[ids])
-        if len(starts) != len(pieces) or starts[0] != 0:
-            return self._encode([" " + p for p in pieces])
+        chunks = ["".join(strings[i : i + CHUNK]) for i in range(0, len(strings), CHUNK)]
+        made = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in made), self.dtype)
+        starts = np.flatnonzero(leads[ids])
+        if len(starts) != len(strings) or starts[0] != 0:
+            return self._encode(strings)
         raw, width = ids.tobytes(), ids.itemsize
         at = (starts * width).tolist()
         return [raw[i:j] for i, j in zip(at, [*at[1:], len(raw)], strict=True)]
 
     def _odd(self, text: str) -> bool:
-        """White space stands beside a space, so not every space begins a piece."""
-        return any(c in text and (" " + c in text or c + " " in text) for c in SPACES)
+        """It holds white space beside a space, or other than spaces and new lines: only plain spaces are cut at."""
+        return "  " in text or " \n" in text or "\n " in text or any(c in text for c in OTHER_SPACES)
 
     def _known(self, pieces: list[str]) -> list[bytes]:
-        """Ids of distinct pieces with a space before each; new ones are encoded and remembered."""
+        """Ids of distinct pieces; new ones are encoded and remembered.
+
+        A piece stands for itself with a space before it, unless it begins with a new line, or with a \\0 for nothing.
+        """
         found = list(map(self.memory.get, pieces))
         new = [i for i, ids in enumerate(found) if ids is None]
         if not new:
             return found
-        # white space at a piece's end would change the cut of its neighbour
-        plain = [i for i in new if (x := pieces[i]) and not x[0].isspace() and not x[-1].isspace()]
-        for i, ids in zip(plain, self._pieces([pieces[i] for i in plain]), strict=True):
-            found[i] = ids
-        odd = [i for i in new if found[i] is None]
-        for i, ids in zip(odd, self._encode([" " + pieces[i] for i in odd]), strict=True):
-            found[i] = ids
+        words, lines, bare = [], [], []
+        for i in new:
+            x = pieces[i]
+            # white space at a piece's end would change the cut of its neighbour
+            (bare if not x or x[0] == "\0" or x[-1].isspace() or x[0].isspace() and x[0] != "\n" else lines if x[0] == "\n" else words).append(i)
+        for group, ids in (
+            (words, self._joined_ids([" " + pieces[i] for i in words], self.leads)),
+            (lines, self._joined_ids([pieces[i] for i in lines], self.lines)),
+            (bare, self._encode([x[1:] if (x := pieces[i])[:1] == "\0" else x if x[:1] == "\n" else " " + x for i in bare])),
+        ):
+            for i, made in zip(group, ids, strict=True):
+                found[i] = made
         if len(self.memory) < REMEMBERED:
             self.memory.update((pieces[i], found[i]) for i in new)
         else:
@@ -330,16 +346,19 @@ class Encoder:
         out: list[bytes | None] = [None] * len(texts)
         whole, plain, odd = [], [], []
         for i, t in enumerate(texts):
-            (whole if not self.cut or any(s in t for s in self.special) else odd if self._odd(t) else plain).append(i)
-        if whole:
-            for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
-                out[i] = ids
+            (whole if not self.cut or "\0" in t or any(s in t for s in self.special) else odd if self._odd(t) else plain).append(i)
+        done = [(whole, self._encode([texts[i] for i in whole]))] if whole else []
         if plain:
-            for i, ids in zip(plain, self._joined(pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")), strict=True):
-                out[i] = ids
+            column = pa.array([texts[i] for i in plain], pa.large_string())
+            column = pc.replace_substring_regex(column, f"([{LETTERS}])([{MARKS}])", "\\1 \0\\2")
+            for _ in range(2):  # a character between two new lines is seen by one of the turns
+                column = pc.replace_substring_regex(column, r"([^\s\x00])\n(\S)", "\\1 \n\\2")
+            done.append((plain, self._joined(pc.split_pattern(column, " "))))
         if odd:
-            for i, ids in zip(odd, self._joined(pa.array([BORDER.split(texts[i]) for i in odd], pa.large_list(pa.large_string()))), strict=True):
-                out[i] = ids
+            done.append((odd, self._joined(pa.array([BORDER.split(texts[i]) for i in odd], pa.large_list(pa.large_string())))))
+        for places, ids in done:
+            for i, made in zip(places, ids, strict=True):
+                out[i] = made
         return out
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
