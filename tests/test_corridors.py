@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo
-from wayfold.operators import corridors, graph
+from wayfold.operators import conflicts, corridors, graph
 from wayfold.plans import registry
 from wayfold.sources import writers
 
@@ -105,14 +105,17 @@ def test_export(spark):
 
 
 def test_permutation(spark):
-    events = spark.createDataFrame([(i, 10, [1, 2, 3]) for i in range(5)] + [(9, 500, [])], "id long, value long, pool array<long>")
-    assert tuple(graph.permutation_test(events, 40).first()) == (10.0, 1.0)
+    events = spark.createDataFrame([(i, 10, "p") for i in range(5)] + [(9, 500, "none")], "id long, value long, pool string")
+    pools = spark.createDataFrame([("p", v) for v in (1, 2, 3)], "pool string, value long")
+    assert tuple(graph.permutation_test(events, pools, 40).first()) == (10.0, 1.0)
     low = events.selectExpr("id", "0 as value", "pool")
-    assert tuple(graph.permutation_test(low, 40).first()) == (0.0, 0.0)
+    assert tuple(graph.permutation_test(low, pools, 40).first()) == (0.0, 0.0)
+    one = graph.permutation_test(spark.createDataFrame([(1, 2, "p")], "id long, value long, pool string"), pools, 3000).first()
+    assert abs(one.p - 2 / 3) < 0.04
 
 
 def test_queries_without_sql_give_rows(spark):
-    for name in ("q_merge_audit", "q_stations", "q_merge_corridors", "q_busiest_stretches", "q_export_features", "q_permutation"):
+    for name in ("q_merge_audit", "q_stations", "q_merge_corridors", "q_busiest_stretches", "q_export_features", "q_permutation", "q_matched_edges", "q_measured_rides", "q_lane_cover", "q_transit_lines", "q_largest_component", "q_contracted", "q_floor_sweep", "q_hmm_grid"):
         assert registry.queries()[name](spark, DATA).count() > 0, name
 
 
@@ -126,5 +129,5 @@ def test_audit(spark):
 
 def test_pick_stations(spark):
     rows = [(1, 1, 0, 0, 20), (1, 2, 400, 0, 8), (1, 3, 480, 0, 9), (1, 4, 5000, 0, 8), (2, 5, 0, 0, 9)]
-    got = graph.pick_stations(spark.createDataFrame(rows, "region long, id long, x int, y int, n int")).collect()
+    got = conflicts.pick_stations(spark.createDataFrame(rows, "region long, id long, x int, y int, n int"), region="region").collect()
     assert sorted((r.region, r.id, r.n, r.absorbed) for r in got) == [(1, 1, 28, [2]), (1, 3, 9, []), (2, 5, 9, [])]

@@ -1,12 +1,7 @@
-"""The sequential operators: busiest stretches and map matching; and a permutation test.
-
-Each works on one street, ride or region at a time (applyInPandas) and sees the rest of the network only through a
-grid join, so no task holds more than one group's neighbourhood.
-"""
+"""Busiest stretches, walked street by street, and a permutation test."""
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,45 +10,6 @@ from wayfold.functions import geo
 from wayfold.operators import joins, tables
 
 
-def match_rides(fixes: DataFrame, edges: DataFrame, reach: float = 80.0, noise: float = 15.0, hop: float = 1.0, jump: float = 8.0) -> DataFrame:
-    """The likeliest edge for each fix of a ride (Viterbi): fixes ride, seq, x, y; edges u, v, ax, ay, bx, by.
-
-    Candidates are the edges whose sampled points share a cell with the fix, within ``reach``. A state costs its squared
-    distance in noise units, a move 0 on the same edge, ``hop`` to an edge that shares a node, ``jump`` otherwise. A fix
-    without candidate is skipped and its ride goes on behind it.
-    """
-    n = F.greatest(F.lit(1), F.ceil(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")) / reach))
-    sampled = edges.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), n.cast("bigint")))).withColumn("n", n)
-    part = F.col("k") / F.col("n")
-    cells = sampled.select("u", "v", "ax", "ay", "bx", "by", F.floor((F.col("ax") + part * (F.col("bx") - F.col("ax"))) / reach).alias("cx"), F.floor((F.col("ay") + part * (F.col("by") - F.col("ay"))) / reach).alias("cy")).distinct()
-    near = joins._cells(fixes, int(reach), True).join(cells, ["cx", "cy"])
-    near = near.withColumn("d", geo.point_segment("x", "y", "ax", "ay", "bx", "by")).filter(F.col("d") <= reach).select("ride", "seq", "u", "v", "d").distinct()
-
-    def viterbi(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["seq", "u", "v"])
-        back, cost, last = [], None, None
-        for _, step in group.groupby("seq", sort=True):
-            u, v, emit = step.u.to_numpy(), step.v.to_numpy(), (step.d.to_numpy() / noise) ** 2 / 2
-            if cost is None:
-                cost, from_ = emit, np.full(len(u), -1)
-            else:
-                lu, lv = last
-                same = (u[:, None] == lu) & (v[:, None] == lv)
-                touch = (u[:, None] == lu) | (u[:, None] == lv) | (v[:, None] == lu) | (v[:, None] == lv)
-                total = cost + np.where(same, 0.0, np.where(touch, hop, jump))
-                from_ = total.argmin(axis=1)
-                cost = total.min(axis=1) + emit
-            last = (u, v)
-            back.append((step.seq.iloc[0], u, v, from_))
-        out, at = [], int(np.argmin(cost))
-        for seq, u, v, from_ in reversed(back):
-            out.append((group.ride.iloc[0], seq, u[at], v[at]))
-            at = int(from_[at])
-        return pd.DataFrame(out[::-1], columns=["ride", "seq", "u", "v"])
-
-    return near.groupBy("ride").applyInPandas(viterbi, "ride long, seq long, u long, v long")
-
-
 def permutation_test(events: DataFrame, pools: DataFrame, trials: int) -> DataFrame:
     """observed (median value of all events), p (share of trials with no larger median).
 

@@ -164,3 +164,20 @@ def one_way(units: DataFrame) -> DataFrame:
     """Units (edge, chunk, way) that were never measured the other way."""
     other = units.select("edge", "chunk", (1 - F.col("way")).alias("way")).distinct()
     return units.join(other, ["edge", "chunk", "way"], "left_anti")
+
+
+def floor_sweep(folded: DataFrame, lines: DataFrame, floors: tuple[int, ...], n: int = STRETCHES) -> DataFrame:
+    """floor, stretches, shared: how many stretches rank at each floor of passes, and how many of its fastest the default's list has."""
+    shipped = top_stretches(stretches(folded, lines), True, n).select("name", "dir")
+    each = None
+    for floor in floors:
+        rows = cut(stretches(folded, lines, floor))
+        shared = top_stretches(rows, True, n).select("name", "dir").intersect(shipped).agg(F.count("*").alias("shared"))
+        row = rows.agg(F.lit(floor).alias("floor"), F.count("*").alias("stretches")).join(shared)
+        each = row if each is None else each.unionByName(row)
+    return each
+
+
+def sampled(rides: DataFrame, n: int, seed: int = 0, key: str = "ride") -> DataFrame:
+    """n rides by a seeded hash of their key: the same ones whatever the order they are read in."""
+    return rides.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)

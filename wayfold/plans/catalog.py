@@ -8,7 +8,7 @@ _queries: dict = {}
 _sql: dict[str, str] = {}
 
 #: Modules that add their queries when they are imported.
-MODULES = ("registry", "pass_queries", "area_queries", "trip_queries", "network_queries", "view_queries")
+MODULES = ("registry", "pass_queries", "area_queries", "trip_queries", "network_queries", "view_queries", "scalar_queries")
 
 
 def query(oracle: str | None = None):

@@ -177,3 +177,8 @@ def q_stations(spark, d):
     found = conflicts.density_clusters(ends, 100, "region").join(ends, "id")
     clusters = found.groupBy("region", F.col("cluster").alias("id")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n"))
     return conflicts.pick_stations(clusters, region="region").select("region", "id", "n", F.size("absorbed").alias("absorbed"))
+
+
+@query()
+def q_floor_sweep(spark, d):
+    return rankings.floor_sweep(_fold(spark, d), _lines(spark), (3, 5, 8))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo, text
-from wayfold.operators import corridors, graph, joins, tables, traces
+from wayfold.operators import corridors, graph, joins, matching, tables, traces
 from wayfold.plans import roles
 from wayfold.plans.catalog import oracle_sql, queries, query  # noqa: F401
 from wayfold.plans.roles import sql, table
@@ -494,7 +494,7 @@ def q_hmm_grid(spark, d):
     right = nodes.filter("id % 21 < 20").selectExpr("id as u", "id + 1 as v", "x as ax", "y as ay", "x + 100 as bx", "y as by")
     up = nodes.filter("id < 420").selectExpr("id as u", "id + 21 as v", "x as ax", "y as ay", "x as bx", "y + 100 as by")
     fixes = roles.fixes(spark, d).selectExpr("ride", "seq", "double(x) as x", "double(y) as y")
-    return graph.match_rides(fixes, right.union(up))
+    return matching.likeliest(fixes, right.union(up)).select("ride", "seq", "u", "v")
 
 
 @query()

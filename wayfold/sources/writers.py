@@ -1,8 +1,8 @@
-"""Sinks: feature rows as JSON lines, one table set with a manifest."""
+"""Sinks: feature rows as JSON lines, the map's export, the trip cache, and shades for drawing."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.operators import tables

@@ -16,19 +16,23 @@ def windowed_counts(stream: DataFrame, ts: str = "ts", key: str = "event_type",
     return stream.withWatermark(ts, late).groupBy(F.window(ts, size), key).agg(F.count("*").alias("n"))
 
 
-def ingest(stream: DataFrame, target: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
-    """Append each batch's new rows, one for each key, to a table; rows of keys that are there already are left out."""
+def ingest(stream: DataFrame, target: str, checkpoint: str, keys: list[str], by: str | None = None) -> StreamingQuery:
+    """Append each batch's new rows, one for each key, to a table; rows of keys that are there already are left out.
+
+    ``by`` names a column whose values a key never leaves (its day, say): the table is partitioned by it, and a batch reads
+    the keys of its own partitions only.
+    """
 
     def land(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates(keys)
-        try:
-            known = spark.read.parquet(target).select(*keys)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        else:
-            fresh = fresh.join(known, keys, "left_anti")
-        fresh.write.mode("append").parquet(target)
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+        if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            known = spark.read.schema(batch.schema).parquet(target)
+            if by:
+                known = known.join(F.broadcast(batch.select(by).distinct()), by, "left_semi")  # prunes partitions
+            fresh = fresh.join(known.select(*keys), keys, "left_anti")
+        writer = fresh.write.mode("append")
+        (writer.partitionBy(by) if by else writer).parquet(target)
 
     return stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
