@@ -155,8 +155,10 @@ def test_polygons_against_brute_force(spark):
     for _ in range(5):
         x, y = rng.randrange(1000), rng.randrange(1000)
         shapes.append([(round(x + rng.randrange(50, 300) * math.cos(t)), round(y + rng.randrange(50, 300) * math.sin(t))) for t in sorted(rng.random() * 6.283 for _ in range(rng.randrange(3, 9)))])
+    shapes.append([(64, 64), (640, 64), (640, 512), (64, 512)])  # on the borders of cells
     sides = [(a, *map(float, (*p, *q))) for a, s in enumerate(shapes) for p, q in zip(s, s[1:] + s[:1], strict=True)]
     points = [(i, float(rng.randrange(-200, 1300)), float(rng.randrange(-200, 1300))) for i in range(2000)]
+    points += [(3000 + 20 * i + j, 32.0 * i, 32.0 * j) for i in range(20) for j in range(20)]
     want = set()
     for i, x, y in points:
         for a in range(len(shapes)):

@@ -36,8 +36,9 @@ def _span(low: Column, high: Column, size) -> Column:
 
 
 def edge_cells(rings: DataFrame, size) -> DataFrame:
-    """The edges with the cells (cx, cy) of their bounding boxes."""
-    wide = rings.withColumn("cx", _span(F.least("ax", "bx"), F.greatest("ax", "bx"), size))
+    """The edges with the cells (cx, cy) of their bounding boxes; a border between two cells belongs to the left one as well."""
+    left = F.ceil(F.least("ax", "bx") / size) - 1
+    wide = rings.withColumn("cx", F.explode(F.sequence(left, F.greatest(left, _cell(F.greatest("ax", "bx"), size)))))
     return wide.withColumn("cy", _span(F.least("ay", "by"), F.greatest("ay", "by"), size))
 
 
