@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold.operators import network
 from wayfold.plans.catalog import query
+from wayfold.plans.registry import REACHED
 from wayfold.plans.roles import table
 
 TAGS = "['residential', 'cycleway', 'footway', 'path', 'service']"
@@ -71,7 +72,7 @@ def q_sidewalks(spark, d):
     return network.sidewalks(lines.unionByName(roads))
 
 
-@query()
+@query(f"WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT p_partkey % 150 AS a, p_size * 3 + 200 AS b FROM part), {REACHED}, top AS (SELECT component FROM cc GROUP BY component ORDER BY count(*) DESC, component LIMIT 1) SELECT a AS u, b AS v FROM e WHERE a IN (SELECT node FROM cc WHERE component = (SELECT component FROM top))")
 def q_largest_component(spark, d):
     return network.largest_component(table(spark, d, "part").selectExpr("p_partkey % 150 as u", "p_size * 3 + 200 as v").distinct())
 

@@ -179,6 +179,13 @@ def q_stations(spark, d):
     return conflicts.pick_stations(clusters, region="region").select("region", "id", "n", F.size("absorbed").alias("absorbed"))
 
 
-@query()
+SWEEP = ", ".join(
+    f"stretch{n} AS (SELECT edge, 'street ' || edge % 7 AS name, CASE WHEN way = 1 THEN 'E' ELSE 'W' END AS dir, avg(s1 / n) AS kmh, avg(sqrt(greatest(s2 / n - (s1 / n) * (s1 / n), 0))) AS sd FROM (SELECT *, chunk - row_number() OVER (PARTITION BY edge, way ORDER BY chunk) AS island FROM fold WHERE n >= {n} AND dist >= 50) GROUP BY edge, way, island HAVING count(*) >= 2), "
+    f"top{n} AS (SELECT name, dir FROM (SELECT *, row_number() OVER (PARTITION BY name, dir ORDER BY round(kmh, 1) DESC, round(sd, 1), edge) AS rank FROM stretch{n}) WHERE rank = 1 ORDER BY round(kmh, 1) DESC, round(sd, 1), name LIMIT 8)"
+    for n in (3, 5, 8)
+)
+
+
+@query(_with(PLACED, SPANS, CHUNKS, SWEEP) + " UNION ALL ".join(f"SELECT {n} AS floor, (SELECT count(*) FROM stretch{n}) AS stretches, (SELECT count(*) FROM (SELECT * FROM top{n} INTERSECT SELECT * FROM top5)) AS shared" for n in (3, 5, 8)))
 def q_floor_sweep(spark, d):
     return rankings.floor_sweep(_fold(spark, d), _lines(spark), (3, 5, 8))

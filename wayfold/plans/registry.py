@@ -482,7 +482,12 @@ def q_pass_histogram(spark, d):
     return roles.edge_rides(spark, d).groupBy("edge").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("edges"))
 
 
-@query()
+#: The least node each node reaches, over edges e (a, b).
+REACHED = """both_ways AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+cc(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM both_ways UNION (SELECT DISTINCT ON (x.node) x.node, y.component FROM recurring.cc x, both_ways e, cc y WHERE e.a = x.node AND e.b = y.node AND y.component < x.component ORDER BY x.node, y.component))"""
+
+
+@query(f"WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT l_suppkey AS a, l_partkey + 1000000 AS b FROM lineitem), {REACHED} SELECT node, component FROM cc")
 def q_components(spark, d):
     links = table(spark, d, "lineitem").selectExpr("l_suppkey as u", "l_partkey + 1000000 as v").distinct()
     return tables.components(links)

@@ -165,11 +165,11 @@ def q_matched_edges(spark, d):
     return matching.match(fixes, right.union(up))[0]
 
 
-@query()
+@query("WITH s AS (SELECT p_partkey AS edge, (p_partkey * 7919) % 2000 AS x, p_partkey % 40 AS row FROM part), l AS (SELECT s_suppkey AS lane, (s_suppkey * 911) % 2000 AS x, s_suppkey % 40 AS row FROM supplier) SELECT edge, lane, round(count(*) / 21.0, 6) AS share FROM s JOIN l USING (row), (SELECT unnest(range(0, 21)) AS k) WHERE pow(greatest(0, l.x - (s.x + 10 * k), s.x + 10 * k - l.x - 150), 2) + 64 <= 144 GROUP BY edge, lane")
 def q_lane_cover(spark, d):
     streets = table(spark, d, "part").selectExpr("p_partkey as edge", "double((p_partkey * 7919) % 2000) as x", "double(p_partkey % 40 * 50) as y").selectExpr("edge", "array(struct(x, y), struct(x + 200 as x, y)) as points")
     built = table(spark, d, "supplier").selectExpr("s_suppkey as lane", "0 as part", "double((s_suppkey * 911) % 2000) as x", "double(s_suppkey % 40 * 50 + 8) as y").selectExpr("lane", "part", "array(struct(x, y), struct(x + 150 as x, y)) as points")
-    return lanes.edge_cover(built, streets)
+    return lanes.edge_cover(built, streets).withColumn("share", F.round("share", 6))
 
 
 @query("WITH v AS (SELECT l_suppkey % 50 AS lane, l_partkey % 200 AS edge, max(l_quantity) / 100 AS share FROM lineitem GROUP BY 1, 2), l AS (SELECT s_suppkey AS lane, CASE WHEN s_suppkey % 2 = 0 THEN 'I' ELSE 'II' END AS cls, DATE '1993-01-01' + cast(s_suppkey * 9 AS int) AS inst, CASE WHEN s_suppkey % 3 = 0 THEN DATE '1996-01-01' END AS ret FROM supplier WHERE s_suppkey < 50), r AS (SELECT l_partkey % 200 AS edge, l_orderkey AS ride, cast(l_shipdate AS date) AS day, 100 + l_partkey % 200 AS metres, max(l_linenumber) AS passes FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1, 2, 3, 4), h AS (SELECT r.edge, ride, day, metres * passes AS m, coalesce(sum(share) FILTER (inst <= day AND (ret IS NULL OR ret > day)), 0) AS lane, coalesce(sum(share) FILTER (cls = 'I' AND inst <= day AND (ret IS NULL OR ret > day)), 0) AS prot FROM r LEFT JOIN v USING (edge) LEFT JOIN l ON l.lane = v.lane GROUP BY r.edge, ride, day, metres, passes) SELECT cast(year(day) AS int) AS year, cast(sum(m) AS bigint) AS metres, cast(sum(CASE WHEN lane >= 0.5 THEN m ELSE 0 END) AS bigint) AS on_lane, cast(sum(CASE WHEN prot >= 0.5 THEN m ELSE 0 END) AS bigint) AS on_protected FROM h GROUP BY 1")
