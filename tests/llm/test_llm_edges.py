@@ -263,6 +263,33 @@ def test_url_edges(spark):
     assert url_filter.filter_urls(pages.union(pages)).count() == 8 and url_filter.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_thousands_of_rules_from_a_table(spark):
+    rows = [("block" if i % 2 else "allow", f"host{i}.org", f"/p{i % 7}") for i in range(3000)]
+    table = spark.createDataFrame(rows, "verdict string, host string, path string")
+    rules = url_filter.rules_of(table)
+    urls = [(i, f"https://www.host{i}.org/p{i % 7 if i % 3 else 9}/x") for i in range(0, 3000, 100)]
+    got = url_filter.filter_urls(spark.createDataFrame(urls, "page_id long, url string"), rules, ("**/x",)).collect()
+    assert len(rules) == 3000
+    for r in got:
+        fits = r.page_id % 3 or r.page_id % 7 == 9
+        assert (r.rule, r.verdict) == ((f"host{r.page_id}.org/p{r.page_id % 7}", "block" if r.page_id % 2 else "allow") if fits else (None, "block"))
+    with pytest.raises(ValueError):
+        url_filter.rules_of(spark.range(url_filter.MOST_RULES + 1).selectExpr("'allow' as verdict", "'h' as host", "'/' as path"))
+
+
+def test_saved_folders_can_be_forgotten(spark):
+    from pathlib import Path
+
+    from wayfold.llm import common
+
+    since = len(common.written())
+    frames = [common.saved(spark.range(i + 1)) for i in range(3)]
+    folders = [Path(p.removeprefix("file:")) for p in common.written()[since:]]
+    assert all(f.exists() for f in folders)
+    common.forget(spark, since, but=1)
+    assert [f.exists() for f in folders] == [False, False, True] and frames[2].count() == 3 and len(common.written()) == since + 1
+
+
 # fingerprints
 
 

@@ -6,6 +6,7 @@ import ctypes
 import gc
 import re
 import tempfile
+import threading
 import uuid
 
 import pyarrow as pa
@@ -40,14 +41,39 @@ def file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri) if uri.startswith("file:") else uri)
 
 
+_written = threading.local()
+
+
+def written() -> list[str]:
+    """The folders that this thread's ``saved`` calls have written and ``forget`` has not deleted."""
+    if not hasattr(_written, "paths"):
+        _written.paths = []
+    return _written.paths
+
+
 def saved(df: DataFrame, where: str | None = None) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     where = where or shared_dir(spark)
     df.write.mode("overwrite").parquet(where)
+    written().append(where)
     return spark.read.schema(df.schema).parquet(where)
 
 
+def forget(spark: SparkSession, since: int = 0, but: int = 0) -> None:
+    """Delete what this thread has saved from number ``since`` on, except the last ``but`` folders.
+
+    For callers that have written their result: frames that still read a deleted folder are lost.
+    """
+    paths = written()
+    end = len(paths) - but
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for where in paths[since:end]:
+        path = jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(conf).delete(path, True)
+    del paths[since:end]
+
+
 #: Bytes of input that a part of an output holds, about.
 PART_BYTES = 128 << 20
 

@@ -28,7 +28,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import KEPT, drop_kept, file_system, shared_dir, small_batches
+from wayfold.llm.common import KEPT, drop_kept, file_system, shared_dir, small_batches, written
 
 #: Word characters: 0-9, a-z and all beyond ASCII, after lower-casing A-Z.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -131,6 +131,7 @@ def write_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars
     where = shared_dir(benchmark.sparkSession)
     dealt = items.withColumn("block", F.expr(f"cast(pmod(xxhash64(item, text), {n}) as int)"))
     dealt.repartition("block").write.partitionBy("block").parquet(where)
+    written().append(where)
     return [f"{where}/block={b}" for b in range(n)]
 
 

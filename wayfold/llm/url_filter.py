@@ -13,8 +13,9 @@ Glob syntax: ``*`` any run without ``/``; ``**`` any run; ``?`` one character ot
 Canonical URL: ``.`` + host + path, host lower-cased (A-Z) and without scheme, query and fragment. The leading dot lets
 ``**.example.com/`` mean the host and its subdomains.
 
-Edge cases: a null URL or one without ``://`` has an empty host and path and is matched as ``.``; repeated rows are
-judged each for itself; an empty table gives an empty result; columns besides the id and the URL are not read.
+Edge cases: a null URL or one without ``://`` has an empty host and path and is matched as ``.``; a URL of any length is
+matched whole; of rules of equal length that fit, the first listed decides; repeated rows are judged each for itself; an
+empty table gives an empty result; columns besides the id and the URL are not read and may have any name.
 """
 
 from __future__ import annotations
@@ -151,6 +152,18 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host.translate(UPPER_TO_LOWER), slash + path
 
 
+#: So many rules and globs a filter takes at most: each worker holds masks of 512 bytes for every state of theirs.
+MOST_RULES = 20_000
+
+
+def rules_of(table: DataFrame) -> list[tuple[str, str, str]]:
+    """The rules of a table (verdict, host, path), whose number is checked; they are part of every task."""
+    rows = table.select("verdict", "host", "path").limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules: split them into several filters")
+    return [tuple(r) for r in rows]
+
+
 def filter_urls(
     pages: DataFrame,
     rules=RULES,
