@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.llm import decontamination, jaccard_join, mixing, sstable, toxicity
-from wayfold.llm.common import saved, table
+from wayfold.llm.common import forget, saved, table, written
 from wayfold.llm.queries import END_ID, HELD_OUT, tokenizer_file
 
 
@@ -65,7 +65,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages; what a stage saved on its way is deleted once its result is written."""
+    docs, since = table(spark, sf_dir, "documents"), len(written())
     for _, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir))
+        forget(spark, since, but=1)  # the stage before this one's as well
     return STAGES[-1][1](spark, docs, sf_dir)
