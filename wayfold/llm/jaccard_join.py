@@ -66,7 +66,7 @@ VALUES[65:91] = VALUES[97:123]
 SPACE = np.zeros(256, np.bool_)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text that are hashed at once.
-SEGMENT = 1 << 19
+SEGMENT = 1 << 18
 BASE = int(P1)
 UNBASE = pow(BASE, -1, 1 << 64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
