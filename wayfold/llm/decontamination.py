@@ -28,7 +28,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import KEPT, drop_kept, file_system, shared_dir, small_batches, written
+from wayfold.llm.common import KEPT, drop_kept, file_system, release_memory, shared_dir, small_batches, written
 
 #: Word characters: 0-9, a-z and all beyond ASCII, after lower-casing A-Z.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -186,6 +186,7 @@ def find_contamination(
                     spans.append(offsets(text, runs) if final else [])
                 made = [pa.array(n_words, pa.int64()), pa.array(all_runs, run_type), pa.array(all_items, pa.list_(pa.string())), pa.array(spans, span_type)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *made], names=names)
+            release_memory()
 
         state = state.mapInArrow(step, state.schema)
     n_hit = F.expr("aggregate(runs, 0L, (s, r) -> s + r.last - r.first)")

@@ -49,7 +49,8 @@ from wayfold.llm.components import components
 
 WORDS, PERCENT = 5, 80
 COMMON, HOT, LEAST_COUNT = 1 << 18, 2000, 6
-CHUNK = 1 << 21
+#: Shingles that a worker counts together, and postings that it holds: some 70 and 45 MB at their peak.
+CHUNK, POSTED = 1 << 20, 1 << 19
 P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 SIGN = np.uint64(1 << 63)
 
@@ -318,7 +319,7 @@ def post(rows: DataFrame, common: tuple[bytes, bytes, bytes, bytes], boundary: i
             yield out(0, len(ns), id=batch.column(0).to_pylist(), n=ns, set_id=sets, common=commons, parities=maps)
             if hot_sigs:
                 yield out(2, sum(map(len, hot_sigs)), n=np.concatenate(hot_parts), set_id=np.concatenate(hot_refs), sig=np.concatenate(hot_sigs))
-            if held >= CHUNK:
+            if held >= POSTED:
                 yield blobs()
                 sigs, refs, held = [], [], 0
                 if len(seen) > 2_000_000:
@@ -400,6 +401,7 @@ def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             maps = zip(*(([x.values.to_numpy() for x in batch.column(i)]) for i in (4, 5)), strict=True)
             kept = [linked((n + m - least_difference(x, y)) // 2, n, m, percent) for (n, m), (x, y) in zip(sizes, maps, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
+        release_memory()
 
     sized = pairs.join(classes.select(F.col("ref").alias("b"), F.col("n").alias("n_b"), F.col("parities").alias("p_b")), "b")
     both = sized.join(classes.select(F.col("ref").alias("a"), F.col("n").alias("n_a"), F.col("parities").alias("p_a")), "a")
@@ -429,6 +431,7 @@ def verify(rows: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int,
                 link.append(linked(inter, len(left), len(right), percent))
             some = batch.take(pa.array(kept, pa.int64()))
             yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(distance, pa.float64()), pa.array(link, pa.bool_())], names=["a", "b", "distance", "linked"])
+        release_memory()
 
     texts = needed_texts(rows, classes, pairs)
     with_b = pairs.join(texts.select(F.col("ref").alias("b"), F.col("text").alias("text_b")), "b")
@@ -499,6 +502,7 @@ def complete_links(rows: DataFrame, classes: DataFrame, found: DataFrame, percen
                     refs.append(ref)
                     blobs.append(tokens.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(refs, pa.int64()), pa.array(blobs, pa.binary())], names=["ref", "tokens"])
+        release_memory()
 
     def compare(held: list[tuple], lo: int, hi: int) -> pa.RecordBatch:
         left = [x for x in held if x[0] == lo]

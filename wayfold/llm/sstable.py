@@ -257,7 +257,8 @@ class Encoder:
     a special token's string are encoded whole.
     """
 
-    def __init__(self, tokenizer_file: str):
+    def __init__(self, tokenizer_file: str, remembered: int | None = None, together: int | None = None):
+        self.remembered, self.together = remembered or REMEMBERED, together or TOGETHER
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -318,11 +319,11 @@ class Encoder:
         ):
             for i, made in zip(group, ids, strict=True):
                 found[i] = made
-        if len(self.memory) < REMEMBERED:
+        if len(self.memory) < self.remembered:
             self.memory.update((pieces[i], found[i]) for i in new)
         else:
             self.missed += len(new)
-            if self.missed > 20 * REMEMBERED:  # the texts have changed: learn anew
+            if self.missed > 20 * self.remembered:  # the texts have changed: learn anew
                 self.memory, self.missed = {}, 0
         return found
 
@@ -367,20 +368,22 @@ class Encoder:
         for text in texts:
             some.append(text)
             size += len(text)
-            if size >= TOGETHER:
+            if size >= self.together:
                 yield from self._some(some)
                 some, size = [], 0
         yield from self._some(some)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple, Encoder] = {}
 KEPT.append(_encoders)
 
 
-def encoder(tokenizer_file: str) -> Encoder:
-    if tokenizer_file not in _encoders:
-        _encoders[tokenizer_file] = Encoder(tokenizer_file)
-    return _encoders[tokenizer_file]
+def encoder(*made_with) -> Encoder:
+    """The worker's encoder of a tokenizer's file, pieces remembered and code points together."""
+    if made_with not in _encoders:
+        _encoders.clear()
+        _encoders[made_with] = Encoder(*made_with)
+    return _encoders[made_with]
 
 
 def write_shards(
@@ -393,12 +396,15 @@ def write_shards(
     text_col: str = "text",
     shard_col: str | None = None,
     order_col: str | None = None,
+    remembered: int = REMEMBERED,
+    together: int = TOGETHER,
 ) -> DataFrame:
     """Write all documents as shards; the manifest: shard, uri, entries, ids, first and last key, bytes.
 
     Shards hold ranges of identifiers, one for each ``PART_BYTES`` of input but as many as shuffle partitions at least;
     where ``shard_col`` names a column of shard numbers, they hold what it says. ``order_col`` (long) names the rows'
-    order inside a shard, which the shard then keeps beside its keys.
+    order inside a shard, which the shard then keeps beside its keys. Workers remember the ids of so many pieces and encode
+    so many code points together: fewer take less memory and more time.
     """
     spark = small_batches(documents).sparkSession
     folder = (where or shared_dir(spark)).rstrip("/")
@@ -417,7 +423,7 @@ def write_shards(
         from pyspark import TaskContext
 
         drop_kept(_encoders)
-        encode = encoder(tokenizer_file)
+        encode = encoder(tokenizer_file, remembered, together)
         end = np.array([end_id], encode.dtype).tobytes()
         width = len(end)
         writer = sink = first = None

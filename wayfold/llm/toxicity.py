@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import drop_kept, small_batches
+from wayfold.llm.common import drop_kept, release_memory, small_batches
 
 BITS, SIZES = 20, (3, 4, 5)
 MAX_TOXIC, MAX_OTHER, MIN_DF, MIN_RATIO, SMOOTH = 3000, 5000, 3, 1.0, 0.5
 STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Characters of a text that are hashed at once: bounds the memory for very long texts.
-CHUNK = 1 << 18
+CHUNK = 1 << 16
 
 
 def grams(text: str) -> Iterator[np.ndarray]:
@@ -138,6 +138,7 @@ def score_documents(
         for batch in batches:
             scores = np.array([score(t.as_py(), weights, used, bias) for t in batch.column("text")], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=[*kept, "score", "predicted"])
+        release_memory()
 
     scored = slim.mapInArrow(run, out)
     held = {id_col: F.col("id"), text_col: F.col("text")} | {c: F.col(f"rest.`{c}`") for c in extra}
