@@ -49,9 +49,12 @@ def write_token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents of part file i go to shard i, keyed by id; their order in the file is kept as the shard's order."""
     part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).try_cast("int")
     placed = docs.select("doc_id", "text", F.coalesce(part, F.lit(0)).alias("shard"), F.col("_metadata.row_index").alias("row"))
-    return sstable.read_shards(sstable.write_shards(placed, tokenizer_file(), END_ID, shard_col="shard", order_col="row"))
+    return sstable.read_shards(sstable.write_shards(placed, tokenizer_file(), END_ID, shard_col="shard", order_col="row", remembered=REMEMBERED, together=TOGETHER))
 
 
+#: Pieces that a worker remembers and code points that it encodes together: other stages have used its executor's memory.
+REMEMBERED, TOGETHER = 250_000, 1 << 20
+
 STAGES = [
     ("toxicity", drop_toxic),
     ("near_duplicates", drop_near_duplicates),
