@@ -81,10 +81,10 @@ LINES = "fid long, name string, points array<struct<x: double, y: double>>, n lo
 
 
 def test_busiest_stretch(spark):
-    blocks = [(i, "Kent Avenue", line((100 * i + gap, 0), (100 * i + 100, 0)), n) for i, (n, gap) in enumerate([(9, 0), (10, 4), (8, 0), (5, 0)])]
-    far = [(10, "Gap Street", line((0, 500), (100, 500)), 7), (11, "Gap Street", line((120, 500), (220, 500)), 7), (12, None, line((0, 900), (500, 900)), 99), (13, "Stub", line((0, 700), (20, 700)), 50)]
+    blocks = [(i, "Quay Road", line((100 * i + gap, 0), (100 * i + 100, 0)), n) for i, (n, gap) in enumerate([(9, 0), (10, 4), (8, 0), (5, 0)])]
+    far = [(10, "Gap Lane", line((0, 500), (100, 500)), 7), (11, "Gap Lane", line((120, 500), (220, 500)), 7), (12, None, line((0, 900), (500, 900)), 99), (13, "Stub", line((0, 700), (20, 700)), 50)]
     rows = graph.busiest_stretches(spark.createDataFrame(blocks + far, LINES)).collect()
-    assert [tuple(r) for r in rows] == [("Kent Avenue", 8, 296), ("Gap Street", 7, 100)]
+    assert [tuple(r) for r in rows] == [("Quay Road", 8, 296), ("Gap Lane", 7, 100)]
 
 
 def test_simplify(spark):

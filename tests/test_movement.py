@@ -84,26 +84,26 @@ def record(edge, chunk, way, dist, time, n, speeds=None):
 def test_corridors_split_at_the_crest(spark, monkeypatch):
     monkeypatch.setattr(passes, "chunks_of", lambda length: F.lit(6))
     rows = [record(1, i, way, 100, 20 if (way == 0) == (i < 3) else 40, 5) for i in range(6) for way in (0, 1)]
-    got = rankings.top_corridors(spark.createDataFrame(rows, FOLD), line(spark, [(x, 0) for x in range(0, 1201, 100)], 1, "Crest")).collect()
+    got = rankings.top_corridors(spark.createDataFrame(rows, FOLD), line(spark, [(x, 0) for x in range(0, 1201, 100)], 1, "Ridge")).collect()
     assert [(r["dir"], r.m, r.fast, r.slow, r.gap) for r in got] == [("E", 600, 18.0, 9.0, 9.0), ("W", 600, 18.0, 9.0, 9.0)]
     few = [record(1, i, way, 100, 20 if way else 40, 2) for i in range(6) for way in (0, 1)]
-    assert rankings.top_corridors(spark.createDataFrame(few, FOLD), line(spark, [(0, 0), (1200, 0)], 1, "Crest")).count() == 0
+    assert rankings.top_corridors(spark.createDataFrame(few, FOLD), line(spark, [(0, 0), (1200, 0)], 1, "Ridge")).count() == 0
 
 
 def test_stretches_chain_edges_of_a_street(spark):
-    blocks = line(spark, [(0, 0), (100, 0)], 1, "Kent").union(line(spark, [(100, 0), (200, 0)], 2, "Kent"))
+    blocks = line(spark, [(0, 0), (100, 0)], 1, "Quay").union(line(spark, [(100, 0), (200, 0)], 2, "Quay"))
     folded = spark.createDataFrame([record(e, 0, 1, 100, 20, 5) for e in (1, 2, 3)], FOLD)
-    whole = blocks.union(line(spark, [(200, 0), (300, 0)], 3, "Kent"))
-    assert [(r.name, r.kmh, r["dir"], r.m) for r in rankings.top_stretches(rankings.stretches(folded, whole), True).collect()] == [("Kent", 18.0, "E", 300)]
+    whole = blocks.union(line(spark, [(200, 0), (300, 0)], 3, "Quay"))
+    assert [(r.name, r.kmh, r["dir"], r.m) for r in rankings.top_stretches(rankings.stretches(folded, whole), True).collect()] == [("Quay", 18.0, "E", 300)]
     assert rankings.stretches(folded, blocks.union(line(spark, [(200, 0), (300, 0)], 3, "Other"))).count() == 0
 
 
 def test_stretches_rank_by_speed_then_steadiness(spark):
-    lines = line(spark, [(0, 0), (600, 0)], 1, "Erratic").union(line(spark, [(0, 500), (600, 500)], 2, "Steady")).union(line(spark, [(0, 900), (600, 900)], 3, "Slow"))
+    lines = line(spark, [(0, 0), (600, 0)], 1, "Uneven").union(line(spark, [(0, 500), (600, 500)], 2, "Even")).union(line(spark, [(0, 900), (600, 900)], 3, "Slow"))
     speeds = {1: [10.0, 10.0, 26.0, 26.0, 18.0], 2: [18.0] * 5, 3: [3.0, 15.0, 3.0, 15.0, 9.0]}
     folded = spark.createDataFrame([record(e, c, 1, 100, 20, 5, s) for e, s in speeds.items() for c in range(4)], FOLD)
     rows = rankings.stretches(folded, lines).cache()
-    assert [r.name for r in rankings.top_stretches(rows, True).collect()] == ["Steady", "Erratic", "Slow"]
+    assert [r.name for r in rankings.top_stretches(rows, True).collect()] == ["Even", "Uneven", "Slow"]
     assert [(r.name, r.kmh, r.sd) for r in rankings.top_stretches(rows, False).collect()][0] == ("Slow", 9.0, 5.4)
 
 
@@ -172,7 +172,7 @@ def test_polygons_against_brute_force(spark):
 
 
 def test_area_measure(spark):
-    names = spark.createDataFrame([(0, "Eastburg", "Q"), (1, "Westville", "B")], "area long, name string, boro string")
+    names = spark.createDataFrame([(0, "Osthafen", "Q"), (1, "Westend", "B")], "area long, name string, boro string")
     placed = spark.createDataFrame([(1, 0), (2, 1), (3, None)], "edge long, area long")
     edges = spark.createDataFrame([(1, 100.0, True), (2, 300.0, True), (3, 50.0, True)], "edge long, metres double, rideable boolean")
     day = datetime.date
@@ -180,7 +180,7 @@ def test_area_measure(spark):
     speeds = spark.createDataFrame([(2, 500.0, 90.0)], "edge long, metres double, seconds double")
     rows, first = areas.measure(names, placed, edges, rides, speeds)
     shown = areas.summary(rows, first).orderBy("rank").collect()
-    assert [(r.name, r.net_m, r.ridden_m, r.dist_m, [(str(n.day), n.metres) for n in r.new]) for r in shown] == [("Westville", 300, 300, 500, [("2024-01-01", 300)]), ("Eastburg", 100, 100, 0, [("2024-01-02", 100)])]
+    assert [(r.name, r.net_m, r.ridden_m, r.dist_m, [(str(n.day), n.metres) for n in r.new]) for r in shown] == [("Westend", 300, 300, 500, [("2024-01-01", 300)]), ("Osthafen", 100, 100, 0, [("2024-01-02", 100)])]
     assert {r.area: r.rides for r in rows.collect()} == {0: 1, 1: 2}
 
 
@@ -295,14 +295,14 @@ def test_riding_on_lanes(spark):
 
 def test_lane_versions_go_back(spark):
     raw = spark.createDataFrame(
-        [(str(i), prev, "I" if i == 3 else None, "KENT  AVE", f"{2000 + i}-01-01T00:00:00.000", None if i == 3 else f"{2001 + i}-01-01T00:00:00.000") for i, prev in ((1, None), (2, "1.0"), (3, "2"))],
+        [(str(i), prev, "I" if i == 3 else None, "QUAY  RD", f"{2000 + i}-01-01T00:00:00.000", None if i == 3 else f"{2001 + i}-01-01T00:00:00.000") for i, prev in ((1, None), (2, "1.0"), (3, "2"))],
         "bikeid string, prevbikeid string, facilitycl string, street string, instdate string, ret_date string",
     ).selectExpr("*", "'x' as ft_facilit", "cast(null as string) as tf_facilit", "array(array(named_struct('x', 0D, 'y', 0D), named_struct('x', 1D, 'y', 0D))) as parts")
     rows = lanes.normalised(raw).cache()
     drawn = lanes.alive(rows, F.lit("2005-01-01").cast("date"), F.lit("2006-01-01").cast("date"))
     assert [r.id for r in drawn.collect()] == ["3"]
     got = lanes.versions(rows, drawn).collect()
-    assert sorted((r.id, r.prev, r.cls, r.street, r.drawn) for r in got) == [("1", None, "L", "Kent Ave", False), ("2", "1", "L", "Kent Ave", False), ("3", "2", "I", "Kent Ave", True)]
+    assert sorted((r.id, r.prev, r.cls, r.street, r.drawn) for r in got) == [("1", None, "L", "Quay Rd", False), ("2", "1", "L", "Quay Rd", False), ("3", "2", "I", "Quay Rd", True)]
 
 
 def lined(spark, rows):

@@ -165,7 +165,8 @@ def test_sources(spark, tmp_path):
     assert [(r.lon, r.lat) for r in readers.gpx(spark, str(tmp_path / "r.gpx")).collect()] == [(-74.0, 40.7)]
     cache = tmp_path / "cache"
     cache.mkdir()
-    for name, body in (("a", '{"t": "footway"} "footway" "cycleway"'), ("b", '{"t": "footway"} "footway" "cycleway"'), ("c", '"motorway"')):
+    head, tag = '{"generator": "Overpass API", ', '"highway": "%s" '
+    for name, body in (("a", head + tag % "footway" * 2 + tag % "cycleway"), ("b", head + tag % "footway" * 2 + tag % "cycleway"), ("c", head + tag % "motorway"), ("d", tag % "motorway"), ("e", head + "none at all")):
         (cache / name).write_text(body)
     assert sorted(r.kind for r in readers.responses(spark, str(cache)).collect()) == ["drive", "walk"]
     days = spark.createDataFrame([("a",), ("b",), ("c",)], "ride string")

@@ -91,7 +91,7 @@ def ride_ends(fixes: DataFrame) -> DataFrame:
 
 
 #: Kinds of activities without a street.
-INDOOR = ("indoor_cycling", "virtual_ride", "indoor_biking", "spinning")
+INDOOR = ("indoor_cycling", "virtual_ride")
 
 
 def outdoor(activities: DataFrame) -> DataFrame:
@@ -155,20 +155,23 @@ def network(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
     return nodes, graph.without_subsumed(nodes, edges)
 
 
-#: What marks a cached answer as one of a network.
-MARKERS = {"bike": '"cycleway"', "drive": '"motorway"', "walk": '"footway"'}
+#: The banner of a cached answer, and the tag that only one network's answers hold.
+BANNER = '"generator": "Overpass'
+MARKERS = {"walk": "footway", "drive": "motorway", "bike": "cycleway"}
+SLICE = 1 << 20
 
 
 def responses(spark: SparkSession, path: str) -> DataFrame:
-    """path, kind, fingerprint: cached answers by the marker they hold most of, the newest of each fingerprint.
+    """path, kind, fingerprint: cached answers by the tag they hold most of, the newest of each fingerprint.
 
-    The fingerprint is of the size and of two pieces of a mebibyte, one at the start and one in the middle.
+    Files without the banner or any of the tags are left out. The fingerprint is of the size and of a mebibyte from a
+    third and from the middle on, so the time in an answer's head doesn't count.
     """
     files = spark.read.format("binaryFile").load(path)
     body = F.decode("content", "UTF-8")
-    counted = F.array(*[F.struct(F.regexp_count(body, F.lit(mark)).alias("n"), F.lit(kind).alias("kind")) for kind, mark in MARKERS.items()])
-    piece = lambda at: F.substring("content", at, 1 << 20)
-    middle = F.expr(f"substring(content, int(length / 2) + 1, {1 << 20})")
-    marked = files.select("path", "modificationTime", F.array_max(counted)["kind"].alias("kind"), F.sha2(F.concat(F.col("length").cast("string").cast("binary"), piece(1), middle), 256).alias("fingerprint"))
+    counted = F.array(*[F.struct(F.regexp_count(body, F.lit(f'"highway":\\s*"{tag}"')).alias("n"), F.lit(kind).alias("kind")) for kind, tag in MARKERS.items()])
+    piece = lambda part: F.expr(f"if(length div {part} + {SLICE} <= length, substring(content, int(length div {part}) + 1, {SLICE}), binary(''))")
+    print_ = F.sha2(F.concat(F.col("length").cast("string").cast("binary"), piece(3), piece(2)), 256).alias("fingerprint")
+    marked = files.filter(F.contains(F.substring(body, 1, 200), F.lit(BANNER))).select("path", "modificationTime", F.array_max(counted).alias("most"), print_).filter("most.n > 0")
     newest = Window.partitionBy("fingerprint").orderBy(F.desc("modificationTime"), "path")
-    return marked.withColumn("k", F.row_number().over(newest)).filter("k = 1").select("path", "kind", "fingerprint")
+    return marked.withColumn("k", F.row_number().over(newest)).filter("k = 1").select("path", "most.kind", "fingerprint")
