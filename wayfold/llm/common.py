@@ -89,15 +89,18 @@ def parts_for(df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), sum(s for s in sizes if s < unknown) // PART_BYTES)
 
 
-#: Rows of an Arrow batch: texts can be long, and a batch is held whole by the executor and by its Python worker.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch: texts can be long, and a batch is held whole by the executor and by its Python worker.
+BATCH_ROWS, BATCH_BYTES = 400, 4 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """The frame, with its session's Arrow batches bounded to BATCH_ROWS rows."""
-    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    """The frame, with its session's Arrow batches bounded to BATCH_ROWS rows and, where Spark can, BATCH_BYTES."""
+    conf = df.sparkSession.conf
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
+        conf.set(rows, str(BATCH_ROWS))
+    if conf.get(size, "1b") not in ("1b", f"{BATCH_BYTES}b"):  # 1b: a Spark without the setting
+        conf.set(size, f"{BATCH_BYTES}b")
     return df
 
 

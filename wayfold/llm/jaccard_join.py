@@ -49,8 +49,8 @@ from wayfold.llm.components import components
 
 WORDS, PERCENT = 5, 80
 COMMON, HOT, LEAST_COUNT = 1 << 18, 2000, 6
-#: Shingles that a worker counts together, and postings that it holds: some 70 and 45 MB at their peak.
-CHUNK, POSTED = 1 << 20, 1 << 19
+#: Shingles that a worker counts together, and postings that it holds: some 35 and 25 MB at their peak.
+CHUNK, POSTED = 1 << 20, 1 << 18
 P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 SIGN = np.uint64(1 << 63)
 
