@@ -53,7 +53,7 @@ def write_token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 #: Pieces that a worker remembers and code points that it encodes together: other stages have used its executor's memory.
-REMEMBERED, TOGETHER = 250_000, 1 << 20
+REMEMBERED, TOGETHER = 150_000, 1 << 19
 
 STAGES = [
     ("toxicity", drop_toxic),
