@@ -11,6 +11,7 @@ import uuid
 
 import pyarrow as pa
 import pyarrow.fs
+from pyspark.errors import SparkNoSuchElementException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -99,8 +100,11 @@ def small_batches(df: DataFrame) -> DataFrame:
     rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
     if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
         conf.set(rows, str(BATCH_ROWS))
-    if conf.get(size, "1b") not in ("1b", f"{BATCH_BYTES}b"):  # 1b: a Spark without the setting
-        conf.set(size, f"{BATCH_BYTES}b")
+    try:
+        conf.get(size)
+    except SparkNoSuchElementException:  # an older Spark
+        return df
+    conf.set(size, f"{BATCH_BYTES}b")
     return df
 
 
