@@ -49,11 +49,12 @@ def weather_summary(weather: DataFrame, ridden: DataFrame, band, n_bands: int, l
     return bands.withColumn("enough", enough).filter("enough").select("band", "days", "ride_days", *rounded)
 
 
-def weather_note(bands: DataFrame, least: float = 0.05) -> DataFrame:
-    """The band whose share of ride days is farthest from what its days would give, if it is ``least`` of that off."""
+def weather_note(bands: DataFrame, least: float | None = 0.05) -> DataFrame:
+    """The band whose share of ride days is farthest from what its days would give, if it is more than ``least`` of that off; None asks for any."""
     off = bands.filter("expected > 0").withColumn("off", F.col("share") / F.col("expected") - 1)
     top = off.agg(F.max_by(F.struct("band", "off"), F.struct(F.abs("off"), -F.col("band"))).alias("top"))
-    return top.select("top.*").filter(F.abs("off") > least)
+    found = top.filter("top is not null").select("top.*")
+    return found if least is None else found.filter(F.abs("off") > least)
 
 
 def coverage(edges: DataFrame, rides: DataFrame) -> DataFrame:
