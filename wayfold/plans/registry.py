@@ -337,7 +337,7 @@ KNN = "SELECT {2} FROM (SELECT a.seq AS id, b.seq AS near, (a.x - b.x) * (a.x -
 @query(sql(KNN.format(625, 4, "id, near, d2, rank"), "fixes"))
 def q_knn_bounded(spark, d):
     f = roles.fixes(spark, d).select("seq", "x", "y")
-    return joins.nearest(f, f, 25, 4, "seq", "seq", F.col("l.seq") != F.col("r.seq"))
+    return joins.nearest(f, f, 25, 4, "seq", "seq", other=True)
 
 
 @query(sql(KNN.format(160000, 1, "id, near, d2"), "fixes"))
