@@ -326,9 +326,7 @@ def q_quantiles(spark, d):
 @query(sql("SELECT a.seq, count(*) AS n FROM fixes a JOIN fixes b ON a.seq <> b.seq AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 900 GROUP BY a.seq", "fixes"))
 def q_grid_radius(spark, d):
     f = roles.fixes(spark, d).select("seq", "x", "y")
-    near = joins.pairs_within(f, 30, "seq")
-    each = near.select(F.explode(F.array("l.seq", "r.seq")).alias("seq"))
-    return each.groupBy("seq").agg(F.count("*").alias("n"))
+    return joins.count_within(f, 30, "seq").withColumnRenamed("id", "seq")
 
 
 KNN = "SELECT {2} FROM (SELECT a.seq AS id, b.seq AS near, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2, row_number() OVER (PARTITION BY a.seq ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.seq) AS rank FROM fixes a JOIN fixes b ON a.seq <> b.seq AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {0}) WHERE rank <= {1}"
