@@ -341,7 +341,7 @@ def q_knn_bounded(spark, d):
 @query(sql(KNN.format(160000, 1, "id, near, d2"), "fixes"))
 def q_nearest_min_by(spark, d):
     f = roles.fixes(spark, d).select("seq", "x", "y")
-    return joins.nearest_one(f, f, 400, "seq", "seq", keep=F.col("l.seq") != F.col("r.seq"))
+    return joins.nearest_one(f, f, 400, "seq", "seq", other=True)
 
 
 @query(sql("SELECT a.ride AS fid, b.ride AS fid2, count(DISTINCT a.seq) AS hits FROM h a JOIN h b ON a.ride < b.ride AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 400 AND pow(a.dx * b.dx + a.dy * b.dy, 2) >= 0.75 * (a.dx * a.dx + a.dy * a.dy) * (b.dx * b.dx + b.dy * b.dy) GROUP BY 1, 2", "fixes", also="h AS (SELECT ride, seq, x, y, last_value(x) OVER w - first_value(x) OVER w AS dx, last_value(y) OVER w - first_value(y) OVER w AS dy FROM fixes WINDOW w AS (PARTITION BY ride ORDER BY seq ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))"))
