@@ -5,6 +5,9 @@ cover each other; a class keeps the lines that draw its extent, and lines that b
 sample indexes and one number of passes a line reach the grouped steps, which work on one class or one component of
 touching lines at a time. Passes themselves are moved by joins and combined on the map side.
 
+Lines of the same points are one shape: their samples touch the same lines, so one of them is sampled and compared for all,
+with their number; of equal lines the one with most passes is drawn.
+
 Absorption compares passes as they are after the classes are merged; what a line receives on the way doesn't count.
 """
 
@@ -22,6 +25,16 @@ STEP, REACH, SAME_WAY = 8, 20, 0.75  # metres, metres, square of the cosine of 3
 MUTUAL, EXTENT, ABSORB, TRANSFER = 0.75, 0.97, 0.95, 0.80
 
 
+def shapes(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a row a shape: fid of the line that stands for it, points, m lines, least fid; fid, shape of all lines).
+
+    lines: fid, points and passes n; the line of most passes stands, of equal ones the least.
+    """
+    dealt = lines.select("fid", "points", "n")
+    found = cut(dealt.groupBy("points").agg(F.min(F.struct((-F.col("n")).alias("o"), "fid"))["fid"].alias("fid"), F.count("*").alias("m"), F.min("fid").alias("least")))
+    return found, cut(dealt.join(found.select("points", F.col("fid").alias("shape")), "points").select("fid", "shape"))
+
+
 def samples(lines: DataFrame, step: float = STEP) -> DataFrame:
     """fid, k, x, y and the direction dx, dy of points every ``step`` along lines (fid, points of x, y), from their start."""
     segments = lines.select("fid", F.posexplode(F.expr("transform(sequence(1, size(points) - 1), i -> struct(points[i - 1] as a, points[i] as b))")).alias("i", "s"))
@@ -82,6 +95,7 @@ def _draw(group: pd.DataFrame) -> pd.DataFrame:
     """The lines of a class that draw its extent: busiest first, without those that the drawn ones mostly cover."""
     rows = group.sort_values(["n", "chord", "fid"], ascending=[False, False, True])
     own = {r.fid: {(r.fid, k) for k in range(r.size)} for r in rows.itertuples()}
+    m = dict(zip(rows.fid, rows.m, strict=True))  # lines of its shape
     near: dict = {fid: set() for fid in own}  # samples of any line within reach of this one
     aligned: dict = {fid: {} for fid in own}
     for r in rows.itertuples():
@@ -89,16 +103,17 @@ def _draw(group: pd.DataFrame) -> pd.DataFrame:
             aligned[r.fid][k] = set(others)
             for other in others:
                 near[other].add((r.fid, k))
-    extent = sum(map(len, own.values()))
-    drawn, seen = [], set()
+    extent = sum(len(o) * m[fid] for fid, o in own.items())
+    drawn, seen, held = [], set(), 0
     for fid in own:
-        if drawn and len(seen) >= EXTENT * extent:
+        if drawn and held >= EXTENT * extent:
             break
         again = sum(not other.isdisjoint(drawn) for other in aligned[fid].values()) >= MUTUAL * len(own[fid])
         gain = (own[fid] | near[fid]) - seen
         if not drawn or gain and not again:
             drawn.append(fid)
             seen |= gain
+            held += sum(m[f] for f, _ in gain)
     return pd.DataFrame({"cluster": rows.cluster.iloc[0], "fid": drawn})
 
 
@@ -149,17 +164,23 @@ def merge_corridors(lines: DataFrame, rides: DataFrame) -> tuple[DataFrame, Data
 
     lines: fid, points (array of x, y in metres, two or more); rides: fid, ride, fwd, rev in the line's own direction.
     """
-    points = cut(samples(lines))
+    filled = rides.select("fid", "ride", F.coalesce("fwd", F.lit(0)).alias("fwd"), F.coalesce("rev", F.lit(0)).alias("rev"))
+    n = cut(lines.select("fid").join(passes(filled, "fid"), "fid", "left").fillna(0, ["n"]))
+    shape, of = shapes(lines.select("fid", "points").join(n, "fid"))
+    points = cut(samples(shape))
     near = cut(touches(points))
-    cluster = cut(classes(lines, shares(points, near)))
+    alike = classes(shape, shares(points, near)).join(shape.select("fid", "least"), "fid")
+    least = alike.groupBy("cluster").agg(F.min("least").alias("least"))
+    by_shape = cut(alike.drop("least").join(least, "cluster").select("fid", F.col("least").alias("cluster")))
+    cluster = of.join(by_shape.withColumnRenamed("fid", "shape"), "shape").select("fid", "cluster")
     cx, cy = chord("points")
     ways = lines.select("fid", cx.alias("cx"), cy.alias("cy")).join(cluster, "fid")
     lead = ways.filter("fid = cluster").select("cluster", F.col("cx").alias("lx"), F.col("cy").alias("ly"))
-    turned = ways.join(lead, "cluster").select("fid", "cluster", F.expr("cx * lx + cy * ly < 0").alias("flip"))
+    turned = cut(ways.join(lead, "cluster").select("fid", "cluster", F.expr("cx * lx + cy * ly < 0").alias("flip")))
     by_class = pooled(rides.join(turned, "fid"), "cluster")
 
-    inside = near.join(cluster, "fid").join(cluster.select(F.col("fid").alias("other"), F.col("cluster").alias("c")), "other").filter("cluster = c").select("fid", "k", "other")
-    members = _grouped(lines, points, inside, passes(rides.select("fid", "ride", F.coalesce("fwd", F.lit(0)).alias("fwd"), F.coalesce("rev", F.lit(0)).alias("rev")), "fid")).join(cluster, "fid")
+    inside = near.join(by_shape, "fid").join(by_shape.select(F.col("fid").alias("other"), F.col("cluster").alias("c")), "other").filter("cluster = c").select("fid", "k", "other")
+    members = _grouped(shape, points, inside, n).join(by_shape, "fid").join(shape.select("fid", "m"), "fid")
     drawn = cut(members.groupBy("cluster").applyInPandas(_draw, "cluster long, fid long"))
     # a class's passes in the direction of each line it keeps
     carried = cut(pooled(by_class.join(turned.join(drawn, ["cluster", "fid"]), "cluster"), "fid"))
@@ -181,16 +202,19 @@ def audit(lines: DataFrame, snap: int = 40, meet: float = 6.0) -> DataFrame:
     Pairs count from 30 m on. An end dangles if the nearest other line is less than ``snap`` but more than ``meet`` away.
     Suspect: duplicates above 0.3 % of the features, or dangling ends above 2 %. Without lines all counts are 0.
     """
-    points = cut(samples(lines))
+    shape, _ = shapes(lines.withColumn("n", F.lit(0)))
+    points = cut(samples(shape))
     share = shares(points, touches(points)).filter(F.col("share") >= MUTUAL)
-    length = lines.select("fid", geo.path_length("points").alias("metres")).filter("metres >= 30")
+    length = shape.select("fid", "m", geo.path_length("points").alias("metres")).filter("metres >= 30")
     mutual = share.select("fid", "other").intersect(share.select(F.col("other").alias("fid"), F.col("fid").alias("other"))).filter("fid < other")
-    pairs = mutual.join(length, "fid").join(length.select(F.col("fid").alias("other"), F.col("metres").alias("also")), "other")
-    doubled = pairs.agg(F.count("*").alias("duplicates"), F.coalesce(F.sum(F.least("metres", "also")) / 1000, F.lit(0.0)).alias("duplicate_km"))
-
-    tip = lambda at: lines.select("fid", F.lit(at).alias("at"), F.element_at("points", at)["x"].alias("x"), F.element_at("points", at)["y"].alias("y"))
-    tips = tip(1).union(tip(-1))
-    along = samples(lines, 4).select("fid", "x", "y").union(tips.select("fid", "x", "y"))
+    pairs = mutual.join(length, "fid").join(length.select(F.col("fid").alias("other"), F.col("m").alias("m2"), F.col("metres").alias("also")), "other").select((F.col("m") * F.col("m2")).alias("pairs"), F.least("metres", "also").alias("metres"))
+    pairs = pairs.union(length.filter("m > 1").select((F.col("m") * (F.col("m") - 1) / 2).cast("bigint"), "metres"))
+    doubled = pairs.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("duplicates"), F.coalesce(F.sum(F.col("metres") * F.col("pairs")) / 1000, F.lit(0.0)).alias("duplicate_km"))
+
+    # the ends of lines of one shape meet each other
+    tip = lambda rows, at: rows.select("fid", F.lit(at).alias("at"), F.element_at("points", at)["x"].alias("x"), F.element_at("points", at)["y"].alias("y"))
+    tips = tip(shape.filter("m = 1"), 1).union(tip(shape.filter("m = 1"), -1))
+    along = samples(shape, 4).select("fid", "x", "y").union(tip(shape, 1).union(tip(shape, -1)).select("fid", "x", "y"))
     near = joins.within(tips, along, snap, F.col("l.fid") != F.col("r.fid")).groupBy("l.fid", "l.at").agg(F.min("d2").alias("d2"))
     loose = near.filter((F.col("d2") > meet * meet) & (F.col("d2") < snap * snap)).agg(F.count("*").alias("dangling"))
     both = lines.agg(F.count("*").alias("features")).join(doubled).join(loose).withColumn("ends", F.col("features") * 2)
