@@ -8,22 +8,36 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import geo
 from wayfold.operators import joins, tables
+from wayfold.operators.state import cut
 
 
 def permutation_test(events: DataFrame, pools: DataFrame, trials: int) -> DataFrame:
     """observed (median value of all events), p (share of trials with no larger median).
 
     events: id, value, pool; pools: pool, value, one row a member. A trial draws one member of each event's own pool, by a
-    hash of trial and event; members are numbered inside their pool and met by number, so a pool is never gathered in a
-    row, and trials are dealt over the cluster. Events whose pool is empty are left out.
+    hash of trial and event. Members are numbered by value, so a number alone says whether a draw is above the observed
+    median: trials are counted where they are drawn, and no draw is shuffled. Only where just half of the draws aren't
+    above are the two in the middle needed; the draws of those trials meet their members. Nulls are drawn and left out
+    of a median; events whose pool is empty are left out.
     """
     sizes = pools.groupBy("pool").agg(F.count("*").alias("size"))
-    members = pools.select("pool", (F.row_number().over(Window.partitionBy("pool").orderBy("value")) - 1).alias("at"), F.col("value").alias("drawn"))
-    fit = events.join(sizes, "pool")
-    drawn = fit.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials)))).withColumn("at", F.pmod(F.xxhash64("trial", "id"), F.col("size")).cast("int"))
-    medians = drawn.select("trial", "pool", "at").join(members, ["pool", "at"]).groupBy("trial").agg(F.median("drawn").alias("m"))
-    observed = fit.agg(F.median("value").alias("observed"))  # one row
-    return medians.join(F.broadcast(observed)).agg(F.max("observed").alias("observed"), F.avg((F.col("m") <= F.col("observed")).cast("double")).alias("p"))
+    observed = events.join(sizes, "pool").agg(F.median("value").alias("observed"))  # one row
+    known = pools.join(F.broadcast(observed))
+    places = known.groupBy("pool").agg(F.count("*").alias("size"), F.count_if(F.col("value").isNull()).alias("nulls"), F.count_if(F.col("value") <= F.col("observed")).alias("low"))
+    spread = events.sparkSession.sparkContext.defaultParallelism * 4
+    fit = cut(events.select("id", "pool").join(places, "pool").repartition(spread, "id"))
+    at = F.pmod(F.xxhash64("trial", "id"), F.col("size"))
+    drawn = fit.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials)))).withColumn("at", at)
+    above = F.col("at") >= F.col("nulls") + F.col("low")
+    counts = cut(drawn.groupBy("trial").agg(F.count_if(F.col("at") >= F.col("nulls")).alias("n"), F.count_if(above).alias("above")).filter("n > 0"))
+    # a median is below when its upper middle is; with just half of the draws above, both middles say
+    half = counts.filter("2 * above = n").select("trial")
+    members = pools.select("pool", (F.row_number().over(Window.partitionBy("pool").orderBy("value")) - 1).cast("bigint").alias("at"), F.col("value").alias("drawn"))
+    again = fit.join(F.broadcast(half)).select("trial", "pool", at.alias("at"))  # a trial a row, few of them
+    ties = again.join(members, ["pool", "at"]).groupBy("trial").agg(F.median("drawn").alias("m"))
+    below = ties.join(F.broadcast(observed)).select((F.col("m") <= F.col("observed")).alias("below"))
+    clear = counts.filter("2 * above <> n").select((2 * F.col("above") < F.col("n")).alias("below"))
+    return observed.join(clear.union(below).agg(F.avg(F.col("below").cast("double")).alias("p")))
 
 
 def busiest_stretches(features: DataFrame, keep: float = 0.8, least_m: float = 50.0, meet: int = 6, top: int = 8) -> DataFrame:
