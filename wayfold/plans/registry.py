@@ -101,7 +101,7 @@ def q_overlap_count(spark, d):
 @query(sql("SELECT a.trip, m.match, m.overlap FROM trips a LEFT JOIN (SELECT * FROM (SELECT a.trip, b.trip AS match, least(a.e, b.e) - greatest(a.s, b.s) AS overlap, row_number() OVER (PARTITION BY a.trip ORDER BY least(a.e, b.e) - greatest(a.s, b.s) DESC, b.trip) AS k FROM trips a JOIN trips b ON a.trip <> b.trip AND least(a.e, b.e) - greatest(a.s, b.s) >= 60) WHERE k = 1) m ON a.trip = m.trip", "trips"))
 def q_overlap_longest(spark, d):
     t = roles.trips(spark, d).select("trip", "s", "e")
-    return joins.longest_overlap(t, t.withColumnRenamed("trip", "other"), 60, 3600, "trip", "other", F.col("l.trip") != F.col("r.other"))
+    return joins.longest_overlap_of_others(t, 60, 3600, "trip")
 
 
 RESUME = "re AS (SELECT *, coalesce(pd = dock AND s - pe BETWEEN 0 AND {h} * 3600, false) AS resume FROM (SELECT *, lag(e) OVER w AS pe, lag(dock) OVER w AS pd FROM trips WINDOW w AS (PARTITION BY bike ORDER BY s, trip)))"
