@@ -19,6 +19,9 @@ from wayfold.operators import joins
 #: kilometre that a stop adds, pairs tried as seeds, rides a new line must win, and points a further line must gain.
 WALK_M, TURN, WANDER, OVERLAP, STOPS, DENSITY, SEEDS, LEAST_RIDES, KNEE = 800, 62.0, 1.38, 0.55, (5, 15), 3.5, 20, 5, 3.0
 
+#: Stops of a line at a place that are compared together.
+LISTED = 1000
+
 
 def home_stations(clusters: DataFrame, stations: DataFrame, walk: int = WALK_M) -> DataFrame:
     """id, station: each cluster's nearest station within a walk; null for none."""
@@ -144,9 +147,18 @@ def knee(scores: DataFrame, rides: int, least: float = KNEE) -> DataFrame:
 
 
 def transfers(stops: DataFrame, reach: int = 360) -> DataFrame:
-    """a, b: stops (id, line, x, y) of different lines within reach of each other."""
-    pairs = joins.pairs_within(stops, reach, "id", F.col("l.line") != F.col("r.line"))
-    return pairs.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"))
+    """a, b: stops (id, line, x, y) of different lines within reach of each other.
+
+    The stops of a line at a place are compared once, as lists of ``LISTED`` at most; pairs are made where two lists have
+    met, and are not shuffled.
+    """
+    part = F.floor((F.row_number().over(Window.partitionBy("x", "y", "line").orderBy("id")) - 1) / LISTED)
+    lists = stops.withColumn("part", part).groupBy("x", "y", "line", "part").agg(F.collect_list("id").alias("ids")).withColumn("list", F.struct("x", "y", "line", "part"))
+    tasks = int(stops.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = joins.pairs_within(lists, reach, "list", F.col("l.line") != F.col("r.line"), tasks)
+    one = met.select(F.explode("l.ids").alias("i"), F.col("r.ids").alias("others"))
+    both = one.select("i", F.explode("others").alias("j")).filter("i <> j")
+    return both.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
 
 
 def block(stops: DataFrame, stations: DataFrame) -> tuple[DataFrame, DataFrame]:
