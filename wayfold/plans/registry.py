@@ -347,14 +347,7 @@ def q_nearest_min_by(spark, d):
 @query(sql("SELECT a.ride AS fid, b.ride AS fid2, count(DISTINCT a.seq) AS hits FROM h a JOIN h b ON a.ride < b.ride AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 400 AND pow(a.dx * b.dx + a.dy * b.dy, 2) >= 0.75 * (a.dx * a.dx + a.dy * a.dy) * (b.dx * b.dx + b.dy * b.dy) GROUP BY 1, 2", "fixes", also="h AS (SELECT ride, seq, x, y, last_value(x) OVER w - first_value(x) OVER w AS dx, last_value(y) OVER w - first_value(y) OVER w AS dy FROM fixes WINDOW w AS (PARTITION BY ride ORDER BY seq ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))"))
 def q_self_parallel(spark, d):
     h = traces.headings(roles.fixes(spark, d)).select("ride", "seq", "x", "y", "dx", "dy")
-    dot = F.col("l.dx") * F.col("r.dx") + F.col("l.dy") * F.col("r.dy")
-    square = lambda s: F.col(f"{s}.dx") * F.col(f"{s}.dx") + F.col(f"{s}.dy") * F.col(f"{s}.dy")
-    along = F.pow(dot.cast("double"), 2) >= 0.75 * square("l") * square("r")
-    pairs = joins.pairs_within(h, 20, "seq", (F.col("l.ride") != F.col("r.ride")) & along)
-    # the sample of the lesser ride counts
-    lesser = F.col("l.ride") < F.col("r.ride")
-    hits = pairs.select(F.least("l.ride", "r.ride").alias("fid"), F.greatest("l.ride", "r.ride").alias("fid2"), F.when(lesser, F.col("l.seq")).otherwise(F.col("r.seq")).alias("seq"))
-    return hits.distinct().groupBy("fid", "fid2").agg(F.count("*").alias("hits"))
+    return joins.hits_along(h, 20)
 
 
 BOXES = "SELECT n_nationkey AS area, (n_nationkey * 311) % 1800 AS x0, (n_nationkey * 173) % 1800 AS y0, (n_nationkey * 311) % 1800 + 150 AS x1, (n_nationkey * 173) % 1800 + 170 AS y1 FROM nation"
