@@ -23,6 +23,7 @@ from wayfold.operators.state import cut
 
 STEP, REACH, SAME_WAY = 8, 20, 0.75  # metres, metres, square of the cosine of 30 degrees
 MUTUAL, EXTENT, ABSORB, TRANSFER = 0.75, 0.97, 0.95, 0.80
+SENT = 200_000  # rows of a table that goes to every task
 
 
 def shapes(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -159,10 +160,28 @@ def _grouped(lines: DataFrame, points: DataFrame, near: DataFrame, n: DataFrame)
     return wide.select("fid", "cx", "cy", F.hypot("cx", "cy").alias("chord"), "size", F.coalesce("n", F.lit(0)).alias("n"), F.expr("coalesce(h.k, array())").alias("ks"), F.expr("coalesce(h.o, array())").alias("others"))
 
 
+def _sent(rows: DataFrame) -> DataFrame:
+    """Rows to every task, up to SENT of them, so that passes stay dealt as they are."""
+    return F.broadcast(rows) if rows.count() <= SENT else rows
+
+
+def _alike(source: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fid, same of every target; same, cluster, flip), of target, cluster, flip: targets that take the same classes have one ``same``.
+
+    What counts is how the classes lie to each other: all of them turned make the same number of passes.
+    """
+    sets = source.groupBy("target").agg(F.array_sort(F.collect_list(F.struct("cluster", "flip"))).alias("s"))
+    even = sets.select("target", F.expr("array_sort(transform(s, c -> struct(c.cluster as cluster, c.flip <> s[0].flip as flip)))").alias("s"))
+    found = cut(even.groupBy("s").agg(F.min("target").alias("same"), F.collect_list("target").alias("fids")))
+    return found.select(F.explode("fids").alias("fid"), "same"), cut(found.select("same", F.inline("s")))
+
+
 def merge_corridors(lines: DataFrame, rides: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(drawn lines fid, points, n passes; their fid, ride, fwd, rev).
 
     lines: fid, points (array of x, y in metres, two or more); rides: fid, ride, fwd, rev in the line's own direction.
+    Passes are counted by class, and by what classes a drawn line takes; they are carried to each line in the second
+    table only. Rides that come dealt by ride stay so: what they passed is combined without another shuffle.
     """
     filled = rides.select("fid", "ride", F.coalesce("fwd", F.lit(0)).alias("fwd"), F.coalesce("rev", F.lit(0)).alias("rev"))
     n = cut(lines.select("fid").join(passes(filled, "fid"), "fid", "left").fillna(0, ["n"]))
@@ -177,22 +196,26 @@ def merge_corridors(lines: DataFrame, rides: DataFrame) -> tuple[DataFrame, Data
     ways = lines.select("fid", cx.alias("cx"), cy.alias("cy")).join(cluster, "fid")
     lead = ways.filter("fid = cluster").select("cluster", F.col("cx").alias("lx"), F.col("cy").alias("ly"))
     turned = cut(ways.join(lead, "cluster").select("fid", "cluster", F.expr("cx * lx + cy * ly < 0").alias("flip")))
-    by_class = pooled(rides.join(turned, "fid"), "cluster")
+    by_class = pooled(rides.join(_sent(turned), "fid"), "cluster")
+    ridden = cut(passes(by_class, "cluster"))
 
     inside = near.join(by_shape, "fid").join(by_shape.select(F.col("fid").alias("other"), F.col("cluster").alias("c")), "other").filter("cluster = c").select("fid", "k", "other")
     members = _grouped(shape, points, inside, n).join(by_shape, "fid").join(shape.select("fid", "m"), "fid")
     drawn = cut(members.groupBy("cluster").applyInPandas(_draw, "cluster long, fid long"))
-    # a class's passes in the direction of each line it keeps
-    carried = cut(pooled(by_class.join(turned.join(drawn, ["cluster", "fid"]), "cluster"), "fid"))
+    # a line that is kept carries the passes of its class; their number is the same in both directions
+    carried = drawn.join(ridden, "cluster").select("fid", "n")
 
     kept = lines.join(drawn.select("fid"), "fid", "left_semi")
     left = near.join(drawn.select("fid"), "fid", "left_semi").join(drawn.select(F.col("fid").alias("other")), "other", "left_semi").select("fid", "k", "other")
     group = tables.components(left.select(F.col("fid").alias("u"), F.col("other").alias("v"))).select(F.col("node").alias("fid"), "component")
-    wide = _grouped(kept, points, left, passes(carried, "fid")).join(group, "fid", "left").withColumn("component", F.coalesce("component", "fid"))
+    wide = _grouped(kept, points, left, carried).join(group, "fid", "left").withColumn("component", F.coalesce("component", "fid"))
     moves = cut(wide.groupBy("component").applyInPandas(_absorb, "fid long, target long, flip boolean"))
-    final = pooled(carried.join(moves, "fid").drop("fid"), "target").withColumnRenamed("target", "fid")
-    standing = moves.select(F.col("target").alias("fid")).distinct()
-    shown = lines.join(standing, "fid", "left_semi").join(passes(final, "fid"), "fid", "left").select("fid", "points", F.coalesce("n", F.lit(0)).alias("n"))
+    source = moves.join(turned.select("fid", "cluster", F.coalesce("flip", F.lit(False)).alias("was")), "fid").select("target", "cluster", (F.col("was") != F.col("flip")).alias("flip")).distinct()
+    drawn_alike, takes = _alike(source)
+    count = cut(passes(pooled(by_class.join(_sent(takes), "cluster"), "same"), "same"))
+    standing = drawn_alike.join(count, "same", "left").select("fid", "n")
+    shown = lines.join(standing, "fid").select("fid", "points", F.coalesce("n", F.lit(0)).alias("n"))
+    final = pooled(by_class.join(source, "cluster"), "target").withColumnRenamed("target", "fid")
     return shown, final
 
 

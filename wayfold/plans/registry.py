@@ -503,7 +503,7 @@ def q_permutation(spark, d):
 def _streets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Suppliers as lines of 300 m, on parallel streets ten metres apart, with the passes of their line items."""
     lines = table(spark, d, "supplier").selectExpr("s_suppkey as fid", "concat('street ', s_nationkey) as name", "array(struct(double((s_suppkey * 90) % 1800) as x, double(s_nationkey * 10) as y), struct(double((s_suppkey * 90) % 1800 + 300) as x, double(s_nationkey * 10) as y)) as points")
-    rides = roles.edge_rides(spark, d).groupBy(F.col("supp").alias("fid"), "ride").agg(F.expr("count_if(dir = 1)").alias("fwd"), F.expr("count_if(dir = 0)").alias("rev"))
+    rides = roles.edge_rides(spark, d).repartition("ride").groupBy(F.col("supp").alias("fid"), "ride").agg(F.expr("count_if(dir = 1)").alias("fwd"), F.expr("count_if(dir = 0)").alias("rev"))
     return lines, rides
 
 
